@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubjay.llm import byte_bpe, language_id, matroska, token_counts
-from scrubjay.llm.common import id_mod, text_or_empty
+from scrubjay.llm import byte_bpe, decontaminate, language_id, matroska, pii, simhash, token_counts, toxicity, url_filter, warc
+from scrubjay.llm.common import id_mod, materialize, text_or_empty
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,39 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page written to archives in the shared folder, and all of them read back."""
+    pages = _table(spark, sf_dir, "pages")
+    payload = F.encode(text_or_empty(F.col("html")), "UTF-8")
+    archives = materialize(warc.write_archives(pages, "page_id", F.col("url"), payload, least_bytes=0), "archives")
+    records = warc.read_archives(archives)
+    return records.select(
+        F.col("record_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS k FROM pages
+), m AS (
+  SELECT k, max(page_id) AS first FROM p GROUP BY k
+), b AS (
+  SELECT p.page_id, p.payload_bytes, unhex(p.k)::BIT::VARCHAR AS bits, m.first FROM p JOIN m USING (k)
+)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT)
+    + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT) AS INT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS NULL OR page_id = first THEN NULL ELSE first END AS refers_to
+FROM b
+"""
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:
     """Tokens of each text by the 32k piece model."""
     docs = _table(spark, sf_dir, "documents")
@@ -54,6 +87,34 @@ def op3_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> Dat
     return counted.select("*", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+#: The rules of the URL query, as given.
+URL_RULES = ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's URL by the rules, or by naive Bayes where none fits."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"), [url_filter.parse_rule(x) for x in URL_RULES])
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in each text: base spans, and those that boosted trees add."""
+    docs = _table(spark, sf_dir, "documents")
+    model = pii.learn(docs)
+    found = docs.select("doc_id", pii.base_spans(F.col("text")).alias("base"), pii.added_spans(F.col("text"), model).alias("added"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(number, pii.KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each text by a machine learned from four fifths of the labelled rows."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    fold = id_mod(F.col("doc_id"), 5)
+    machine = toxicity.learn(docs, labels.where(fold != 0))
+    scored = docs.select("doc_id", F.coalesce(fold == 0, F.lit(True)).alias("held_out"), toxicity.score(F.col("text"), machine).alias("score"))
+    return scored.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each text by profiles learned from three quarters of the documents."""
     docs = _table(spark, sf_dir, "documents")
@@ -63,6 +124,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text encoded by the 50k byte-level ranks, and decoded again."""
     docs = _table(spark, sf_dir, "documents")
@@ -83,9 +150,19 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the item and how much of it."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_ALL = (op1_matroska, op2_warc, op3_token_counts, op4_url_filter, op5_pii, op6_toxicity, op7_language_id, op8_simhash, op9_byte_bpe, op10_decontaminate)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_matroska, op3_token_counts, op7_language_id, op9_byte_bpe)}
+    """Each query by its name."""
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the query that SQL can express; the others are tested by brute force."""
+    return {"op2_warc": OP2_SQL}
