@@ -56,11 +56,11 @@ class Machine:
 
 def choose_terms(texts: list[np.ndarray], labels: np.ndarray, most_terms: int, least_z: float = 4.0) -> np.ndarray:
     """Hashes whose log odds between the labels are ``least_z`` standard errors or more from none."""
-    flat = np.concatenate([*texts, np.empty(0, np.int64)]).astype(np.int64)
-    owner = np.repeat(labels, [len(t) for t in texts])
-    values, where = np.unique(flat, return_inverse=True)
-    hits = np.bincount(where, owner, len(values))
-    seen = np.bincount(where, minlength=len(values))
+    none = np.empty(0, np.int32)
+    values, seen = np.unique(np.concatenate([*texts, none]), return_counts=True)
+    own, counts = np.unique(np.concatenate([*(t for t, y in zip(texts, labels, strict=True) if y), none]), return_counts=True)
+    hits = np.zeros(len(values))
+    hits[np.searchsorted(values, own)] = counts
     n1, n0 = labels.sum(), len(labels) - labels.sum()
     a, b = hits + 0.5, seen - hits + 0.5
     c, d = n1 - hits + 0.5, n0 - (seen - hits) + 0.5
@@ -111,14 +111,14 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     marked = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).cast("double").alias("label"))
     drawn = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("binary")
     def hashed(texts: pa.Array) -> pa.Array:
-        return pa.array([terms_of(x.as_py()) for x in texts], pa.list_(pa.int32()))
+        return pa.array([np.array(terms_of(x.as_py()), "<i4").tobytes() for x in texts], pa.binary())
 
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id")
     rows = own.select("doc_id", "label", hashed("text").alias("terms")).limit(2 * most_rows).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.terms))
-    return fit([np.array(r.terms, np.int64) for r in rows], np.array([r.label for r in rows]), **options)
+    rows.sort(key=lambda r: (r.doc_id, bytes(r.terms)))
+    return fit([np.frombuffer(r.terms, "<i4") for r in rows], np.array([r.label for r in rows]), **options)
 
 
 def score(text: Column, machine: Machine) -> Column:
