@@ -17,9 +17,9 @@ columns never read.
 
 from __future__ import annotations
 
+from array import array
 import base64
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -40,7 +40,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class ByteBPE:
     """Encoder and decoder for a rank table; ``cache_size`` bounds remembered pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 600_000):
         self.find = regex.compile(pattern).findall
         self.ranks, self.cache_size = ranks, cache_size
         self.token = {rank: token for token, rank in ranks.items()}
@@ -50,11 +50,12 @@ class ByteBPE:
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
+        self.most = max(map(len, ranks))
         self.pair: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.shorter: dict[int, int | None] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             self._learn(token, rank)
 
@@ -102,35 +103,47 @@ class ByteBPE:
             self.shorter[rank] = next((r for n in range(len(token) - 1, 0, -1) if (r := self.ranks.get(token[:n])) is not None), None)
         return self.shorter[rank]
 
+    def _fits(self, left: int, right: int) -> bool:
+        """Whether one token may follow another, remembered."""
+        good = self.fits.get((left, right))
+        if good is None:
+            if len(self.fits) > 2_000_000:
+                self.fits.clear()
+            good = self.fits[left, right] = self._may_follow(left, right)
+        return good
+
+    def _longest(self, text: str, at: int) -> int:
+        """The longest token at a place."""
+        size = self.automaton.longest_prefix(text[at : at + self.most])
+        while (found := self.automaton.get(text[at : at + size], None)) is None:
+            size -= 1
+        return found[1]
+
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
         whole = self.ranks.get(piece)
         if whole is not None and (len(piece) == 1 or self.halves[whole] != (whole, whole)):
             return [whole]
-        n = len(piece)
-        longest, length = [0] * n, [0] * n
-        for end, (size, rank) in self.automaton.iter(piece.decode("latin-1")):
-            start = end - size + 1
-            if size > length[start]:
-                longest[start], length[start] = rank, size
+        n, text = len(piece), piece.decode("latin-1")
+        # the longest match at each place in turn, which mostly is the answer
+        ids, at, last, fits = [], 0, None, self.fits
+        for _, (size, rank) in self.automaton.iter_long(text):
+            if last is not None and not (fits.get((last, rank)) or self._fits(last, rank)):
+                break
+            ids.append(rank)
+            at += size
+            last = rank
+        if at == n:
+            return ids
         open_ = bytearray(b"\1") * (n + 1)  # places from which the end may still be reached
-        ids: list[int] = []
-        at, rank, fits, token = 0, longest[0], self.fits, self.token
+        token = self.token
         while at < n:
             end = at + len(token[rank])
-            good = open_[end]
-            if good and ids:
-                key = (ids[-1], rank)
-                good = fits.get(key)
-                if good is None:
-                    if len(fits) > 2_000_000:
-                        fits.clear()
-                    good = fits[key] = self._may_follow(*key)
-            if good:
+            if open_[end] and (not ids or self._fits(ids[-1], rank)):
                 ids.append(rank)
                 at = end
                 if at < n:
-                    rank = longest[at]
+                    rank = self._longest(text, at)
                 continue
             other = self._next_shorter(rank)
             while other is None:  # nothing fits here: take the last token back
@@ -143,24 +156,20 @@ class ByteBPE:
             rank = other
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text."""
-        cache, out = self.cache, []
-        pieces = self.find(text)
-        try:
-            return list(chain.from_iterable(map(cache.__getitem__, pieces)))
-        except KeyError:
-            pass
-        for piece in pieces:
-            ids = cache.get(piece)
-            if ids is None:
-                ids = tuple(self.encode_piece(piece.encode()))
-                if len(piece) <= _LONGEST_KEPT:
-                    if len(cache) >= self.cache_size:
-                        cache.clear()
-                    cache[piece] = ids
-            out.extend(ids)
-        return out
+    def encode(self, text: str) -> np.ndarray:
+        """Ids (int32) of a whole text."""
+        cache, pieces = self.cache, self.find(text)
+        new = set(pieces).difference(cache)
+        if new and len(cache) + len(new) > self.cache_size:
+            cache.clear()
+            new = set(pieces)
+        long = {}
+        for piece in new:
+            ids = array("i", self.encode_piece(piece.encode())).tobytes()
+            (cache if len(piece) <= _LONGEST_KEPT else long)[piece] = ids
+        if long:
+            return np.frombuffer(b"".join([long[p] if p in long else cache[p] for p in pieces]), np.int32)
+        return np.frombuffer(b"".join(map(cache.__getitem__, pieces)), np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -177,7 +186,7 @@ def encode(text: Column, ranks_file: str, pattern: str) -> Column:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         coder = _coder(ranks_file, pattern)
-        rows = [np.array(coder.encode(x.as_py() or ""), np.int32) for x in texts]
+        rows = [coder.encode(x.as_py() or "") for x in texts]
         offsets = np.zeros(len(rows) + 1, np.int32)
         np.cumsum([len(x) for x in rows], out=offsets[1:])
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32)))
