@@ -43,13 +43,13 @@ def without_rows(df: DataFrame, row_ids: list[int]) -> DataFrame:
     """Rows but for those of the ids; unknown ids change nothing."""
     if len(row_ids) <= MANY_IDS:
         return df.where(~qcol(ROW_ID).isin(list(row_ids))) if row_ids else df
-    return df.join(ids_frame(df, row_ids), ROW_ID, "left_anti").select(df.columns)
+    return df.join(ids_frame(df, row_ids), ROW_ID, "left_anti").select(*map(qcol, df.columns))
 
 
 def only_rows(df: DataFrame, row_ids: list[int]) -> DataFrame:
     if len(row_ids) <= MANY_IDS:
         return df.where(qcol(ROW_ID).isin(list(row_ids))) if row_ids else df.where(F.lit(False))
-    return df.join(ids_frame(df, row_ids), ROW_ID, "left_semi").select(df.columns)
+    return df.join(ids_frame(df, row_ids), ROW_ID, "left_semi").select(*map(qcol, df.columns))
 
 
 @operation("drop_rows", row_local=True)

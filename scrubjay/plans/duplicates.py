@@ -170,7 +170,7 @@ def resolve(df: DataFrame, columns: list[str], how: str, blocking: list[str] = (
     keys = list(dict.fromkeys([*blocking, *columns]))
     marked = prepared(df.withColumn("__order", order[how]), keys, markers)
     kept = marked.groupBy(*(qcol(c) for c in keys)).agg(F.min_by(qcol(ROW_ID), "__order").alias(ROW_ID)).select(ROW_ID)
-    return df.join(kept, ROW_ID, "left_semi").select(df.columns)
+    return df.join(kept, ROW_ID, "left_semi").select(*map(qcol, df.columns))
 
 
 def drop_specs(df: DataFrame, columns: list[str], how: str, **options) -> list[int]:
