@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scrubjay.functions.columns import MISSING_MARKERS, all_of, folded, is_missing, is_numeric, is_text, qcol, strip_ws, trimmed_number
 from scrubjay.functions.columns import number as parsed_number
@@ -111,15 +112,18 @@ def special_chars(df: DataFrame, samples: int = 3) -> DataFrame:
     """(column, char, n, samples): characters other than letters, digits and common marks in text columns.
 
     Each column's characters are summed before the shuffle; the samples are
-    the smallest values by id that hold the character.
+    the first distinct values by id that hold the character.
     """
     names = [c for c in data_columns(df) if is_text(df, c)]
     if not names:
         return df.sparkSession.createDataFrame([], "column string, char string, n long, samples array<string>")
     cells = long_form(df, names, qcol(ROW_ID).alias("__rid"))
     odd = cells.where(F.col("value").rlike(r"[^A-Za-z0-9\s\-.,'/:%]")).select("__rid", "column", "value", F.explode(F.regexp_extract_all("value", F.lit(r"([^A-Za-z0-9\s\-.,'/:%])"), F.lit(1))).alias("char"))
-    first = [F.min_by("value", "__rid").alias("s0")]
-    return odd.groupBy("column", "char").agg(F.count("*").alias("n"), *first).select("column", "char", "n", F.array("s0").alias("samples"))
+    counts = odd.groupBy("column", "char").agg(F.count("*").alias("n"))
+    seen = odd.groupBy("column", "char", "value").agg(F.min("__rid").alias("first"))
+    order = Window.partitionBy("column", "char").orderBy("first", "value")
+    shown = seen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= samples).groupBy("column", "char").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("s"))
+    return counts.join(shown, ["column", "char"]).select("column", "char", "n", F.col("s.value").alias("samples"))
 
 
 def skewness(df: DataFrame, name: str) -> float | None:

@@ -8,8 +8,6 @@ is its natural key.
 from __future__ import annotations
 
 from collections.abc import Callable
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +18,7 @@ from scrubjay.functions.columns import qcol
 from scrubjay.operators import OperationSpec, execute, replay
 from scrubjay.plans import duplicates, outliers, validate
 from scrubjay.plans.lineage import History
-from scrubjay.session import ROW_ID
+from scrubjay.session import ROW_ID, scratch_path
 from scrubjay.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -269,6 +267,16 @@ def _near(s: SparkSession, d: str, blocking: list[str]) -> DataFrame:
 _NAMED = _PAIRS.replace(" AS matches", " + CAST(x.name IS NOT DISTINCT FROM y.name AS INT) AS matches")
 _add("dup_near_blocked", lambda s, d: duplicates.near_pairs(view(s, d, "parts").drop("name"), _DUP, ["brand"], 80), f"SELECT * FROM ({_PAIRS} AND x.brand = y.brand) WHERE matches >= 3")
 _add("dup_near_pairs", lambda s, d: _near(s, d, []), f"SELECT * FROM ({_NAMED}) WHERE matches >= 4")
+_LINES = "(SELECT min({rid}) AS rid, customer % 50 AS c, status, priority, units % 4 AS u, limit_ % 4 AS l, {rid} % 3 AS m FROM {sales} GROUP BY ALL)"
+_LINES_PAIRS = f"SELECT x.rid AS a, y.rid AS b, CAST(x.status IS NOT DISTINCT FROM y.status AS INT) + CAST(x.priority = y.priority AS INT) + CAST(x.u = y.u AS INT) + CAST(x.l = y.l AS INT) + CAST(x.m = y.m AS INT) AS matches FROM {_LINES} x JOIN {_LINES} y ON x.rid < y.rid AND x.c = y.c"
+
+
+def _lines(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "sales").selectExpr(ROW_ID, "customer % 50 AS c", "status", "priority", "units % 4 AS u", "limit_ % 4 AS l", f"{ROW_ID} % 3 AS m")
+
+
+_add("dup_class_pairs", lambda s, d: duplicates.class_pairs(_lines(s, d), ["status", "priority", "u", "l", "m"], ["c"], 80, guard=False), f"SELECT * FROM ({_LINES_PAIRS}) WHERE matches >= 4")
+_add("dup_class_members", lambda s, d: duplicates.class_members(view(s, d, "parts"), ["brand", "type"]).toDF("rid", "class_id"), f"SELECT rid, min(rid) OVER (PARTITION BY brand, type) AS class_id FROM {_PARTS}")
 _add("dup_clusters", lambda s, d: duplicates.clusters(view(s, d, "parts"), duplicates.near_pairs(view(s, d, "parts"), _DUP, [], 80, guard=False), _DUP).select("representative", "member", F.col("score_pct").cast("long").alias("score_pct")), f"SELECT a AS representative, b AS member, CAST(100 AS BIGINT) AS score_pct FROM ({_PAIRS}) WHERE matches = 3 UNION ALL SELECT b, a, CAST(100 AS BIGINT) FROM ({_PAIRS}) WHERE matches = 3")
 for _how, _pick in (("keep_first", "rid"), ("keep_last", "rid DESC"), ("keep_most_complete", "CAST(known AS INT) DESC, rid")):
     _add(f"dup_{_how}", (lambda how: lambda s, d: duplicates.resolve(view(s, d, "parts"), ["brand", "size"], how).select(qcol(ROW_ID).alias("rid")))(_how), f"SELECT rid FROM (SELECT rid, row_number() OVER (PARTITION BY brand, size ORDER BY {_pick}) AS r FROM (SELECT *, type IS NOT NULL AS known FROM {_PARTS})) WHERE r = 1")
@@ -381,8 +389,7 @@ _add("flagged_records", _flagged_rows, f"SELECT rid, string_agg(reason, ';' ORDE
 
 def _history(s: SparkSession, d: str) -> DataFrame:
     """Three operations with a checkpoint, undone to one and redone to two."""
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scrubjay-")
-    past = History.start(view(s, d, "sales"), f"{base.rstrip('/')}/history-{uuid.uuid4().hex}", every=2)
+    past = History.start(view(s, d, "sales"), scratch_path(s, "history"), every=2)
     for step in _STEPS:
         past.apply(step.op_type, step.params, step.stage)
     for _ in range(2):

@@ -124,6 +124,26 @@ def near_pairs(df: DataFrame, columns: list[str], blocking: list[str] = (), thre
     return pairs.where(F.col("matches") >= need).select(F.col("x_r").alias("a"), F.col("y_r").alias("b"), "matches")
 
 
+def class_members(df: DataFrame, columns: list[str], blocking: list[str] = (), markers=MISSING_MARKERS) -> DataFrame:
+    """(row id, class_id): rows alike in all columns are one class, named by its smallest row id."""
+    keys = list(dict.fromkeys([*blocking, *columns]))
+    rows = prepared(df, keys, markers).select(ROW_ID, *(qcol(c).alias(f"__k{i}") for i, c in enumerate(keys)))
+    names = [f"__k{i}" for i in range(len(keys))]
+    classes = rows.groupBy(*names).agg(F.min(ROW_ID).alias("class_id")).select(*(F.col(n).alias(f"{n}g") for n in names), "class_id")
+    return rows.join(classes, reduce(lambda a, b: a & b, (F.col(n).eqNullSafe(F.col(f"{n}g")) for n in names))).select(ROW_ID, "class_id")
+
+
+def class_pairs(df: DataFrame, columns: list[str], blocking: list[str] = (), threshold: int = 80, markers=MISSING_MARKERS, guard: bool = True) -> DataFrame:
+    """near_pairs between classes of rows that are alike in all columns, each named by its smallest row id.
+
+    With class_members this says as much as all pairs do, and a large group of
+    exact copies costs one row.
+    """
+    keys = list(dict.fromkeys([*blocking, *columns]))
+    rows = prepared(df, keys, markers).groupBy(*(qcol(c) for c in keys)).agg(F.min(qcol(ROW_ID)).alias(ROW_ID))
+    return near_pairs(rows, columns, blocking, threshold, markers, guard)
+
+
 def clusters(df: DataFrame, pairs: DataFrame, columns: list[str], markers=MISSING_MARKERS) -> DataFrame:
     """(representative, member, score_pct, differing): every row with a partner is a representative of its partners.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Hidden column with the stable, 0-based id of a row.
@@ -22,3 +25,24 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """Folder that the driver and all executors share.
+
+    It is what ``spark.checkpoint.dir`` (or the context's checkpoint folder)
+    names.  Only a local session may go without: it gets a fresh folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix="scrubjay-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{scratch_dir(spark)}/scrubjay-{uuid.uuid4().hex}/{name}"

@@ -38,7 +38,7 @@ def test_structure_and_names(spark):
     names = profile.column_names(df.select(F.col("a").alias("First Name"), F.col("b").alias("first  name"), F.col("c").alias("OK")))
     assert [x["proposed"] for x in names] == ["first_name", "first_name", "ok"] and "collision" in names[0]["problems"]
     chars = profile.special_chars(frame(spark, "a string", ["José@", "pri#ce#"]))
-    assert {(r.char, r.n) for r in chars.collect()} == {("é", 1), ("@", 1), ("#", 2)}
+    assert {(r.char, r.n, tuple(r.samples)) for r in chars.collect()} == {("é", 1, ("José@",)), ("@", 1, ("José@",)), ("#", 2, ("pri#ce#",))}
 
 
 def test_types(spark):
@@ -138,6 +138,17 @@ def test_near_duplicates(spark, partitions):
     assert duplicates.cluster_sizes(pairs).agg(F.sum("n_members")).first()[0] == len(members)
 
 
+def test_classes_say_what_pairs_say(spark):
+    rows = [("p", "q", "r", "s", "t")] * 30 + [("p", "q", "r", "s", "u")] * 20 + [("z", "q", "r", "s", "u"), (None, "N/A", "r", "s", "u")]
+    df = frame(spark, "c1 string, c2 string, c3 string, c4 string, c5 string", rows)
+    columns = [f"c{i}" for i in range(1, 6)]
+    members = {r[ROW_ID]: r.class_id for r in duplicates.class_members(df, columns).collect()}
+    links = {(r.a, r.b): r.matches for r in duplicates.class_pairs(df, columns).collect()}
+    assert links == {(0, 30): 4, (30, 50): 4}
+    pairs = {(a, b, 5 if members[a] == members[b] else links[members[a], members[b]]) for a in range(52) for b in range(a + 1, 52) if members[a] == members[b] or (members[a], members[b]) in links}
+    assert pairs == brute_pairs(rows, 4)
+
+
 def test_estimates(spark):
     df = frame(spark, "a string", ["x"] * 10 + ["y"] * 5)
     found = duplicates.estimate(df, ["a"], [], 80)
