@@ -11,8 +11,8 @@ Model sizes are fixed: the ``most_words`` most frequent words, and ``2**16``
 hashed tokens, so what the driver and the executors hold doesn't grow.
 
 Defined results: a URL that is null or has no ``://`` has an empty host and
-path.  A URL without any known token, or with even odds, is allowed, as are
-all if the rules decide no page.  Rows are judged one by one, so repeated rows
+path.  A URL without any known token gets the verdict that the rules give more
+often; with even odds, or if the rules decide no page, it is allowed.  Rows are judged one by one, so repeated rows
 are equal and extra columns never read.
 """
 
@@ -110,7 +110,14 @@ def learn_words(pages: DataFrame, url: str = "url", html: str = "html", most_wor
     words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).where((F.length("word") > 0) & (F.length("word") <= _LONGEST_WORD))
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 1
-    kept = counts.orderBy(F.desc("n"), "word").limit(most_words).collect()
+    # words by steps of their count's logarithm tell from which count on there are enough
+    step = F.floor(F.log2("n") * 8).cast("int")
+    least, found = 0, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        least, found = r.step, found + r.words
+        if found >= most_words:
+            break
+    kept = counts.where(step >= least).orderBy(F.desc("n"), "word").limit(most_words).collect()
     return Words({r.word: math.log(r.n / total) for r in kept}, float(total))
 
 
