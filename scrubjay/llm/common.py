@@ -2,27 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def scratch_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share.
-
-    It is what ``spark.checkpoint.dir`` (or the context's checkpoint folder)
-    names.  Only a local session may go without: it gets a fresh folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix="scrubjay-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+from scrubjay.session import scratch_path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -31,11 +14,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: a lost executor costs a re-read, not a re-run of
     everything before.  The schema is kept, so empty tables work too.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/scrubjay-{uuid.uuid4().hex}/{name}"
+    path = scratch_path(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def id_mod(column: Column, n: int) -> Column:

@@ -54,8 +54,8 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(margin, -40, 40))))
 
 
-def choose_terms(texts: list[np.ndarray], labels: np.ndarray, most_terms: int, least_z: float = 4.0) -> np.ndarray:
-    """Hashes whose log odds between the labels are ``least_z`` standard errors or more from none."""
+def choose_terms(texts: list[np.ndarray], labels: np.ndarray, most_terms: int, least_z: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes whose log odds between the labels are ``least_z`` standard errors or more from none, and those log odds."""
     none = np.empty(0, np.int32)
     values, seen = np.unique(np.concatenate([*texts, none]), return_counts=True)
     own, counts = np.unique(np.concatenate([*(t for t, y in zip(texts, labels, strict=True) if y), none]), return_counts=True)
@@ -64,9 +64,11 @@ def choose_terms(texts: list[np.ndarray], labels: np.ndarray, most_terms: int, l
     n1, n0 = labels.sum(), len(labels) - labels.sum()
     a, b = hits + 0.5, seen - hits + 0.5
     c, d = n1 - hits + 0.5, n0 - (seen - hits) + 0.5
-    z = np.log(a * d / (b * c)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    odds = np.log(a * d / (b * c))
+    z = odds / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
     order = np.argsort(-np.abs(z), kind="stable")[:most_terms]
-    return values[order[np.abs(z[order]) >= min(least_z, np.abs(z).max(initial=0))]]
+    kept = np.sort(order[np.abs(z[order]) >= min(least_z, np.abs(z).max(initial=0))])
+    return values[kept], odds[kept]
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray, factors: int = 8, most_terms: int = 4096, least_z: float = 4.0, steps: int = 3000, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Machine:
@@ -74,12 +76,13 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, factors: int = 8, most_term
     share = float((labels.sum()) / max(1, len(labels)))
     if not 0 < share < 1:
         return Machine({}, 40.0 if share else -40.0, np.zeros(0), np.zeros((0, factors)))
-    chosen = np.sort(choose_terms(texts, labels, most_terms, least_z))
+    chosen, odds = choose_terms(texts, labels, most_terms, least_z)
     rows = {int(h): i for i, h in enumerate(chosen)}
     inputs = [np.array([r for h in t.tolist() if (r := rows.get(h)) is not None], np.int64) for t in texts]
     rng = np.random.default_rng(seed)
     n = len(chosen)
-    w, v, bias = np.zeros(n), rng.normal(0, 0.01, (n, factors)), float(np.log(share / (1 - share)))
+    # weights begin at the terms' own log odds, so that one telling term is enough alone
+    w, v, bias = odds.copy(), rng.normal(0, 0.01, (n, factors)), float(np.log(share / (1 - share)))
     gw, gv, gb = np.full(n, 1e-8), np.full((n, factors), 1e-8), 1e-8
     for _ in range(-(-steps * batch // len(labels))):
         order = rng.permutation(len(labels))
