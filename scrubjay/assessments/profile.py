@@ -54,17 +54,33 @@ def _suspects(df: DataFrame, names: list[str], markers: Iterable[str]) -> set[st
     return found
 
 
-def profile(df: DataFrame, markers: Iterable[str] = MISSING_MARKERS) -> DataFrame:
+def _approximate(df: DataFrame, names: list[str], markers: list[str]) -> DataFrame:
+    """(column, n_rows, n_missing, n_unique) in one pass without a shuffle of values."""
+    aggs = [F.count("*").alias("n")]
+    for i, c in enumerate(names):
+        gone = is_missing(qcol(c), markers)
+        aggs += [F.count_if(gone).alias(f"m{i}"), F.approx_count_distinct(F.when(~gone, qcol(c).cast("string")), 0.02).alias(f"u{i}")]
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col("n").alias("n_rows"), F.col(f"m{i}").alias("n_missing"), F.col(f"u{i}").alias("n_unique")) for i, c in enumerate(names)))
+    rows = df.agg(*aggs).select(F.explode(cells).alias("c")).select("c.*")
+    return rows.withColumn("n_unique", F.least("n_unique", F.col("n_rows") - F.col("n_missing")))
+
+
+def profile(df: DataFrame, markers: Iterable[str] = MISSING_MARKERS, approximate: bool = False) -> DataFrame:
     """One row per column: missing values, distinct values, key and severity; worst first.
 
     Distinct values are counted by one shuffle of (column, value) counts,
-    summed before the shuffle, for all columns together.
+    summed before the shuffle, for all columns together; ``approximate``
+    estimates them in one pass instead, for tables where that shuffle is too
+    much.
     """
     names = data_columns(df)
     markers = list(markers)
-    cells = F.array(*(F.struct(F.lit(c).alias("column"), is_missing(qcol(c), markers).alias("missing"), F.when(~is_missing(qcol(c), markers), qcol(c).cast("string")).alias("value")) for c in names))
-    counts = df.select(F.explode(cells).alias("c")).select("c.*").groupBy("column", "missing", "value").agg(F.count("*").alias("n"))
-    per = counts.groupBy("column").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("missing"), F.col("n"))), F.lit(0)).alias("n_missing"), F.count_if(~F.col("missing")).alias("n_unique"))
+    if approximate:
+        per = _approximate(df, names, markers)
+    else:
+        cells = F.array(*(F.struct(F.lit(c).alias("column"), is_missing(qcol(c), markers).alias("missing"), F.when(~is_missing(qcol(c), markers), qcol(c).cast("string")).alias("value")) for c in names))
+        counts = df.select(F.explode(cells).alias("c")).select("c.*").groupBy("column", "missing", "value").agg(F.count("*").alias("n"))
+        per = counts.groupBy("column").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("missing"), F.col("n"))), F.lit(0)).alias("n_missing"), F.count_if(~F.col("missing")).alias("n_unique"))
     suspects = _suspects(df, [c for c in names if is_text(df, c)], markers)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     table = df.sparkSession.createDataFrame([(c, kinds[c], c in suspects) for c in names], "column string, dtype string, suspect_numeric boolean")

@@ -27,6 +27,7 @@ def test_profile(spark):
     assert rows["num"].suspect_numeric and rows["num"].severity == "moderate" and rows["num"].n_unique == 3
     assert rows["c"].n_repeated == 9 and rows["c"].has_repeats
     assert profile.profile(df).first().column == "num"
+    assert sorted(map(tuple, profile.profile(df, approximate=True).collect())) == sorted(map(tuple, profile.profile(df).collect()))
     empty = profile.profile(df.limit(0)).collect()
     assert {r.column: r.n_rows for r in empty} == {"id": 0, "num": 0, "c": 0}
 

@@ -183,6 +183,40 @@ def test_history(spark, tmp_path):
     assert past.pointer == 7
 
 
+def test_project(spark, tmp_path):
+    from scrubjay.plans.project import Project
+
+    project = Project(spark, str(tmp_path / "p"))
+    item = project.add("people", frame(spark, "k long, v double", [(1, 10.0), (1, 10.0), (2, 11.0)] + [(i, 10.0 + i % 3) for i in range(3, 20)] + [(99, 5000.0)]))
+    project.add("other", frame(spark, "a string", ["x"]))
+    with pytest.raises(ValueError):
+        project.add("other", frame(spark, "a string", ["x"]))
+    made = []
+    for _ in range(2):
+        item.assess("profile", lambda df: made.append(df.count()))
+    assert made == [21] and item.history.states["profile"] == "completed"
+    assert item.declare_key(["k"])["identical_groups"] == 1
+    assert item.preview("drop_rows", {"row_ids": [0]})["rows_after"] == 20 and item.history.pointer == 0
+    item.resolve_duplicates(["k"], "keep_first")
+    assert item.history.working().count() == 20 and item.history.states["profile"] == "outdated"
+    item.outliers.flag("v", [20])
+    with pytest.raises(ValueError):
+        project.export(["csv"])
+    item.outliers.add_evidence("v", "k", {20: outliers.UNUSUAL})
+    figures = item.treat_outliers("v", [20], "cap", {"max": 20})
+    assert figures["before"]["max"] == 5000.0 and figures["after"]["max"] == 20.0
+    item.resolve_duplicates([], "merge", keep=2, group=[2, 3], field_values={"v": 7.5})
+    again = Project.from_json(spark, project.to_json())
+    assert again.items["people"].history.working().count() == 19 and again.items["people"].key == ["k"]
+    project.set_status("other", "excluded")
+    out = project.export(["csv", "report", "json", "script"], acknowledged=True)
+    assert set(out) == {"people.csv", "people.html", "people.json", "people.py"} and spark.read.option("header", True).csv(out["people.csv"]).count() == 19
+    with pytest.raises(ValueError):
+        item.reread(spark, "x", "utf-8", ",")
+    with pytest.raises(ValueError):
+        project.set_status("other", "odd")
+
+
 def test_stages():
     states = dict.fromkeys(stages.STAGES, "completed")
     assert "validation" in stages.demote(states, "types") and states["missingness"] == "completed"
