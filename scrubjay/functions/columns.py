@@ -155,6 +155,19 @@ def float_text(c: Column) -> Column:
 
 
 def with_row_id(df: DataFrame, name: str = "__rid") -> DataFrame:
-    """The frame with 0-based ids in file order; nothing but the counts of partitions is gathered."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return df.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1])).toDF(schema)
+    """The frame with dense 0-based ids in the order of its partitions, for files their order in the file.
+
+    Spark numbers rows within a partition; one count per partition, which is
+    all that reaches the driver, gives each partition's first id.  The frame
+    must split the same way each time, as scans of files do; write others
+    first.
+    """
+    marked = df.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__own"))
+    first, total = [], 0
+    for row in sorted(marked.groupBy("__part").agg(F.count("*").alias("n")).collect()):
+        first.append((row["__part"], total))
+        total += row.n
+    offsets = df.sparkSession.createDataFrame(first, "__at int, __first long")
+    joined = marked.join(F.broadcast(offsets), F.col("__part") == F.col("__at"))  # a row per partition
+    own = F.col("__own").bitwiseAND(F.lit((1 << 33) - 1))  # the number within the partition
+    return joined.select(*(qcol(c) for c in df.columns), (F.col("__first") + own).alias(name))

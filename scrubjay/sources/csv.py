@@ -63,9 +63,19 @@ def delimiter_of(lines: Iterable[str]) -> str:
     return best
 
 
+def head_of(spark: SparkSession, path: str, n: int = SAMPLE_BYTES) -> bytes:
+    """A file's first bytes, from any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
 def detect(spark: SparkSession, path: str) -> dict:
-    """Encoding and delimiter from a file's first bytes, read through Spark."""
-    head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, SAMPLE_BYTES)).first()[0])
+    """Encoding and delimiter from a file's first bytes."""
+    head = head_of(spark, path)
     encoding = encoding_of(head)
     return {"encoding": encoding, "delimiter": delimiter_of(head.decode(encoding, "replace").splitlines())}
 

@@ -265,6 +265,20 @@ def test_csv_round_trip(spark, tmp_path):
     assert seen["n_rows"] == 2 and len(seen["rows"]) == 1 and preview.missing_rows(df, "CO(GT)")[0]["PT08.S1(CO)"] == 1292
 
 
+def test_row_ids_are_dense_and_in_file_order(spark, tmp_path):
+    from scrubjay.functions.columns import with_row_id
+
+    (tmp_path / "big.csv").write_text("v\n" + "".join(f"{i}\n" for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "big.csv"))
+        assert df.rdd.getNumPartitions() > 3
+        assert with_row_id(df).where(f"{ROW_ID} <> v").count() == 0 and with_row_id(df).count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert with_row_id(df.limit(0)).count() == 0
+
+
 def test_sheets(spark):
     df = csv.frame_of(spark, [["a", None, "a", "n"], [1, "x"], [2, None, True, 1.5], [None, None, None, None]])
     assert df.columns == ["a", "column_2", "a_2", "n", ROW_ID] and df.count() == 2 and column(df, "n") == [None, 1.5]
