@@ -29,6 +29,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _LONGEST_KEPT = 64
+_MOST_PAIRS = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,12 +39,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class ByteBPE:
-    """Encoder and decoder for a rank table; ``cache_size`` bounds remembered pre-tokens."""
+    """Encoder and decoder for a rank table; twice ``cache_size`` bounds the remembered pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 250_000):
         self.find = regex.compile(pattern).findall
         self.ranks, self.cache_size = ranks, cache_size
-        self.token = {rank: token for token, rank in ranks.items()}
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("every single byte must be a token")
         self.automaton = ahocorasick.Automaton()
@@ -51,11 +51,22 @@ class ByteBPE:
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
         self.most = max(map(len, ranks))
+        top = max(ranks.values()) + 1
+        self.text_rank = {token.decode("latin-1"): rank for token, rank in ranks.items()}
+        self.size_of = [0] * top
+        self.shorter = [-1] * top  # next shorter token that begins a token
+        for token, rank in ranks.items():
+            self.size_of[rank] = len(token)
+            self.shorter[rank] = next((r for n in range(len(token) - 1, 0, -1) if (r := ranks.get(token[:n])) is not None), -1)
+        self.sizes = np.array(self.size_of, np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        by_rank = {rank: token for token, rank in ranks.items()}
+        self.laid = np.frombuffer(b"".join(by_rank.get(rank, b"") for rank in range(top)), np.uint8)
         self.pair: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.shorter: dict[int, int | None] = {}
+        self.fits: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the cache before it was full; what is still in use moves on
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             self._learn(token, rank)
 
@@ -97,82 +108,93 @@ class ByteBPE:
                     if left == limit:
                         return True
 
-    def _next_shorter(self, rank: int) -> int | None:
-        if rank not in self.shorter:
-            token = self.token[rank]
-            self.shorter[rank] = next((r for n in range(len(token) - 1, 0, -1) if (r := self.ranks.get(token[:n])) is not None), None)
-        return self.shorter[rank]
-
-    def _fits(self, left: int, right: int) -> bool:
-        """Whether one token may follow another, remembered."""
-        good = self.fits.get((left, right))
-        if good is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            good = self.fits[left, right] = self._may_follow(left, right)
+    def _learn_fit(self, left: int, right: int) -> bool:
+        """Work out whether one token may follow another, and remember it."""
+        if len(self.fits) >= _MOST_PAIRS:
+            self.fits.clear()
+        good = self.fits[left << 32 | right] = self._may_follow(left, right)
         return good
 
-    def _longest(self, text: str, at: int) -> int:
-        """The longest token at a place."""
-        size = self.automaton.longest_prefix(text[at : at + self.most])
-        while (found := self.automaton.get(text[at : at + size], None)) is None:
-            size -= 1
-        return found[1]
-
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
         whole = self.ranks.get(piece)
         if whole is not None and (len(piece) == 1 or self.halves[whole] != (whole, whole)):
             return [whole]
         n, text = len(piece), piece.decode("latin-1")
-        # the longest match at each place in turn, which mostly is the answer
-        ids, at, last, fits = [], 0, None, self.fits
+        fits, ids, at, last = self.fits.get, [], 0, -1
+        # the longest match at each place in turn, as far as they fit
         for _, (size, rank) in self.automaton.iter_long(text):
-            if last is not None and not (fits.get((last, rank)) or self._fits(last, rank)):
-                break
+            if last >= 0:
+                good = fits(last << 32 | rank)
+                if good is None:
+                    good = self._learn_fit(last, rank)
+                if not good:
+                    break
             ids.append(rank)
             at += size
             last = rank
         if at == n:
             return ids
         open_ = bytearray(b"\1") * (n + 1)  # places from which the end may still be reached
-        token = self.token
-        while at < n:
-            end = at + len(token[rank])
-            if open_[end] and (not ids or self._fits(ids[-1], rank)):
-                ids.append(rank)
-                at = end
-                if at < n:
-                    rank = self._longest(text, at)
-                continue
-            other = self._next_shorter(rank)
-            while other is None:  # nothing fits here: take the last token back
+        size_of, shorter, rank_of = self.size_of, self.shorter, self.text_rank.get
+        most, prefix = self.most, self.automaton.longest_prefix
+        while True:
+            end = at + size_of[rank]
+            if open_[end]:
+                good = True
+                if last >= 0:
+                    good = fits(last << 32 | rank)
+                    if good is None:
+                        good = self._learn_fit(last, rank)
+                if good:
+                    ids.append(rank)
+                    if end == n:
+                        return ids
+                    at, last = end, rank
+                    size = prefix(text[at : at + most])
+                    while (rank := rank_of(text[at : at + size])) is None:
+                        size -= 1
+                    continue
+            rank = shorter[rank]
+            while rank < 0:  # nothing fits here: take the last token back
                 open_[at] = 0
                 if not ids:
                     raise ValueError("this piece has no valid encoding")
-                last = ids.pop()
-                at -= len(token[last])
-                other = self._next_shorter(last)
-            rank = other
-        return ids
+                gone = ids.pop()
+                at -= size_of[gone]
+                last = ids[-1] if ids else -1
+                rank = shorter[gone]
 
     def encode(self, text: str) -> np.ndarray:
         """Ids (int32) of a whole text."""
         cache, pieces = self.cache, self.find(text)
-        new = set(pieces).difference(cache)
-        if new and len(cache) + len(new) > self.cache_size:
-            cache.clear()
-            new = set(pieces)
-        long = {}
-        for piece in new:
-            ids = array("i", self.encode_piece(piece.encode())).tobytes()
-            (cache if len(piece) <= _LONGEST_KEPT else long)[piece] = ids
-        if long:
-            return np.frombuffer(b"".join([long[p] if p in long else cache[p] for p in pieces]), np.int32)
-        return np.frombuffer(b"".join(map(cache.__getitem__, pieces)), np.int32)
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+        found = list(map(cache.get, pieces))
+        try:
+            return np.frombuffer(b"".join(found), np.int32)
+        except TypeError:  # some aren't known
+            pass
+        old = self.old
+        for i, ids in enumerate(found):
+            if ids is None:
+                piece = pieces[i]
+                ids = cache.get(piece) or old.get(piece)
+                if ids is None:
+                    ids = array("i", self.encode_piece(piece.encode())).tobytes()
+                found[i] = ids
+                if len(piece) <= _LONGEST_KEPT:
+                    if len(cache) >= self.cache_size:
+                        self.old, self.cache = cache, {}
+                        old, cache = self.old, self.cache
+                    cache[piece] = ids
+        return np.frombuffer(b"".join(found), np.int32)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """Bytes of ids, gathered from the tokens laid end to end."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        if not len(ends):
+            return b""
+        return self.laid[np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
 
 
 @lru_cache(2)
@@ -180,26 +202,45 @@ def _coder(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(load_ranks(path), pattern)
 
 
+def _id_array(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(x) for x in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32)))
+
+
 def encode(text: Column, ranks_file: str, pattern: str) -> Column:
     """Ids (array<int>) of a text column; the file must be readable by every executor."""
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         coder = _coder(ranks_file, pattern)
-        rows = [coder.encode(x.as_py() or "") for x in texts]
-        offsets = np.zeros(len(rows) + 1, np.int32)
-        np.cumsum([len(x) for x in rows], out=offsets[1:])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32)))
+        return _id_array([coder.encode(x.as_py() or "") for x in texts])
 
     return ids(text)
 
 
+def round_trip(text: Column, ranks_file: str, pattern: str) -> Column:
+    """``ids`` of a text column and the ``data`` (binary) that they decode to.
+
+    One function does both: Spark would encode twice if the ids were asked for
+    beside what another function makes of them.
+    """
+
+    @F.arrow_udf("struct<ids:array<int>,data:binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        coder = _coder(ranks_file, pattern)
+        rows = [coder.encode(x.as_py() or "") for x in texts]
+        return pa.StructArray.from_arrays([_id_array(rows), pa.array(map(coder.decode, rows), pa.binary())], ["ids", "data"])
+
+    return both(text)
+
+
 def decode(ids: Column, ranks_file: str, pattern: str) -> Column:
     """Bytes (binary) of an id column; null stays null."""
 
     @F.arrow_udf("binary")
     def data(rows: pa.Array) -> pa.Array:
         coder = _coder(ranks_file, pattern)
-        return pa.array((None if x.values is None else coder.decode(x.values.to_numpy().tolist()) for x in rows), pa.binary())
+        return pa.array((None if x.values is None else coder.decode(x.values.to_numpy()) for x in rows), pa.binary())
 
     return data(ids)
