@@ -16,12 +16,14 @@ are equal and extra columns never read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 import struct
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Element ids of EBML and Matroska.
 EBML, DOC_TYPE = 0x1A45DFA3, 0x4282
@@ -319,36 +321,56 @@ def pcm_media(payload: Column, lacing: str = "ebml") -> Column:
     return store(payload)
 
 
+def store_pcm(rows: DataFrame, payload: str, media: str, lacing: str = "ebml") -> DataFrame:
+    """The frame with its payload column replaced by the files that store it.
+
+    As a step of its own, so that files which are both kept and parsed are
+    made once.
+    """
+    schema = T.StructType([T.StructField(media, T.BinaryType()) if f.name == payload else f for f in rows.schema.fields])
+    at = rows.columns.index(payload)
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns
+            columns[at] = pa.array((None if (x := v.as_py()) is None else write_pcm(x, lacing) for v in columns[at]), pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return rows.mapInArrow(store, schema)
+
+
+def _table_of(found: list[dict | None]) -> list[pa.Array]:
+    """The columns of FILE_TYPE_SQL."""
+    get = lambda k: [f and f[k] for f in found]
+    return [pa.array(get("doc_type"), pa.string()), pa.array(get("duration_ns"), pa.int64()), _lists(get("tracks"), _TRACKS), _lists(get("packets"), _PACKETS), _lists(get("cues"), _CUES), pa.array(get("error"), pa.string())]
+
+
 def parse(media: Column) -> Column:
     """Tracks, packets, cues and error of each file of a binary column."""
 
     @F.arrow_udf(FILE_TYPE_SQL)
     def read(files: pa.Array) -> pa.Array:
         found = [None if (x := v.as_py()) is None else read_file(x) for v in files]
-        get = lambda k: [f and f[k] for f in found]
-        columns = [pa.array(get("doc_type"), pa.string()), pa.array(get("duration_ns"), pa.int64()), _lists(get("tracks"), _TRACKS), _lists(get("packets"), _PACKETS), _lists(get("cues"), _CUES), pa.array(get("error"), pa.string())]
-        return pa.StructArray.from_arrays(columns, fields=list(_FILE), mask=pa.array([f is None for f in found], pa.bool_()))
+        return pa.StructArray.from_arrays(_table_of(found), fields=list(_FILE), mask=pa.array([f is None for f in found], pa.bool_()))
 
     return read(media)
 
 
-def packet_bytes(media: Column, packets: Column, track: int = 1) -> Column:
-    """The bytes of one track: its packets' byte ranges, in the order of the packets."""
+def parse_with_track(media: Column, track: int = 1) -> Column:
+    """What parse gives, and ``payload``: the bytes of one track, cut out by its packets' byte ranges in their order."""
+    fields = [*_FILE, pa.field("payload", pa.binary())]
 
-    @F.arrow_udf("binary")
-    def cut(files: pa.Array, found: pa.Array) -> pa.Array:
-        out = []
-        for file, rows in zip(files, found, strict=True):
-            data, rows = file.as_py(), rows.values
-            if data is None or rows is None:
-                out.append(None)
-                continue
-            own = rows.field("track").to_numpy() == track
-            offsets, sizes = rows.field("offset").to_numpy()[own].tolist(), rows.field("size").to_numpy()[own].tolist()
-            out.append(b"".join([data[a : a + n] for a, n in zip(offsets, sizes, strict=True)]))
-        return pa.array(out, pa.binary())
-
-    return cut(media, packets)
+    @F.arrow_udf(FILE_TYPE_SQL[:-1] + ",payload:binary>")
+    def read(files: pa.Array) -> pa.Array:
+        found, payloads = [], []
+        for v in files:
+            data = v.as_py()
+            file = None if data is None else read_file(data)
+            found.append(file)
+            payloads.append(file and b"".join([data[at : at + size] for own, _, at, size, *_ in file["packets"] if own == track]))
+        return pa.StructArray.from_arrays([*_table_of(found), pa.array(payloads, pa.binary())], fields=fields, mask=pa.array([f is None for f in found], pa.bool_()))
+
+    return read(media)
 
 
 def packet_table(files: DataFrame, file_id: str, media: str) -> DataFrame:

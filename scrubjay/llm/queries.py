@@ -21,9 +21,8 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = matroska.FRAME
     padding = F.greatest(F.ceil(size / F.lit(unit)) * unit, F.lit(unit)) - size
     padded = docs.select("doc_id", size.cast("long").alias("n_bytes"), F.concat("data", F.unhex(F.repeat(F.lit("ff"), padding.cast("int")))).alias("payload"))
-    stored = padded.select("doc_id", "n_bytes", matroska.pcm_media(F.col("payload")).alias("media"))
-    parsed = stored.select("*", matroska.parse(F.col("media")).alias("file"))
-    back = parsed.select("*", matroska.packet_bytes(F.col("media"), F.col("file.packets")).alias("payload"))
+    stored = matroska.store_pcm(padded, "payload", "media")
+    back = stored.select("*", matroska.parse_with_track(F.col("media")).alias("file")).withColumn("payload", F.col("file.payload"))
     return back.select(
         "doc_id",
         "n_bytes",
@@ -139,9 +138,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``ids`` and digests of the ids and of what they decode to."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = docs.select("doc_id", byte_bpe.encode(F.col("text"), *vocabulary).alias("ids"))
-    decoded = encoded.select("doc_id", "ids", byte_bpe.decode(F.col("ids"), *vocabulary).alias("data"))
-    return decoded.select(
+    coded = docs.select("doc_id", byte_bpe.round_trip(F.col("text"), *vocabulary).alias("coded")).select("doc_id", "coded.*")
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
