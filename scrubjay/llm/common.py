@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubjay.session import scratch_path
@@ -20,6 +20,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
+    """Have texts handed to Python in Arrow batches of ``most_bytes`` at most.
+
+    A batch is held several times over (in the JVM, as strings, as results),
+    so this bounds a task's memory where texts are long.  A session that asks
+    for less keeps its setting.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= most_bytes:
+        spark.conf.set(key, f"{most_bytes}b")
+
+
 def id_mod(column: Column, n: int) -> Column:
     """crc32 of an id as text, modulo ``n``; null for a null id."""
     return F.crc32(column.cast("string")) % F.lit(n)

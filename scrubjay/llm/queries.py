@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubjay.llm import byte_bpe, decontaminate, language_id, matroska, pii, simhash, token_counts, toxicity, url_filter, warc
-from scrubjay.llm.common import id_mod, materialize, text_or_empty
+from scrubjay.llm.common import bound_batches, id_mod, materialize, text_or_empty
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
