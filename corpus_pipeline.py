@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubjay.llm import decontaminate, language_id, pii, queries, simhash
-from scrubjay.llm.common import materialize
+from scrubjay.llm.common import bound_batches, materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,6 +21,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Profiles come from the documents that name their language.  Where none
     does, every text with a letter stays.
     """
+    bound_batches(spark)
     profiles = language_id.learn_profiles(docs)
     if not profiles:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -29,11 +30,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id."""
+    bound_batches(spark)
     return simhash.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item to four fifths."""
+    bound_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return docs.where(F.size(decontaminate.matches(F.col("text"), benchmark)) == 0)
 
@@ -46,6 +49,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, with digests of the ids and of the bytes that they decode to."""
+    bound_batches(spark)
     return queries.bpe_digests(docs)
 
 
