@@ -80,8 +80,9 @@ def fill(ordered: Ordered, column: str, forward: bool = True) -> Column:
         if last is not None:
             carried[k] = last
         last = found.get(k, last)
-    w = ordered.window()
-    own = F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if forward else F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # backwards as forwards in descending order: a frame that only grows costs one step a row
+    order = ordered.key if forward else ordered.key.desc()
+    own = F.last(c, ignorenulls=True).over(Window.partitionBy(BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return F.coalesce(own, _lookup(carried, kind))
 
 

@@ -9,6 +9,8 @@ values is brought to the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,10 +52,46 @@ def at_rank(values: DataFrame, column: str, rank: int, few: int = FEW):
     return None
 
 
-def quantile_nearest(values: DataFrame, column: str, q: float):
-    """The value at the nearest rank to ``q``, no interpolation; None if there is none."""
+def at_ranks(values: DataFrame, column: str, ranks: Sequence[int], few: int = FEW) -> list:
+    """The values at several 0-based ranks, found together: three passes as a rule, whatever the number of ranks."""
+    c = qcol(column)
+    rows = values.where(c.isNotNull()).select(c.alias("v"))
+    n = rows.count()
+    near = F.lit(True)
+    skipped = [0] * len(ranks)
+    if n > few:
+        qs = [x for r in ranks for x in (max(0.0, r / n - 0.001), min(1.0, r / n + 0.001))]
+        found = rows.agg(F.percentile_approx("v", F.array(*map(F.lit, qs)), 10_000)).first()[0]
+        ranges = list(zip(found[::2], found[1::2], strict=True))
+        counts = rows.agg(*(x for low, high in ranges for x in (F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))))).first()
+        skipped = list(counts[::2])
+        hit = all(below <= r < below + inside for r, below, inside in zip(ranks, counts[::2], counts[1::2], strict=True))
+        if not hit or sum(counts[1::2]) > few * len(ranks):
+            return [at_rank(values, column, r, few) for r in ranks]
+        near = reduce(operator.or_, (F.col("v").between(low, high) for low, high in ranges))
+    held = sorted((r.v, r.n) for r in rows.where(near).groupBy("v").agg(F.count("*").alias("n")).collect())
+    out = []
+    for k, rank in enumerate(ranks):
+        seen, value = skipped[k], None
+        for v, count in held:
+            if n > few and v < ranges[k][0]:
+                continue
+            seen += count
+            if rank < seen:
+                value = v
+                break
+        out.append(value)
+    return out
+
+
+def quantiles_nearest(values: DataFrame, column: str, qs: Sequence[float]) -> list:
+    """The values at the nearest ranks to some quantiles, no interpolation; None if there are none."""
     n = values.where(qcol(column).isNotNull()).count()
-    return at_rank(values, column, _half_up((n - 1) * q)) if n else None
+    return at_ranks(values, column, [_half_up((n - 1) * q) for q in qs]) if n else [None] * len(qs)
+
+
+def quantile_nearest(values: DataFrame, column: str, q: float):
+    return quantiles_nearest(values, column, [q])[0]
 
 
 def _half_up(x: float) -> int:
@@ -65,8 +103,8 @@ def median(values: DataFrame, column: str) -> float | None:
     n = values.where(qcol(column).isNotNull()).count()
     if not n:
         return None
-    low = at_rank(values, column, (n - 1) // 2)
-    return float(low) if n % 2 else (float(low) + float(at_rank(values, column, n // 2))) / 2
+    low, high = at_ranks(values, column, [(n - 1) // 2, n // 2])
+    return (float(low) + float(high)) / 2
 
 
 def mode_smallest(values: DataFrame, column: str):

@@ -34,8 +34,9 @@ def column_stats(df: DataFrame, name: str, markers: Iterable[str] = MISSING_MARK
     row = v.agg(F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std"), F.skewness("v").alias("skew")).first()
     if not row["count"]:
         raise ValueError(f"{name} has no numbers")
-    q1, q3 = stats.quantile_nearest(v, "v", 0.25), stats.quantile_nearest(v, "v", 0.75)
-    return row.asDict() | {"median": stats.median(v, "v"), "q1": q1, "q3": q3, "iqr": q3 - q1}
+    n = row["count"]
+    q1, q3, low, high = stats.at_ranks(v, "v", [int((n - 1) * 0.25 + 0.5), int((n - 1) * 0.75 + 0.5), (n - 1) // 2, n // 2])
+    return row.asDict() | {"median": (low + high) / 2, "q1": q1, "q3": q3, "iqr": q3 - q1}
 
 
 def bounds(df: DataFrame, name: str, method: str = "iqr", params: dict | None = None, markers: Iterable[str] = MISSING_MARKERS, found: dict | None = None) -> tuple[float, float]:
@@ -48,7 +49,7 @@ def bounds(df: DataFrame, name: str, method: str = "iqr", params: dict | None =
         return (float("-inf") if low is None else float(low), float("inf") if high is None else float(high))
     if method == "percentile":
         low, high = params.get("lower", DEFAULTS[method][0]), params.get("upper", DEFAULTS[method][1])
-        return stats.quantile_nearest(v, "v", low / 100), stats.quantile_nearest(v, "v", high / 100)
+        return tuple(stats.quantiles_nearest(v, "v", [low / 100, high / 100]))
     s = found or column_stats(df, name, markers)
     if method == "iqr":
         k = params.get("multiplier", DEFAULTS[method])

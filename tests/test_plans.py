@@ -30,6 +30,8 @@ def test_order_statistics_by_narrowing(spark):
     ordered = sorted(values)
     for rank in (0, 1, 700, 1499, 1500, 2400, 2998, 2999):
         assert stats.at_rank(df, "v", rank, few=50) == ordered[rank]
+    ranks = [0, 1, 700, 1499, 2999]
+    assert stats.at_ranks(df, "v", ranks, few=50) == stats.at_ranks(df, "v", ranks, few=900) == stats.at_ranks(df, "v", ranks) == [ordered[r] for r in ranks]
     assert stats.median(df, "v") == pytest.approx(statistics.median(values))
     assert stats.quantile_nearest(df, "v", 0.25) == ordered[int(2999 * 0.25 + 0.5)]
     assert stats.median(df.limit(0), "v") is None and stats.quantile_nearest(df.limit(0), "v", 0.5) is None
