@@ -61,7 +61,7 @@ LOOSE = {
 _NEED = {"email": r"@|[\[(]at[\])]|\x20dot\x20|[\[(]dot[\])]", "ip": r"[0-9]", "card": r"[0-9]", "phone": r"[0-9]"}
 #: Words that make a kind likelier when they stand before it.
 _NEAR = {"email": r"mail|contact|write|reach", "ip": r"\bip\b|host|addr|server|client", "card": r"card|visa|pay|credit|debit", "phone": r"tel|phone|call|fax|mobil|whatsapp"}
-_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -138,6 +138,21 @@ def test_pii_base_equals_plain_patterns(spark):
         assert [tuple(x) for x in r.s] == base(texts[r.doc_id]), texts[r.doc_id]
 
 
+def test_pii_takes_zero_parts(spark):
+    rng = random.Random(8)
+    pieces = ["10.0.0.1", "0.0.0.0", "1.00.2.3", "0255.0.0.1", "0256.0.0.1", "0999.1.1.1", "1.2.3.4", "0", "00", ".", " ", "x", "000" * 500]
+    texts = ["10.0.0.1", "127.0.0.1 and 192.168.0.1", "0" * 4000 + ".0.0.0", "0.0.0.256", *("".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    none = {kind: [False] * 256 for kind in pii.KINDS}
+    holds = pii._holds_base("ip", F.col("text"))
+    for r in docs.select("doc_id", pii.base_spans(F.col("text")).alias("s"), pii.redact(F.col("text"), none).alias("t"), holds.alias("holds")).collect():
+        want = base(texts[r.doc_id])
+        assert [tuple(x) for x in r.s] == want, texts[r.doc_id]
+        assert r.holds == any(kind == "ip" for *_, kind in want)
+        if r.doc_id < 4:
+            assert r.t == ["[IP]", "[IP] and [IP]", "[IP]", "0.0.0.256"][r.doc_id]
+
+
 def test_pii_adds_likely_spans(spark, tmp_path):
     rng = random.Random(6)
     number = lambda: f"({rng.randrange(100, 999)}) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"
