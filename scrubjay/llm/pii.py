@@ -57,8 +57,8 @@ LOOSE = {
     "card": rf"{_EDGE}[0-9](?:[\x20./_-]{{0,2}}+[0-9]){{12,18}}+{_AFTER}",
     "phone": rf"(?<![0-9A-Za-z\x01@.-])[+(]?[0-9][\x20()./0-9-]{{6,24}}[0-9]{_AFTER}",
 }
-#: What a text must hold before a pattern is tried on it.
-_NEED = {"email": r"@|[\[(]at[\])]|\x20dot\x20|[\[(]dot[\])]", "ip": r"[0-9]", "card": r"[0-9]", "phone": r"[0-9]"}
+#: What each match of a base or loose pattern holds, so that other texts need not be tried.
+_NEED = {"email": r"@|[\[(]at[\])]|\x20at\x20", "ip": r"[0-9]", "card": r"[0-9]", "phone": r"[0-9]"}
 #: Words that make a kind likelier when they stand before it.
 _NEAR = {"email": r"mail|contact|write|reach", "ip": r"\bip\b|host|addr|server|client", "card": r"card|visa|pay|credit|debit", "phone": r"tel|phone|call|fax|mobil|whatsapp"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"

@@ -153,6 +153,24 @@ def test_pii_takes_zero_parts(spark):
             assert r.t == ["[IP]", "[IP] and [IP]", "[IP]", "0.0.0.256"][r.doc_id]
 
 
+def test_pii_prefilter_loses_no_candidate(spark):
+    rng = random.Random(9)
+    pieces = ["jane", "example", "com", "a-b", " at ", " (at) ", "[at]", "(@)", "@", ".", " dot ", "(dot)", "[.]", " (.) ", " ", "mail ", "1", " 1.2.3.4 ", " 1(dot)2.3.4 ", "+1 212 555-0100", "4111 1111 1111 1111", "(212) 555-0100", "\n", "é"]
+    texts = ["mail jane at example.com today", "x@y.org and jane at example.com today", *("".join(rng.choice(pieces) for _ in range(rng.randrange(14))) for _ in range(1500))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    hits = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
+    columns = [c for k in pii.KINDS for p in (pii.BASE[k], pii.LOOSE[k]) for c in (hits(p), pii._if_needed(k, F.col("text"), hits(p), F.array().cast("array<string>")))]
+    seen = [0] * len(columns)
+    for r in docs.select(*(c.alias(str(i)) for i, c in enumerate(columns))).collect():
+        assert r[0::2] == r[1::2]
+        seen = [n + len(x) for n, x in zip(seen, r, strict=True)]
+    assert all(seen)
+    model = {kind: [kind == "email"] * 256 for kind in pii.KINDS}
+    got = docs.where("doc_id < 2").orderBy("doc_id").select(pii.added_spans(F.col("text"), model), pii.redact(F.col("text"), model)).collect()
+    assert [[tuple(x) for x in r[0]] for r in got] == [[(5, 0, 24, "email")], [(12, 0, 31, "email")]]
+    assert [r[1] for r in got] == ["mail [EMAIL] today", "[EMAIL] and [EMAIL] today"]
+
+
 def test_pii_adds_likely_spans(spark, tmp_path):
     rng = random.Random(6)
     number = lambda: f"({rng.randrange(100, 999)}) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"
