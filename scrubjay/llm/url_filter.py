@@ -2,7 +2,8 @@
 
 Host names run words together.  A Viterbi search under a unigram model splits
 each label of a host into the most likely words; the model's words and counts
-come from all pages' titles, URL tokens among them.  A multinomial naive Bayes
+come from all pages' titles and URLs without the hosts' own names, which would
+else be words as frequent as their pages.  A multinomial naive Bayes
 model over the host's words and the path's tokens then scores a URL.  It
 learns from the URLs that rules decide, their verdict as label, over all
 pages.
@@ -104,10 +105,14 @@ class Words:
 
 
 def learn_words(pages: DataFrame, url: str = "url", html: str = "html", most_words: int = 50_000) -> Words:
-    """Unigram counts over the titles and URLs of all pages; the most frequent words are kept."""
+    """Unigram counts over the titles and URLs of all pages, less each page's own host; the most frequent words are kept."""
     title = F.regexp_extract(F.col(html), r"(?is)<title[^>]*>([^<]*)", 1)
-    text = F.lower(F.concat_ws(" ", title, F.col(url)))
-    words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).where((F.length("word") > 0) & (F.length("word") <= _LONGEST_WORD))
+    rest = F.regexp_replace(F.col(url), r"(?s)^.*?://[^/?#]*", " ")
+    letters = lambda text: F.split(F.lower(text), r"[^\p{L}]+")
+    running = pages.select(letters(F.concat_ws(" ", title, rest)).alias("words"), letters(host_of(F.col(url))).alias("names"))
+    # a name that joins words and stands in its own pages' titles isn't a word for that
+    words = running.select("names", F.explode("words").alias("word")).where(~F.array_contains("names", F.col("word"))).select("word")
+    words = words.where((F.length("word") > 0) & (F.length("word") <= _LONGEST_WORD))
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 1
     # words by steps of their count's logarithm tell from which count on there are enough

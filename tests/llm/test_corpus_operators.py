@@ -111,6 +111,13 @@ def test_url_words_and_bayes(spark):
     assert abs(odds[1] - (np.log(3 / 6) - np.log(1 / 5))) < 1e-12 and odds[9] == 0 and abs(odds[-1] - np.log(2)) < 1e-12
 
 
+def test_url_names_of_many_pages_are_split(spark):
+    rows = [(i, f"http://www.bluebirds.org/{i}", "<title>Home of bluebirds</title>") for i in range(300)]
+    rows += [(1000 + i, f"http://x{i}.net/fly", "<title>blue birds sing</title>") for i in range(5)]
+    words = url_filter.learn_words(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert words.split("bluebirds") == ("blue", "birds") and words.split("bluebirdsfly") == ("blue", "birds", "fly")
+
+
 # --- personal data ---
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
