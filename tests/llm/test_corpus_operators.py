@@ -343,8 +343,11 @@ def test_tiling_equals_the_textbook():
         doc = [rng.randrange(5) for _ in range(rng.randrange(40))]
         cut = rng.randrange(len(item))
         doc += item[cut:] + [9] * rng.randrange(2) + item[:cut]
-        hits = [(p, q) for p in range(len(doc) - 2) for q in range(len(item) - 2) if doc[p : p + 3] == item[q : q + 3]]
-        assert decontaminate.tiles(np.array(doc), np.array(item), hits, 3) == slow_tiles(doc, item, 3) if hits else True
+        own = [tuple(item[q : q + 3]) for q in range(len(item) - 2)]
+        places = [p for p in range(len(doc) - 2) if tuple(doc[p : p + 3]) in own]
+        number = {seed: i for i, seed in enumerate(dict.fromkeys(own))}
+        runs = decontaminate.shared_runs(np.array(places, np.int64), np.array([number[tuple(doc[p : p + 3])] for p in places], np.int64), np.array([number[x] for x in own]), 3)
+        assert decontaminate.tiles(runs, len(item), 3) == slow_tiles(doc, item, 3)
 
 
 def test_decontamination(spark, tmp_path):
@@ -357,7 +360,7 @@ def test_decontamination(spark, tmp_path):
     long = [(1, 1, 1.0, 1), (1, 1, 1.0, 1), (1, 1, 1.0, 1), (1, 1, 1.0, 1), (2, 1, 1.0, 2), (2, 1, 1.0, 2), (4, 1, 0.825, 1), (4, 1, 0.825, 1), (9, 1, 1.0, 1), (9, 1, 1.0, 1), (-1, 1, 1.0, 1), (-1, 1, 1.0, 1)]
     short = [(i, -1, 1.0, 1) for i in (1, 1, 2, 3, 4, 9, -1)]
     assert got == sorted(long + short)
-    few = decontaminate.contaminated(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet"), block_bytes=200)
+    few = decontaminate.contaminated(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet"), salts=3)
     assert sorted((r.doc_id or -1, r.item_id or -1, round(r.coverage, 3), r.n_tiles) for r in few.collect()) == got
     table(spark, [], "item_id long, text string", tmp_path, "benchmark")
     assert queries.op10_decontaminate(spark, str(tmp_path)).collect() == []
