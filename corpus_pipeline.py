@@ -38,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that cover no benchmark item to four fifths."""
     bound_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return docs.where(F.size(decontaminate.matches(F.col("text"), benchmark)) == 0)
+    return decontaminate.clean(docs, benchmark)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
