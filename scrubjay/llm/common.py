@@ -33,15 +33,15 @@ def bound_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
         spark.conf.set(key, f"{most_bytes}b")
 
 
-def join_hot(many: DataFrame, few: DataFrame, keys: list[str], salts: int = 64, share: int = 1000) -> DataFrame:
-    """Inner join on keys of which some may be those of very many rows of ``many``.
+def join_hot(many: DataFrame, few: DataFrame, keys: list[str], salts: int = 64, share: int = 1000, counts: DataFrame | None = None) -> DataFrame:
+    """Inner join on keys of which some may be those of very many rows of ``many``; ``counts`` has its rows (n) by key, if known.
 
     Keys with more than one ``share``-th of the rows, of which there can't be
     more than ``share``, are salted: their rows are dealt out by a hash of
     all their columns, and the rows of ``few`` that have them are copied for
     each salt.
     """
-    hot = many.groupBy(*keys).agg(F.count("*").alias("n"))
+    hot = many.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
     total = hot.agg(F.sum("n")).first()[0] or 0
     found = hot.where(F.col("n") > max(total // share, share)).select(*keys).collect()
     if not found:

@@ -213,16 +213,15 @@ def doc_hits(docs: DataFrame, doc_id: str, text: str, words: np.ndarray, bits: i
     return own.mapInArrow(read, schema)
 
 
-def anchors(items: DataFrame, hits: DataFrame, threshold: float, least: int) -> DataFrame:
+def anchors(items: DataFrame, often: DataFrame, threshold: float, least: int) -> DataFrame:
     """(item, seed, check): of each item the rarest run of seeds that must hold a shared one.
 
     At most ``item_tokens - need`` tokens may stay uncovered, and a run of
     seeds that are all unshared leaves one token for each of them uncovered,
     but for the first ``least - 1``.
     """
-    often = hits.select(F.explode(F.array_distinct("seeds")).alias("seed")).groupBy("seed").agg(F.count("*").alias("n"))
     each = items.select("item", "item_tokens", F.posexplode(F.arrays_zip("seeds", "checks")).alias("q", "x")).select("item", "item_tokens", "q", F.col("x.seeds").alias("seed"), F.col("x.checks").alias("check"))
-    counted = each.join(often, "seed", "left").select("item", "item_tokens", F.struct("q", F.coalesce("n", F.lit(0)).alias("n"), "seed", "check").alias("x"))
+    counted = each.join(often, ["seed", "check"], "left").select("item", "item_tokens", F.struct("q", F.coalesce("n", F.lit(0)).alias("n"), "seed", "check").alias("x"))
     per = counted.groupBy("item", "item_tokens").agg(F.array_sort(F.collect_list("x")).alias("x"))  # one item's seeds
 
     @F.arrow_udf("int")
@@ -265,8 +264,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     items = materialize(numbered(item_seeds(benchmark, item_id, item_text, least), "item"), "items")
     hits = materialize(numbered(doc_hits(docs, doc_id, text, *bitmap(items), least), "doc"), "hits")
     seeds = hits.select("doc", F.explode(F.array_distinct(F.arrays_zip("seeds", "checks"))).alias("x")).select("doc", F.col("x.seeds").alias("seed"), F.col("x.checks").alias("check"))
-    marked = anchors(items, hits, threshold, least)
-    pairs = materialize(join_hot(seeds, marked, ["seed", "check"], salts).select("doc", "item").distinct(), "pairs")
+    often = materialize(seeds.groupBy("seed", "check").agg(F.count("*").alias("n")), "often")
+    marked = materialize(anchors(items, often, threshold, least), "anchors")  # so that its size is known to the join
+    pairs = materialize(join_hot(seeds, marked, ["seed", "check"], salts, counts=often).select("doc", "item").distinct(), "pairs")
     own = items.select("item", "item_id", "item_tokens", F.col("seeds").alias("own_seeds"), F.col("checks").alias("own_checks"))
     return _tiled(join_hot(pairs, own, ["item"], salts).join(hits, "doc"), threshold, least)
 
