@@ -2,19 +2,27 @@
 
 Host names run words together.  A Viterbi search under a unigram model splits
 each label of a host into the most likely words; the model's words and counts
-come from all pages' titles and URLs without the hosts' own names, which would
+come from all pages' titles and paths without the hosts' own names, which would
 else be words as frequent as their pages.  A multinomial naive Bayes
 model over the host's words and the path's tokens then scores a URL.  It
 learns from the URLs that rules decide, their verdict as label, over all
 pages.
 
-Model sizes are fixed: the ``most_words`` most frequent words, and ``2**16``
-hashed tokens, so what the driver and the executors hold doesn't grow.
+Counts are over all words of all pages.  The model's words are those that make
+up at least ``least_share`` of the running words, so there can't be more than
+``1 / least_share`` of them, at any size of the table; rarer ones are taken for
+fragments and weighed by their letters, like words never seen.  A word of one
+or two letters has to be ``SHORT`` times as frequent.  The Bayes model has
+``2**16`` hashed tokens.
 
 Defined results: a URL that is null or has no ``://`` has an empty host and
-path.  A URL without any known token gets the verdict that the rules give more
-often; with even odds, or if the rules decide no page, it is allowed.  Rows are judged one by one, so repeated rows
-are equal and extra columns never read.
+path.  Names have no more than 63 letters in a label; longer runs are left
+whole, and so are words, which can't occur in one.  Ties of two splits go to the
+one whose last word is longer.  Of rules of equal length that fit, the one
+whose text sorts last counts, of equal texts the last in the list.  A URL
+without any known token gets the verdict that the rules give more often; with
+even odds, or if the rules decide no page, it is allowed.  Rows are judged one
+by one, so repeated rows are equal and extra columns never read.
 """
 
 from __future__ import annotations
@@ -29,9 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrubjay.llm.common import materialize
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BITS = 16
-_LONGEST_WORD = 24
+LONGEST_LABEL = 63
+SHORT = 1000
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -85,12 +96,12 @@ class Words:
     total: float
 
     def split(self, label: str) -> tuple[str, ...]:
-        """Most likely words of a run of letters, fewest first on ties."""
-        if len(label) < 2:
+        """Most likely words of a run of letters; a run too long for a label stays whole."""
+        if not 2 <= len(label) <= LONGEST_LABEL:
             return (label,) if label else ()
         best, back = [0.0] + [-math.inf] * len(label), [0] * (len(label) + 1)
         for end in range(1, len(label) + 1):
-            for start in range(max(0, end - _LONGEST_WORD), end):
+            for start in range(end):
                 word = label[start:end]
                 log = self.logs.get(word)
                 if log is None:
@@ -104,26 +115,24 @@ class Words:
         return tuple(out[::-1])
 
 
-def learn_words(pages: DataFrame, url: str = "url", html: str = "html", most_words: int = 50_000) -> Words:
-    """Unigram counts over the titles and URLs of all pages, less each page's own host; the most frequent words are kept."""
+def running_words(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(word, n): runs of letters in the titles and paths of all pages, less each page's own host's."""
     title = F.regexp_extract(F.col(html), r"(?is)<title[^>]*>([^<]*)", 1)
     rest = F.regexp_replace(F.col(url), r"(?s)^.*?://[^/?#]*", " ")
     letters = lambda text: F.split(F.lower(text), r"[^\p{L}]+")
     running = pages.select(letters(F.concat_ws(" ", title, rest)).alias("words"), letters(host_of(F.col(url))).alias("names"))
     # a name that joins words and stands in its own pages' titles isn't a word for that
-    words = running.select("names", F.explode("words").alias("word")).where(~F.array_contains("names", F.col("word"))).select("word")
-    words = words.where((F.length("word") > 0) & (F.length("word") <= _LONGEST_WORD))
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    words = running.select(F.explode(F.filter("words", lambda w: (F.length(w) > 0) & (F.length(w) <= LONGEST_LABEL) & ~F.array_contains("names", w))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def learn_words(pages: DataFrame, url: str = "url", html: str = "html", least_share: float = 1e-6) -> Words:
+    """The unigram model: log probabilities of the words with at least ``least_share`` of all counts."""
+    counts = materialize(running_words(pages, url, html), "words")
     total = counts.agg(F.sum("n")).first()[0] or 1
-    # words by steps of their count's logarithm tell from which count on there are enough
-    step = F.floor(F.log2("n") * 8).cast("int")
-    least, found = 0, 0
-    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
-        least, found = r.step, found + r.words
-        if found >= most_words:
-            break
-    kept = counts.where(step >= least).orderBy(F.desc("n"), "word").limit(most_words).collect()
-    return Words({r.word: math.log(r.n / total) for r in kept}, float(total))
+    least = least_share * total * F.when(F.length("word") < 3, SHORT).otherwise(1)
+    kept = counts.where(F.col("n") >= least).toArrow()
+    return Words({w: math.log(n / total) for w, n in zip(kept.column("word").to_pylist(), kept.column("n").to_pylist(), strict=True)}, float(total))
 
 
 def url_tokens(host: str, path: str, words: Words) -> list[str]:
@@ -200,7 +209,7 @@ def judge(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: st
     host, path = host_of(F.col(url)), path_of(F.col(url))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("decided"))
-    rows = rows.select("*", tokens(F.col("host"), F.col("path"), words).alias("tokens"))
+    rows = materialize(rows.select("*", tokens(F.col("host"), F.col("path"), words).alias("tokens")), "urls")
     odds = learn_bayes(rows.where(F.col("decided").isNotNull()), "tokens", "decided")
     scored = rows.select("*", log_odds(F.col("tokens"), odds).alias("odds"))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("decided", F.when(F.col("odds") > 0, "block").otherwise("allow")).alias("verdict"))
