@@ -1,21 +1,30 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text is the set of its terms (lower-cased words between spaces and ASCII
-punctuation), hashed to ``2**24`` numbers.  From a bounded sample of labelled
-rows (``most_rows``, drawn by a hash of the id) the terms that tell the labels
-apart are chosen by their log odds; on these the machine learns a weight each
-and a vector each, whose dot products weigh pairs: an insult together with a
+punctuation, and the first letters of long words, so that a word's forms and
+compounds count together), hashed to ``2**24`` numbers.  From a bounded sample
+of labelled rows (``most_rows``, drawn by a hash of the id) two kinds of terms
+are chosen: those that tell the labels apart by themselves, by a likelihood
+ratio test, which takes terms of one label only too; and the most frequent
+ones, which may tell only in company.  The machine learns a weight for each and
+a vector for each, whose dot products weigh pairs: an insult together with a
 mention of a group may count for more than the two alone.
 
+What the driver gets is bounded: ``most_rows`` rows with the chosen terms that
+they have, ``most_terms`` and ``frequent_terms`` of the kinds.  Terms are counted by Spark over all
+rows of the sample, whatever their length.
+
 Defined results: null and empty texts score what a text without any chosen
 term scores; without rows of both labels, all texts score the share of label 1
 (0 if there are no rows).  Labels that are null teach nothing; of several
-labels of one id the largest counts.  Rows are scored one by one, so repeated
-rows are equal and extra columns never read.
+labels of one id the largest counts, of several texts of one id the one with
+the smallest hash.  Rows are scored one by one, so repeated rows are equal and
+extra columns never read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 import zlib
 
@@ -24,14 +33,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrubjay.llm.common import materialize
+
 _BITS = 24
+#: Letters of a word's beginning that count as a term of their own.
+PREFIXES = (4, 6)
 _GAPS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
+def _hash(word: bytes) -> int:
+    return zlib.crc32(word) >> (32 - _BITS)
+
+
+def words_of(text: str | None) -> set[str]:
+    """The distinct words of a text."""
+    return set((text or "").lower().encode().translate(_GAPS).decode().split())
+
+
+def hashes_of(word: str) -> list[int]:
+    """The word's term and those of its beginnings."""
+    return [_hash(word.encode()), *(_hash(f"{word[:n]}~".encode()) for n in PREFIXES if len(word) > n)]
+
+
 def terms_of(text: str | None) -> list[int]:
     """Hashes of the distinct terms of a text."""
-    words = set((text or "").lower().encode().translate(_GAPS).split())
-    return sorted({zlib.crc32(w) >> (32 - _BITS) for w in words})
+    return sorted({h for w in words_of(text) for h in hashes_of(w)})
 
 
 @dataclass
@@ -45,8 +71,7 @@ class Machine:
 
     def score(self, text: str | None) -> float:
         get = self.rows.get
-        words = set((text or "").lower().encode().translate(_GAPS).split())
-        found = sorted({r for w in words if (r := get(zlib.crc32(w) >> (32 - _BITS))) is not None})
+        found = sorted({r for w in words_of(text) for h in hashes_of(w) if (r := get(h)) is not None})
         margin = self.bias
         if found:
             v = self.vectors[found]
@@ -54,35 +79,39 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(margin, -40, 40))))
 
 
-def choose_terms(texts: list[np.ndarray], labels: np.ndarray, most_terms: int, least_z: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes whose log odds between the labels are ``least_z`` standard errors or more from none, and those log odds."""
-    none = np.empty(0, np.int32)
-    values, seen = np.unique(np.concatenate([*texts, none]), return_counts=True)
-    own, counts = np.unique(np.concatenate([*(t for t, y in zip(texts, labels, strict=True) if y), none]), return_counts=True)
-    hits = np.zeros(len(values))
-    hits[np.searchsorted(values, own)] = counts
-    n1, n0 = labels.sum(), len(labels) - labels.sum()
+def telling(hits: np.ndarray, seen: np.ndarray, n1: float, n: float) -> np.ndarray:
+    """Likelihood ratio (G squared) of terms that ``hits`` of ``n1`` rows of label 1 have, and ``seen`` of all ``n`` rows."""
+    share = seen / n
+
+    def side(k: np.ndarray, m: float) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(k > 0, k * np.log(k / m / share), 0) + np.where(k < m, (m - k) * np.log((m - k) / m / (1 - share)), 0)
+
+    return 2 * (side(hits, n1) + side(seen - hits, n - n1))
+
+
+def log_odds(hits: np.ndarray, seen: np.ndarray, n1: float, n: float) -> np.ndarray:
     a, b = hits + 0.5, seen - hits + 0.5
-    c, d = n1 - hits + 0.5, n0 - (seen - hits) + 0.5
-    odds = np.log(a * d / (b * c))
-    z = odds / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    order = np.argsort(-np.abs(z), kind="stable")[:most_terms]
-    kept = np.sort(order[np.abs(z[order]) >= min(least_z, np.abs(z).max(initial=0))])
-    return values[kept], odds[kept]
+    return np.log(a * (n - n1 - seen + hits + 0.5) / (b * (n1 - hits + 0.5)))
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, factors: int = 8, most_terms: int = 4096, least_z: float = 4.0, steps: int = 3000, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Machine:
-    """Learn by mini-batches with Adagrad steps on the log loss."""
+def _adder(at: np.ndarray, n: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Sums of rows by number."""
+    return lambda values: np.stack([np.bincount(at, column, n) for column in values.T], 1)
+
+
+def fit(texts: list[np.ndarray], labels: np.ndarray, odds: dict[int, float], factors: int = 8, steps: int = 300, batch: int = 256, rate: float = 0.1, decay: float = 1e-3, seed: int = 7) -> Machine:
+    """Learn by mini-batches with Adagrad steps on the log loss; ``odds`` are the chosen terms with the weights to begin at."""
     share = float((labels.sum()) / max(1, len(labels)))
     if not 0 < share < 1:
         return Machine({}, 40.0 if share else -40.0, np.zeros(0), np.zeros((0, factors)))
-    chosen, odds = choose_terms(texts, labels, most_terms, least_z)
-    rows = {int(h): i for i, h in enumerate(chosen)}
+    chosen = sorted(odds)
+    rows = {h: i for i, h in enumerate(chosen)}
     inputs = [np.array([r for h in t.tolist() if (r := rows.get(h)) is not None], np.int64) for t in texts]
     rng = np.random.default_rng(seed)
     n = len(chosen)
     # weights begin at the terms' own log odds, so that one telling term is enough alone
-    w, v, bias = odds.copy(), rng.normal(0, 0.01, (n, factors)), float(np.log(share / (1 - share)))
+    w, v, bias = np.array([odds[h] for h in chosen], float), rng.normal(0, 0.01, (n, factors)), float(np.log(share / (1 - share)))
     gw, gv, gb = np.full(n, 1e-8), np.full((n, factors), 1e-8), 1e-8
     for _ in range(-(-steps * batch // len(labels))):
         order = rng.permutation(len(labels))
@@ -90,8 +119,8 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, factors: int = 8, most_term
             own = order[i : i + batch]
             flat = np.concatenate([inputs[j] for j in own])
             row = np.repeat(np.arange(len(own)), [len(inputs[j]) for j in own])
-            sums = np.zeros((len(own), factors))
-            np.add.at(sums, row, v[flat])
+            by_row, by_term = _adder(row, len(own)), _adder(flat, n)
+            sums = by_row(v[flat])
             squares = np.bincount(row, (v[flat] ** 2).sum(1), len(own))
             margin = bias + np.bincount(row, w[flat], len(own)) + 0.5 * ((sums**2).sum(1) - squares)
             error = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels[own]) / len(own)
@@ -99,9 +128,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, factors: int = 8, most_term
             gb += db * db
             bias -= rate * db / np.sqrt(gb)
             dw = np.bincount(flat, error[row], n) + decay * w / len(own)
-            dv = np.zeros_like(v)
-            np.add.at(dv, flat, error[row, None] * (sums[row] - v[flat]))
-            dv += decay * v / len(own)
+            dv = by_term(error[row, None] * (sums[row] - v[flat])) + decay * v / len(own)
             gw += dw * dw
             gv += dv * dv
             w -= rate * dw / np.sqrt(gw)
@@ -109,19 +136,33 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, factors: int = 8, most_term
     return Machine(rows, bias, w, v)
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 20_000, **options) -> Machine:
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 20_000, most_terms: int = 4096, frequent_terms: int = 1024, least_g2: float = 15.0, **options) -> Machine:
     """A machine from the labelled documents; ``most_rows`` bounds what the driver holds."""
     marked = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).cast("double").alias("label"))
     drawn = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("array<int>")
     def hashed(texts: pa.Array) -> pa.Array:
-        return pa.array([np.array(terms_of(x.as_py()), "<i4").tobytes() for x in texts], pa.binary())
+        return pa.array((terms_of(x.as_py()) for x in texts), pa.list_(pa.int32()))
 
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id")
-    rows = own.select("doc_id", "label", hashed("text").alias("terms")).limit(2 * most_rows).collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.terms)))
-    return fit([np.frombuffer(r.terms, "<i4") for r in rows], np.array([r.label for r in rows]), **options)
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id")  # most_rows rows
+    one = own.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = materialize(one.select("doc_id", "label", hashed("text").alias("terms")), "terms")
+    n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    counts = materialize(rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("seen"), F.sum("label").alias("hits")), "term_counts")
+
+    @F.arrow_udf("double")
+    def tells(hits: pa.Array, seen: pa.Array) -> pa.Array:
+        return pa.array(telling(hits.to_numpy(), seen.to_numpy(), n1, n))
+
+    by_themselves = counts.withColumn("g2", tells("hits", "seen")).where(F.col("g2") >= least_g2).orderBy(F.desc("g2"), "term").limit(most_terms)
+    frequent = counts.where(F.col("seen") < n).orderBy(F.desc("seen"), "term").limit(frequent_terms)
+    chosen = {r.term: (r.hits, r.seen) for part in (by_themselves, frequent) for r in part.collect()} if 0 < n1 < n else {}
+    start = {h: float(log_odds(np.float64(a), np.float64(b), n1, n)) if telling(np.array([a]), np.array([b]), n1, n)[0] >= least_g2 else 0.0 for h, (a, b) in chosen.items()}
+    kept = F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in start], "term int"))  # most_terms + frequent_terms rows
+    few = rows.select("doc_id", "label", F.explode("terms").alias("term")).join(kept, "term").groupBy("doc_id").agg(F.collect_list("term").alias("terms"))
+    held = rows.select("doc_id", "label").join(few, "doc_id", "left").orderBy("doc_id").collect()
+    return fit([np.array(sorted(r.terms or ()), np.int64) for r in held], np.array([r.label for r in held]), start, **options)
 
 
 def score(text: Column, machine: Machine) -> Column:
