@@ -1,27 +1,35 @@
 """WARC archives: a sequential reader, and a writer of response and revisit records.
 
-An archive is a run of gzip members with one record each.  The reader inflates
-a member piece by piece, cuts the record's block by its Content-Length, hashes
-block and payload on the way and compares the digests with those declared.
-Archives travel as rows with a binary column; :func:`read_files` takes archive
-files from any store that Spark reads.
+An archive is a run of gzip members with one record each.  The reader takes
+and inflates a member piece by piece, cuts the record's block by its
+Content-Length, hashes block and payload on the way and compares the digests
+with those declared.  Small archives may travel as rows with a binary column
+(:func:`read_archives`); :func:`read_files` opens archive files in the tasks and
+holds 64 KB of them at a time, whatever their size.
 
 Defined results: a null archive has no records.  A record that is damaged is
 reported with ``error`` set; after a member that can't be inflated the rest of
 its archive is skipped, since where the next member begins isn't known.
-``digest_ok`` is null where nothing could be verified (no payload in the
-archive, as for a revisit, or no digest declared).  Repeated rows make repeated
+``digest_ok`` is null where no payload digest could be verified (no payload in
+the archive, as for a revisit, or no digest declared), and false where that or
+the block's digest is wrong.  A revisit's ``payload_bytes`` is what its
+``X-Payload-Length`` field says, which this writer adds (null in archives
+without it).  Heads of a record, and of the HTTP response in it, may have 1 MB
+at most; a record with a longer one has an error.  Repeated rows make repeated
 records; extra columns are never read.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 import hashlib
+import io
+from typing import BinaryIO
 import zlib
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,22 +77,37 @@ def record(record_id: str, uri: str, payload: bytes, refers_to: str | None = Non
     return squeeze.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
 
 
+class _Source:
+    """What is left of an archive: bytes handed back, then those of ``read``."""
+
+    def __init__(self, read: Callable[[int], bytes]):
+        self.read, self.back, self.at = read, b"", 0
+
+    def take(self) -> bytes:
+        piece, self.back = self.back or self.read(_PIECE), b""
+        self.at += len(piece)
+        return piece
+
+    def hand_back(self, piece: bytes) -> None:
+        self.back, self.at = piece + self.back, self.at - len(piece)
+
+
 class _Member:
-    """Inflates one gzip member of ``data`` from ``at``, on demand."""
+    """Inflates the next gzip member of a source, on demand."""
 
-    def __init__(self, data: memoryview, at: int):
-        self.data, self.fed, self.inflate, self.held = data, at, zlib.decompressobj(31), b""
+    def __init__(self, source: _Source):
+        self.source, self.inflate, self.held = source, zlib.decompressobj(31), b""
 
     def more(self) -> bool:
         """Inflate another piece; False at the member's end."""
         while not self.inflate.eof:
-            tail = self.inflate.unconsumed_tail
+            tail = self.inflate.unconsumed_tail or self.source.take()
             if not tail:
-                if self.fed >= len(self.data):
-                    raise ValueError("the archive ends within a record")
-                tail = bytes(self.data[self.fed : self.fed + _PIECE])
-                self.fed += len(tail)
-            if got := self.inflate.decompress(tail, _PIECE * 4):
+                raise ValueError("the archive ends within a record")
+            got = self.inflate.decompress(tail, _PIECE * 4)
+            if self.inflate.eof:
+                self.source.hand_back(self.inflate.unused_data)
+            if got:
                 self.held += got
                 return True
         return False
@@ -108,20 +131,19 @@ class _Member:
             n -= len(piece)
             yield piece
 
-    def end(self) -> int:
-        """Place after the member, of which nothing may be left but the record's end."""
+    def end(self) -> None:
+        """Go to the member's end, before which nothing may be left but the record's end."""
         while self.more():
             if len(self.held) > 4:
                 break
         if self.held != b"\r\n\r\n":
             raise ValueError("the record isn't followed by its end and the member's")
-        return self.fed - len(self.inflate.unused_data)
 
-    def skip(self) -> int:
-        """Place after the member, whatever is left in it."""
+    def skip(self) -> None:
+        """Go to the member's end, whatever is left in it."""
+        self.held = b""
         while self.more():
             self.held = b""
-        return self.fed - len(self.inflate.unused_data)
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -145,15 +167,18 @@ def _one(member: _Member, keep_payload: bool) -> dict:
     size = int(fields["content-length"])
     found["content_length"] = size
     has_head = "application/http" in fields.get("content-type", "")
-    whole, own, kept, head, in_head, n = hashlib.sha1(), hashlib.sha1(), [], b"", has_head, 0
+    whole, own, kept, head, in_head, n = hashlib.sha1(), hashlib.sha1(), [], bytearray(), has_head, 0
     try:
         for piece in member.exactly(size):
             whole.update(piece)
             if in_head:
+                seen = max(0, len(head) - 3)
                 head += piece
-                if (cut := head.find(b"\r\n\r\n")) < 0:
+                if (cut := head.find(b"\r\n\r\n", seen)) < 0:
+                    if len(head) > _MOST_HEAD:
+                        raise ValueError("the response has no end of its head")
                     continue
-                piece, in_head = head[cut + 4 :], False
+                piece, in_head = bytes(head[cut + 4 :]), False
             own.update(piece)
             n += len(piece)
             if keep_payload:
@@ -173,49 +198,80 @@ def _one(member: _Member, keep_payload: bool) -> dict:
     return found
 
 
-def read_archive(data: bytes, keep_payload: bool = False) -> Iterator[dict]:
-    """The records of an archive, one after another."""
-    view, at = memoryview(data), 0
-    while at < len(view):
-        member, found = _Member(view, at), {}
+def read_stream(read: Callable[[int], bytes], keep_payload: bool = False) -> Iterator[dict]:
+    """The records of an archive, one after another; ``read`` gives its next bytes, as many as asked for at most."""
+    source = _Source(read)
+    while first := source.take():
+        source.hand_back(first)
+        at = source.at
+        member, found = _Member(source), {}
         try:
             found = _one(member, keep_payload)
-            after = member.skip() if found.get("error") else member.end()
+            if found.get("error"):
+                member.skip()
+            else:
+                member.end()
         except (ValueError, zlib.error) as e:
             found["error"] = found.get("error") or str(e)
             try:
-                after = member.skip()
+                member.skip()
             except (ValueError, zlib.error):
-                after = len(view)
-        yield found | {"offset": at, "length": after - at}
-        at = after
+                while source.take():  # where the next member begins isn't known
+                    pass
+        yield found | {"offset": at, "length": source.at - at}
+
+
+def read_archive(data: bytes, keep_payload: bool = False) -> Iterator[dict]:
+    """The records of an archive in memory."""
+    return read_stream(io.BytesIO(data).read, keep_payload)
 
 
 def read_archives(archives: DataFrame, name: str = "archive", data: str = "data", keep_payload: bool = False) -> DataFrame:
     """One row per record (``RECORD_SCHEMA``) of a table with an archive in each row."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
-        held = 0
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, dict]]:
         for batch in batches:
             for own, value in zip(batch.column(0), batch.column(1), strict=True):
-                if not value.is_valid:
-                    continue
-                for found in read_archive(value.as_py(), keep_payload):
-                    rows.append({n: found.get(n) for n in _NAMES} | {"archive": own.as_py()})
-                    held += 200 + len(found.get("payload") or b"")
-                    if held > 8 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, _ARROW)
-                        rows, held = [], 0
-        yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                if value.is_valid:
+                    yield from ((own.as_py(), found) for found in read_archive(value.as_py(), keep_payload))
 
-    return archives.select(F.col(name).cast("string").alias("archive"), F.col(data).alias("data")).mapInArrow(read, RECORD_SCHEMA)
+    return archives.select(F.col(name).cast("string").alias("archive"), F.col(data).alias("data")).mapInArrow(lambda batches: _batched(records(batches)), RECORD_SCHEMA)
 
 
-def read_files(spark: SparkSession, path: str, keep_payload: bool = False) -> DataFrame:
-    """Records of ``.warc.gz`` files; a file is one row, so it must be under 2 GB (the usual size is 1 GB)."""
-    files = spark.read.format("binaryFile").load(path)
-    return read_archives(files.select(F.col("path").alias("archive"), F.col("content").alias("data")), keep_payload=keep_payload)
+def _batched(records: Iterator[tuple[str, dict]], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Record batches of bounded size."""
+    rows: list[dict] = []
+    held = 0
+    for archive, found in records:
+        rows.append({n: found.get(n) for n in _NAMES} | {"archive": archive})
+        held += 200 + len(found.get("payload") or b"")
+        if held > most_bytes:
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+            rows, held = [], 0
+    yield pa.RecordBatch.from_pylist(rows, _ARROW)
+
+
+def _open(path: str):
+    """A file of any store that Arrow reads, as a stream."""
+    system, place = pafs.FileSystem.from_uri(path)
+    return system.open_input_stream(place, compression=None)
+
+
+def read_files(spark: SparkSession, path: str, keep_payload: bool = False, opener: Callable[[str], BinaryIO] = _open) -> DataFrame:
+    """Records of ``.warc.gz`` files, each read as a stream by the task that has its path.
+
+    Spark lists the files; ``opener`` opens one by its path in a task, by
+    Arrow's file systems if nothing else is given.
+    """
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, dict]]:
+        for batch in batches:
+            for own in batch.column(0).to_pylist():
+                with opener(own) as stream:
+                    yield from ((own, found) for found in read_stream(stream.read, keep_payload))
+
+    paths = spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"))  # names only
+    return paths.repartition("archive").mapInArrow(lambda batches: _batched(records(batches)), RECORD_SCHEMA)
 
 
 def write_archives(pages: DataFrame, record_id: str, uri: Column, payload: Column, least_bytes: int = 0, archive_bytes: int = 8 << 20, level: int = 6) -> DataFrame:
