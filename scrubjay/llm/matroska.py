@@ -373,7 +373,26 @@ def parse_with_track(media: Column, track: int = 1) -> Column:
     return read(media)
 
 
+def packet_digest(file: Column) -> Column:
+    """SHA-1 of a file's packet table: track, timestamp, place and size of every packet in order."""
+    parts = F.transform(file["packets"], lambda p: F.concat_ws(":", p["track"], p["timestamp_ns"], p["offset"], p["size"]))
+    return F.sha1(F.array_join(parts, ","))
+
+
+def clusters_cued(file: Column) -> Column:
+    """How many clusters with packets the file's cues lead to."""
+    return F.size(F.array_intersect(file["cues"]["cluster"], file["packets"]["cluster"]))
+
+
 def packet_table(files: DataFrame, file_id: str, media: str) -> DataFrame:
-    """One row per packet: ``file_id`` and the packet's fields, for a table of files."""
+    """One row per packet: ``file_id``, the packet's fields and the file's error; a file without packets has one row without them."""
+    parsed = files.select(F.col(file_id).alias(file_id), parse(F.col(media)).alias("file"))
+    return parsed.select(file_id, F.col("file.error").alias("error"), F.posexplode_outer("file.packets").alias("packet_no", "packet")).select(file_id, "packet_no", "packet.*", "error")
+
+
+def cue_table(files: DataFrame, file_id: str, media: str) -> DataFrame:
+    """One row per cue: ``file_id``, its time, track and cluster, and how many of the track's packets that cluster has."""
     parsed = files.select(F.col(file_id).alias(file_id), parse(F.col(media)).alias("file"))
-    return parsed.select(file_id, F.posexplode("file.packets").alias("packet_no", "packet")).select(file_id, "packet_no", "packet.*")
+    cues = parsed.select(file_id, "file.packets", F.posexplode("file.cues").alias("cue_no", "cue"))
+    own = F.filter("packets", lambda p: (p["cluster"] == F.col("cue.cluster")) & (p["track"] == F.col("cue.track")))
+    return cues.select(file_id, "cue_no", "cue.*", F.size(own).alias("n_packets"))
