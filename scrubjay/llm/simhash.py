@@ -265,14 +265,14 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """The rows of ``docs`` that stay: of each component the one with the smallest id.
 
     A row without an id stays only if its whole component has none; of rows
-    alike in id and fingerprint one stays.  All columns are kept.
+    alike in id and fingerprint one stays.  All columns are kept.  The rows are
+    written once with their fingerprint and a number, by which those that stay
+    are picked in one shuffle.
     """
-    own, key = "__scrubjay_fp", "__scrubjay_key"
-    marked = materialize(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), words).alias("fp")), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("fp").alias("own"))).alias("best")), "distinct")
+    fp, row = "__scrubjay_fp", "__scrubjay_row"
+    marked = materialize(docs.withColumns({fp: fingerprint(F.col(text), words), row: F.monotonically_increasing_id()}), "fingerprinted")
+    first = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("doc_id"), F.col(row).alias("row"))
+    distinct = materialize(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(first).alias("best")), "distinct")
     roots = components(link(distinct, radius=radius)).withColumnRenamed("node", "fp")
-    kept = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("best").alias("best")).select(F.col("best.own").alias("__scrubjay_own"), F.struct(F.col("best.doc_id").alias("id")).alias("__scrubjay_id"))
-    # a struct with a null inside equals its like, and the join and what follows share one shuffle of the texts
-    rows = docs.withColumn(own, fingerprint(F.col(text), words)).withColumn(key, F.struct(F.col(doc_id).alias("id")))
-    rows = rows.join(kept, (rows[own] == kept["__scrubjay_own"]) & (rows[key] == kept["__scrubjay_id"]), "left_semi")
-    return rows.dropDuplicates([own, key]).drop(own, key)
+    kept = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("best")["row"].alias(row)).select(row)
+    return marked.join(kept, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
