@@ -39,12 +39,14 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("cues="), F.size("file.cues")),
             F.concat(F.lit("duration_ms="), (F.col("file.duration_ns") / 1_000_000).cast("long")),
             F.concat(F.lit("last_packet_ms="), (F.element_at("file.packets", -1)["timestamp_ns"] / 1_000_000).cast("long")),
+            F.concat(F.lit("clusters_cued="), matroska.clusters_cued(F.col("file"))),
+            F.concat(F.lit("packet_table="), matroska.packet_digest(F.col("file"))),
         ).alias("feature"),
     )
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A record per page written to archives in the shared folder, and all of them read back."""
+    """A record per page written to archives in the shared folder, and all of them read back and verified."""
     pages = _table(spark, sf_dir, "pages")
     payload = F.encode(text_or_empty(F.col("html")), "UTF-8")
     archives = materialize(warc.write_archives(pages, "page_id", F.col("url"), payload, least_bytes=0), "archives")
@@ -55,6 +57,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "payload_digest",
         "record_type",
         F.col("refers_to").cast("long").alias("refers_to"),
+        "digest_ok",
+        "error",
     )
 
 
@@ -71,7 +75,8 @@ SELECT page_id, payload_bytes,
     16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT)
     + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT) AS INT), 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN first IS NULL OR page_id = first THEN NULL ELSE first END AS refers_to
+  CASE WHEN first IS NULL OR page_id = first THEN NULL ELSE first END AS refers_to,
+  CASE WHEN first IS NULL OR page_id = first THEN true END AS digest_ok, CAST(NULL AS VARCHAR) AS error
 FROM b
 """
 
@@ -100,7 +105,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in each text: base spans, and those that boosted trees add."""
     docs = _table(spark, sf_dir, "documents")
     model = pii.learn(docs)
-    found = docs.select("doc_id", pii.base_spans(F.col("text")).alias("base"), pii.added_spans(F.col("text"), model).alias("added"))
+    found = pii.find(docs.select("doc_id", "text"), model)
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(number, pii.KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", "added"))).alias("spans"))

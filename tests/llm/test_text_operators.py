@@ -69,7 +69,10 @@ def test_packet_table_and_query(spark, tmp_path):
     rows = [(1, matroska.write_pcm(b"x" * 1000)), (2, None), (3, b"junk"), (4, matroska.write_pcm(b""))]
     files = spark.createDataFrame(rows, "id long, media binary").withColumn("track", F.lit("clash"))
     table = matroska.packet_table(files, "id", "media").orderBy("id", "packet_no").collect()
-    assert [(r.id, r.packet_no, r.size) for r in table] == [(1, 0, 576), (1, 1, 424)]
+    assert [(r.id, r.packet_no, r.size) for r in table] == [(1, 0, 576), (1, 1, 424), (2, None, None), (3, None, None), (4, None, None)]
+    assert [bool(r.error) for r in table] == [False, False, False, True, False]
+    cues = matroska.cue_table(files.union(spark.createDataFrame([(9, matroska.write_pcm(b"y" * 2_000_000), "x")], files.schema)), "id", "media").collect()
+    assert all(r.n_packets > 0 for r in cues) and sum(r.id == 9 for r in cues) > 1
     both = files.select("id", matroska.parse_with_track(F.col("media")).alias("f")).orderBy("id").collect()
     assert [r.f and bytes(r.f.payload) for r in both] == [b"x" * 1000, None, b"", b""] and both[2].f.error
     documents(spark, [*ODD, *ODD]).write.parquet(str(tmp_path / "documents.parquet"))
@@ -85,6 +88,9 @@ def test_packet_table_and_query(spark, tmp_path):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
         assert r.tail_crc32 == zlib.crc32(payload[-32:])
         assert r.media_sha256 == hashlib.sha256(matroska.write_pcm(payload)).hexdigest()
+        packets = matroska.read_file(matroska.write_pcm(payload))["packets"]
+        joined = ",".join(f"{track}:{when}:{at}:{size}" for track, when, at, size, *_ in packets)
+        assert r.feature.endswith(f"clusters_cued={len({p[6] for p in packets})};packet_table={hashlib.sha1(joined.encode()).hexdigest()}")
 
 
 # --- tokens ---
