@@ -43,7 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with personal data replaced by its kind; ``n_chars`` follows the text."""
-    text = docs.withColumn("text", pii.redact(F.col("text"), pii.learn(docs)))
+    text = pii.redact(docs, pii.learn(docs))
     return text.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
