@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scrubjay.functions import ordering
 from scrubjay.functions.columns import qcol
+from scrubjay.session import materialize
 
 #: Distinct values that an order statistic may bring to the driver at most.
 FEW = 20_000
@@ -52,16 +54,23 @@ def at_rank(values: DataFrame, column: str, rank: int, few: int = FEW):
     return None
 
 
-def at_ranks(values: DataFrame, column: str, ranks: Sequence[int], few: int = FEW) -> list:
-    """The values at several 0-based ranks, found together: three passes as a rule, whatever the number of ranks."""
+def around_quantiles(column: str, qs: Sequence[float]) -> Column:
+    """Aggregate: values a little below and a little above each quantile, for at_ranks."""
+    return F.percentile_approx(qcol(column), F.array(*(F.lit(x) for q in qs for x in (max(0.0, q - 0.001), min(1.0, q + 0.001)))), 10_000)
+
+
+def at_ranks(values: DataFrame, column: str, ranks: Sequence[int], few: int = FEW, n: int | None = None, around: Sequence | None = None) -> list:
+    """The values at several 0-based ranks, found together: three passes as a rule, whatever the number of ranks.
+
+    Who has counted the values, and their ``around_quantiles`` at the ranks, can save a pass or two.
+    """
     c = qcol(column)
     rows = values.where(c.isNotNull()).select(c.alias("v"))
-    n = rows.count()
+    n = rows.count() if n is None else n
     near = F.lit(True)
     skipped = [0] * len(ranks)
     if n > few:
-        qs = [x for r in ranks for x in (max(0.0, r / n - 0.001), min(1.0, r / n + 0.001))]
-        found = rows.agg(F.percentile_approx("v", F.array(*map(F.lit, qs)), 10_000)).first()[0]
+        found = around or rows.agg(around_quantiles("v", [r / n for r in ranks])).first()[0]
         ranges = list(zip(found[::2], found[1::2], strict=True))
         counts = rows.agg(*(x for low, high in ranges for x in (F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))))).first()
         skipped = list(counts[::2])
@@ -123,16 +132,30 @@ def group_mode(df: DataFrame, keys: Sequence[str], column: str, out: str) -> Dat
     return best.select(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=True)), out)
 
 
-def group_ranks(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+def group_ranks(df: DataFrame, keys: Sequence[str], value: Column, rows_per_bucket: int = ordering.ROWS_PER_BUCKET) -> DataFrame:
     """Per group and distinct value: how many rows have it (n), how many a value up to it (upto), rows in all (total).
 
-    Rows are summed by value before a group is sorted, so a hot group costs
-    its distinct values.
+    Rows are summed by value first.  If those sums fit one bucket, so does each
+    group, and is sorted by itself.  Else all sums are dealt to buckets in the
+    order of group and value, so that a group of any size is spread over as
+    many tasks as it needs; ranks are then counted from the group's start.
     """
-    counts = df.select(*(qcol(k).alias(k) for k in keys), value.alias("v")).where(F.col("v").isNotNull()).groupBy(*(qcol(k) for k in keys), "v").agg(F.count("*").alias("n"))
-    group = Window.partitionBy(*(qcol(k) for k in keys))
-    upto = F.sum("n").over(group.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("upto", upto).withColumn("total", F.sum("n").over(group))
+    names = [f"__k{i}" for i in range(len(keys))]
+    rows = df.select(*(qcol(k).alias(x) for k, x in zip(keys, names, strict=True)), value.alias("v")).where(F.col("v").isNotNull())
+    counts = materialize(rows.groupBy(*names, "v").agg(F.count("*").alias("n")), "value_counts")
+    ordered = ordering.by_key(counts, F.struct(*names, "v"), rows_per_bucket)
+    upto = Window.unboundedPreceding, 0
+    if ordered.buckets == 1:
+        group = Window.partitionBy(*names)
+        ranked = counts.withColumns({"upto": F.sum("n").over(group.orderBy("v").rowsBetween(*upto)), "total": F.sum("n").over(group)})
+    else:
+        frame = ordering.handed_on(ordered, F.sum("n"), "__before")
+        placed = frame.withColumn("through", F.col("__before") + F.sum("n").over(ordered.window().rowsBetween(*upto)))
+        groups = placed.groupBy(*names).agg(F.min(F.col("through") - F.col("n")).alias("start"), F.sum("n").alias("total"))
+        groups = groups.select(*(F.col(x).alias(x + "g") for x in names), "start", "total")
+        same = reduce(operator.and_, (F.col(x).eqNullSafe(F.col(x + "g")) for x in names))
+        ranked = placed.join(groups, same).withColumn("upto", F.col("through") - F.col("start"))
+    return ranked.select(*(F.col(x).alias(k) for k, x in zip(keys, names, strict=True)), "v", "n", "upto", "total")
 
 
 def _pick(rank: Column) -> Column:
@@ -140,9 +163,9 @@ def _pick(rank: Column) -> Column:
     return F.min(F.when(F.col("upto") > rank, F.col("v")))
 
 
-def group_quantiles(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: Column, rows_per_bucket: int = ordering.ROWS_PER_BUCKET) -> DataFrame:
     """Per group: n, median (interpolated), q1 and q3 (nearest rank) of a numeric column."""
-    ranks = group_ranks(df, keys, value)
+    ranks = group_ranks(df, keys, value, rows_per_bucket)
     total = F.col("total")
     near = lambda q: _pick(F.floor((total - 1) * q + 0.5))
     return ranks.groupBy(*(qcol(k) for k in keys)).agg(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scrubjay.functions import ordering, stats
 from scrubjay.functions.columns import blank_to_null, dtype_of, float_text, is_missing, is_temporal, is_text, markers_of, number, number_or_comma, qcol, set_column
@@ -18,7 +17,6 @@ METHODS = ("drop_rows", "drop_column", "constant", "mean", "median", "mode", "fo
 def treat_missing(df: DataFrame, params: dict) -> DataFrame:
     """One of METHODS on a column; markers in text count as missing and become null."""
     name, method, markers = params["column"], params["method"], markers_of(params)
-    kind = dtype_of(df, name)
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
     if method == "drop_column":
@@ -30,13 +28,13 @@ def treat_missing(df: DataFrame, params: dict) -> DataFrame:
     if method in ("constant", "mean", "median", "mode"):
         return set_column(df, name, F.coalesce(qcol(name), _one_value(df, name, method, params)))
     if method in ("forward_fill", "backward_fill"):
-        ordered = _in_order(df, params)
-        return set_column(ordered.frame, name, ordering.fill(ordered, name, method == "forward_fill")).select(*map(qcol, df.columns))
+        found = ordering.filled(_in_order(df, params), name, "__filled", method == "forward_fill")
+        return set_column(found, name, F.col("__filled")).select(*map(qcol, df.columns))
     if method in ("interpolate_linear", "interpolate_time"):
         return _interpolated(df, name, method == "interpolate_time", params)
     if method == "group_impute":
         return _by_group(df, name, params)
-    return _from_observed(df, name, int(params.get("seed", 0)), kind)
+    return _from_observed(df, name, int(params.get("seed", 0)), params.get("rows_per_bucket", ordering.ROWS_PER_BUCKET))
 
 
 def _in_order(df: DataFrame, params: dict) -> ordering.Ordered:
@@ -76,8 +74,8 @@ def _interpolated(df: DataFrame, name: str, by_time: bool, params: dict) -> Data
         position = F.coalesce(seconds, position)
     known = F.when(qcol(name).isNotNull(), F.struct(position.alias("p"), qcol(name).alias("v")))
     placed = placed.withColumn("__p", position).withColumn("__known", known)
-    again = ordering.Ordered(placed, ordered.key, ordered.buckets)
-    placed = placed.withColumn("__before", ordering.fill(again, "__known", True)).withColumn("__after", ordering.fill(again, "__known", False))
+    placed = ordering.filled(ordered.with_frame(placed), "__known", "__before", True)
+    placed = ordering.filled(ordered.with_frame(placed), "__known", "__after", False)
     p, a, b = F.col("__p"), F.col("__before"), F.col("__after")
     gap = b["p"] - a["p"]
     between = F.when(gap == 0, a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (p - a["p"]) / F.when(gap != 0, gap))
@@ -106,18 +104,19 @@ def _by_group(df: DataFrame, name: str, params: dict) -> DataFrame:
     return joined.select(*(filled if c == name else qcol(c) for c in df.columns))
 
 
-def _from_observed(df: DataFrame, name: str, seed: int, kind: T.DataType, donors: int = 4096) -> DataFrame:
-    """A value drawn from the observed ones, by a hash of the row's id and the seed.
+def _from_observed(df: DataFrame, name: str, seed: int, rows_per_bucket: int) -> DataFrame:
+    """A value drawn from all observed ones, by a hash of the row's id and the seed.
 
-    The draw is from one donor row for each of ``donors`` hash slots, which
-    are the same however the rows are partitioned; the donors' values are all
-    that comes to the driver.
+    The observed values are numbered in the order of the ids; a missing row
+    takes the number that its hash leaves, and only missing rows are joined.
+    The draw is the same however the rows are partitioned.
     """
     there = df.where(qcol(name).isNotNull())
-    slot, order = F.pmod(F.xxhash64(qcol(ROW_ID)), F.lit(donors)), F.struct(F.xxhash64(qcol(ROW_ID), F.lit(seed)), qcol(ROW_ID))
-    found = there.groupBy(slot.alias("slot")).agg(F.min_by(qcol(name), order).alias("v")).orderBy("slot").collect()
-    if not found:
+    n = there.count()
+    if not n:
         return df
-    values = F.array(*(F.lit(r.v).cast(kind) for r in found))
-    at = F.pmod(F.xxhash64(qcol(ROW_ID), F.lit(seed)), F.lit(len(found))).cast("int")
-    return set_column(df, name, F.coalesce(qcol(name), F.get(values, at)))
+    numbered = ordering.with_position(ordering.in_buckets(there.select(ROW_ID, qcol(name)), ROW_ID, None, rows_per_bucket))
+    values = numbered.select(F.col(ordering.POSITION).alias("__at"), qcol(name).alias("__drawn"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", qcol(ROW_ID).cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long") % n
+    gone = df.where(qcol(name).isNull()).withColumn("__at", draw).join(values, "__at")
+    return there.unionByName(gone.select(*(F.col("__drawn").alias(name) if c == name else qcol(c) for c in df.columns)))
