@@ -2,5 +2,6 @@
 
 from scrubjay.operators import missing, rows_columns, text, types  # noqa: F401
 from scrubjay.operators.spec import REGISTRY, ROW_LOCAL, OperationSpec, execute, replay
+from scrubjay.plans import duplicates  # noqa: F401
 
 __all__ = ["REGISTRY", "ROW_LOCAL", "OperationSpec", "execute", "replay"]

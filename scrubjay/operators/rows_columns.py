@@ -35,26 +35,42 @@ def rename_columns(df: DataFrame, params: dict) -> DataFrame:
     return _rename(df, params["mapping"])
 
 
-def ids_frame(df: DataFrame, row_ids: list[int]) -> DataFrame:
+Ids = list[int] | DataFrame
+
+
+def ids_of(df: DataFrame, params: dict) -> Ids:
+    """The rows that an operation is about: a list of ids, or a table of them by its path."""
+    if params.get("row_table"):
+        return df.sparkSession.read.parquet(params["row_table"]).select(ROW_ID).distinct()
+    return list(params["row_ids"])
+
+
+def ids_frame(df: DataFrame, row_ids: Ids) -> DataFrame:
+    if isinstance(row_ids, DataFrame):
+        return row_ids
     return df.sparkSession.createDataFrame([(int(i),) for i in set(row_ids)], f"{ROW_ID} long")
 
 
-def without_rows(df: DataFrame, row_ids: list[int]) -> DataFrame:
+def _listed(row_ids: Ids) -> bool:
+    return isinstance(row_ids, list) and len(row_ids) <= MANY_IDS
+
+
+def without_rows(df: DataFrame, row_ids: Ids) -> DataFrame:
     """Rows but for those of the ids; unknown ids change nothing."""
-    if len(row_ids) <= MANY_IDS:
-        return df.where(~qcol(ROW_ID).isin(list(row_ids))) if row_ids else df
+    if _listed(row_ids):
+        return df.where(~qcol(ROW_ID).isin(row_ids)) if row_ids else df
     return df.join(ids_frame(df, row_ids), ROW_ID, "left_anti").select(*map(qcol, df.columns))
 
 
-def only_rows(df: DataFrame, row_ids: list[int]) -> DataFrame:
-    if len(row_ids) <= MANY_IDS:
-        return df.where(qcol(ROW_ID).isin(list(row_ids))) if row_ids else df.where(F.lit(False))
+def only_rows(df: DataFrame, row_ids: Ids) -> DataFrame:
+    if _listed(row_ids):
+        return df.where(qcol(ROW_ID).isin(row_ids)) if row_ids else df.where(F.lit(False))
     return df.join(ids_frame(df, row_ids), ROW_ID, "left_semi").select(*map(qcol, df.columns))
 
 
 @operation("drop_rows", row_local=True)
 def drop_rows(df: DataFrame, params: dict) -> DataFrame:
-    return without_rows(df, params["row_ids"])
+    return without_rows(df, ids_of(df, params))
 
 
 @operation("drop_column", row_local=True)
@@ -70,10 +86,10 @@ def fill_null_constant(df: DataFrame, params: dict) -> DataFrame:
     return set_column(df, name, F.coalesce(qcol(name), F.lit(params["value"]).cast(dtype_of(df, name))))
 
 
-def _in_rows(df: DataFrame, name: str, row_ids: list[int], value: Column) -> DataFrame:
+def _in_rows(df: DataFrame, name: str, row_ids: Ids, value: Column) -> DataFrame:
     """A column changed in the rows of the ids only."""
-    if len(row_ids) <= MANY_IDS:
-        target = qcol(ROW_ID).isin(list(row_ids)) if row_ids else F.lit(False)
+    if _listed(row_ids):
+        target = qcol(ROW_ID).isin(row_ids) if row_ids else F.lit(False)
         return set_column(df, name, F.when(target, value).otherwise(qcol(name)))
     marked = df.join(ids_frame(df, row_ids).withColumn("__target", F.lit(True)), ROW_ID, "left")
     changed = F.when(F.col("__target"), value).otherwise(qcol(name)).alias(name)
@@ -86,7 +102,7 @@ def treat_rows(df: DataFrame, params: dict) -> DataFrame:
 
     The statistic is over all values, those of the treated rows too.
     """
-    name, method, ids = params["column"], params["method"], list(params["row_ids"])
+    name, method, ids = params["column"], params["method"], ids_of(df, params)
     kind, c = dtype_of(df, name), qcol(name)
     if method == "missing":
         return _in_rows(df, name, ids, F.lit(None).cast(kind))

@@ -9,7 +9,7 @@ from scrubjay.functions.columns import any_of, blank_to_null, dtype_of, float_te
 from scrubjay.functions.dates import parse_date, parse_datetime, parse_time
 from scrubjay.operators.spec import operation
 
-#: A value of a sign, digits and one decimal part; with a unit before or after it.
+# A sign, digits and one decimal part; the same with a unit before or after it.
 PLAIN_NUMBER = r"^\s*[+-]?\d+(?:[.,]\d+)?\s*\z"
 WITH_UNIT = r"^\s*([^\d\s.,+\-]*)\s*([+-]?\d+(?:[.,]\d+)?)\s*([^\d]*)\s*\z"
 

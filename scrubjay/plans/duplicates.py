@@ -15,7 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubjay.functions.columns import MISSING_MARKERS, blank_to_null, is_missing, is_text, qcol, set_column
+from scrubjay.functions.columns import MISSING_MARKERS, blank_to_null, is_missing, is_text, markers_of, qcol, set_column
+from scrubjay.operators.spec import operation
 from scrubjay.session import ROW_ID
 
 WARN_PAIRS, MOST_PAIRS = 1_000_000, 25_000_000
@@ -145,7 +146,7 @@ def class_pairs(df: DataFrame, columns: list[str], blocking: list[str] = (), thr
 
 
 def clusters(df: DataFrame, pairs: DataFrame, columns: list[str], markers=MISSING_MARKERS) -> DataFrame:
-    """(representative, member, score_pct, differing): every row with a partner is a representative of its partners.
+    """(representative, member, score_pct, matching, differing): every row with a partner is a representative of its partners.
 
     Members match their representative, not one another; there is one row per
     member, so no cluster is gathered anywhere.
@@ -154,8 +155,10 @@ def clusters(df: DataFrame, pairs: DataFrame, columns: list[str], markers=MISSIN
     rows = prepared(df, columns, markers).select(qcol(ROW_ID).alias("r"), *(qcol(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)))
     one, two = rows.select(*(F.col(c).alias("x_" + c) for c in rows.columns)), rows.select(*(F.col(c).alias("y_" + c) for c in rows.columns))
     joined = both.join(one, F.col("representative") == F.col("x_r")).join(two, F.col("member") == F.col("y_r"))
-    differing = F.array_compact(F.array(*(F.when(~F.col(f"x_c{i}").eqNullSafe(F.col(f"y_c{i}")), F.lit(c)) for i, c in enumerate(columns))))
-    return joined.select("representative", "member", F.bround(F.col("matches") * 100.0 / len(columns)).cast("int").alias("score_pct"), differing.alias("differing"))
+    same = [F.col(f"x_c{i}").eqNullSafe(F.col(f"y_c{i}")) for i in range(len(columns))]
+    named = lambda tests: F.array_compact(F.array(*(F.when(test, F.lit(c)) for test, c in zip(tests, columns, strict=True))))
+    score = F.bround(F.col("matches") * 100.0 / len(columns)).cast("int")
+    return joined.select("representative", "member", score.alias("score_pct"), named(same).alias("matching"), named([~x for x in same]).alias("differing"))
 
 
 def cluster_sizes(pairs: DataFrame) -> DataFrame:
@@ -193,10 +196,10 @@ def resolve(df: DataFrame, columns: list[str], how: str, blocking: list[str] = (
     return df.join(kept, ROW_ID, "left_semi").select(*map(qcol, df.columns))
 
 
-def drop_specs(df: DataFrame, columns: list[str], how: str, **options) -> list[int]:
-    """Ids that a resolution drops, for a recorded drop_rows; only for results small enough to record."""
-    gone = df.join(resolve(df, columns, how, **options).select(ROW_ID), ROW_ID, "left_anti")
-    return [r[0] for r in gone.select(ROW_ID).orderBy(ROW_ID).collect()]
+@operation("resolve_duplicates")
+def resolve_duplicates(df: DataFrame, params: dict) -> DataFrame:
+    """A recorded resolution: columns, how and blocking say which rows stay, whatever their number, each time it is replayed."""
+    return resolve(df, list(params["columns"]), params["how"], list(params.get("blocking") or []), markers_of(params))
 
 
 def merge_spec(primary: int, others: list[int], field_values: dict) -> dict:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +13,7 @@ from scrubjay.assessments.profile import data_columns, numeric_view
 from scrubjay.functions import ordering, stats
 from scrubjay.functions.columns import MISSING_MARKERS, dtype_of, is_missing, is_numeric, is_text, qcol
 from scrubjay.operators.rows_columns import ids_frame
-from scrubjay.session import ROW_ID
+from scrubjay.session import ROW_ID, scratch_path
 
 # Defaults of the methods and limits of a context.
 DEFAULTS = {"iqr": 1.5, "zscore": 3.0, "modified_zscore": 3.5, "percentile": (1, 99)}
@@ -31,12 +32,12 @@ def values_of(df: DataFrame, name: str, markers: Iterable[str] = MISSING_MARKERS
 def column_stats(df: DataFrame, name: str, markers: Iterable[str] = MISSING_MARKERS) -> dict:
     """count, min, max, mean, median, std, q1, q3, iqr and skew (of the population)."""
     v = values_of(df, name, markers)
-    row = v.agg(F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std"), F.skewness("v").alias("skew")).first()
+    row = v.agg(F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std"), F.skewness("v").alias("skew"), stats.around_quantiles("v", [0.25, 0.75, 0.5, 0.5]).alias("around")).first()
     if not row["count"]:
         raise ValueError(f"{name} has no numbers")
     n = row["count"]
-    q1, q3, low, high = stats.at_ranks(v, "v", [int((n - 1) * 0.25 + 0.5), int((n - 1) * 0.75 + 0.5), (n - 1) // 2, n // 2])
-    return row.asDict() | {"median": (low + high) / 2, "q1": q1, "q3": q3, "iqr": q3 - q1}
+    q1, q3, low, high = stats.at_ranks(v, "v", [int((n - 1) * 0.25 + 0.5), int((n - 1) * 0.75 + 0.5), (n - 1) // 2, n // 2], n=n, around=row["around"])
+    return {k: x for k, x in row.asDict().items() if k != "around"} | {"median": (low + high) / 2, "q1": q1, "q3": q3, "iqr": q3 - q1}
 
 
 def bounds(df: DataFrame, name: str, method: str = "iqr", params: dict | None = None, markers: Iterable[str] = MISSING_MARKERS, found: dict | None = None) -> tuple[float, float]:
@@ -215,9 +216,9 @@ def review(df: DataFrame, name: str, context: str, flags: DataFrame | list[int],
 
 
 def visual_sample(df: DataFrame, x: str, y: str, flags: DataFrame, most: int = SAMPLE, seed: int = SAMPLE_SEED) -> DataFrame:
-    """A picture's rows: ``most`` drawn by a hash of the id, and every flagged row."""
+    """A picture's rows: ``most`` drawn by a hash of the id and the seed, and every flagged row."""
     marked = df.select(ROW_ID, qcol(x).alias("x"), qcol(y).alias("y")).join(flags.select(ROW_ID, F.lit(True).alias("flag")), ROW_ID, "left")
-    rest = marked.where(F.col("flag").isNull()).orderBy(F.xxhash64(ROW_ID, F.lit(seed)), ROW_ID).limit(most)
+    rest = marked.where(F.col("flag").isNull()).orderBy(F.md5(F.concat_ws(":", F.col(ROW_ID).cast("string"), F.lit(str(seed)))), ROW_ID).limit(most)
     return rest.unionByName(marked.where("flag")).select(ROW_ID, "x", "y", F.coalesce("flag", F.lit(False)).alias("flagged"))
 
 
@@ -228,48 +229,96 @@ TREATMENTS = ("keep", "remove", "set_missing", "cap", "impute", "correct")
 
 
 class OutlierLog:
-    """Flags, evidence and decisions per column; a plain record that goes to JSON."""
+    """Flags, evidence and decisions per column; a plain record that goes to JSON.
 
-    def __init__(self, data: dict | None = None):
-        self.data = data or {"outcome": None, "columns": {}}
+    What a screen or a review finds is a table, kept by its path under
+    ``folder``; a person's own lists of ids are kept as they are.  A decision
+    holds for ids, or for all flagged rows that have none of their own.
+    """
+
+    def __init__(self, data: dict | None = None, folder: str | None = None):
+        self.data, self.folder = data or {"outcome": None, "columns": {}}, folder
 
     def _column(self, name: str) -> dict:
-        return self.data["columns"].setdefault(name, {"flagged": [], "reviewed": False, "evidence": [], "decisions": {}})
+        return self.data["columns"].setdefault(name, {"flagged": [], "flagged_table": None, "n_flagged": 0, "reviewed": False, "evidence": [], "decisions": {}, "decision_of_all": None})
+
+    def _write(self, df: DataFrame, what: str) -> str:
+        path = f"{self.folder}/{what}-{uuid.uuid4().hex}.parquet" if self.folder else scratch_path(df.sparkSession, what)
+        df.write.parquet(path)
+        return path
 
     def declare_outcome(self, name: str, kind: str) -> None:
         self.data["outcome"] = {"column": name, "kind": kind}
 
-    def flag(self, name: str, ids: list[int]) -> None:
-        self._column(name)["flagged"] = sorted(ids)
+    def flag(self, name: str, rows: list[int] | DataFrame) -> None:
+        """Flag ids, or all rows of a table of ids."""
+        own = self._column(name)
+        if isinstance(rows, DataFrame):
+            path = self._write(rows.select(ROW_ID).distinct(), "flagged")
+            own |= {"flagged": [], "flagged_table": path, "n_flagged": rows.sparkSession.read.parquet(path).count()}
+        else:
+            own |= {"flagged": sorted(rows), "flagged_table": None, "n_flagged": len(rows)}
 
-    def add_evidence(self, name: str, context: str, status: dict[int, str]) -> None:
+    def flagged_rows(self, spark: SparkSession, name: str) -> DataFrame:
+        own = self._column(name)
+        if own["flagged_table"]:
+            return spark.read.parquet(own["flagged_table"])
+        return spark.createDataFrame([(i,) for i in own["flagged"]], f"{ROW_ID} long")
+
+    def add_evidence(self, name: str, context: str, status: dict[int, str] | DataFrame) -> None:
+        """A review's (row id, status) rows, or a small dict of them."""
         own = self._column(name)
         own["reviewed"] = True
-        own["evidence"] += [{"row_id": int(i), "context": context, "status": s} for i, s in sorted(status.items())]
+        if isinstance(status, DataFrame):
+            own["evidence"].append({"context": context, "table": self._write(status.select(ROW_ID, "status"), "evidence")})
+        else:
+            own["evidence"] += [{"row_id": int(i), "context": context, "status": s} for i, s in sorted(status.items())]
 
-    def decide(self, name: str, ids: list[int], decision: str) -> None:
+    def decide(self, name: str, ids: list[int] | None, decision: str) -> None:
+        """Decide on some rows, or (None) on all flagged ones without a decision."""
         if decision not in DECISIONS:
             raise ValueError(f"unknown decision: {decision}")
-        self._column(name)["decisions"] |= {str(i): decision for i in ids}
+        if ids is None:
+            self._column(name)["decision_of_all"] = decision
+        else:
+            self._column(name)["decisions"] |= {str(i): decision for i in ids}
 
     def keep_all(self, name: str) -> None:
-        self.decide(name, self._column(name)["flagged"], "valid_extreme")
-
-    def unresolved(self, name: str | None = None) -> int:
+        own = self._column(name)
+        own["decisions"] = {}
+        self.decide(name, None, "valid_extreme")
+
+    def _unresolved(self, own: dict, spark: SparkSession | None) -> int:
+        open_ids = {int(i) for i, d in own["decisions"].items() if d == "needs_review"}
+        done = {int(i) for i in own["decisions"]} - open_ids
+        settled = own["decision_of_all"] not in (None, "needs_review")
+        if not own["flagged_table"]:
+            flagged = {int(i) for i in own["flagged"]}
+            return len(flagged & open_ids) if settled else len(flagged - done)
+        named = open_ids if settled else done
+        if not named:
+            return 0 if settled else own["n_flagged"]
+        spark = spark or SparkSession.active()
+        hits = spark.read.parquet(own["flagged_table"]).join(spark.createDataFrame([(i,) for i in named], f"{ROW_ID} long"), ROW_ID).count()
+        return hits if settled else own["n_flagged"] - hits
+
+    def unresolved(self, name: str | None = None, spark: SparkSession | None = None) -> int:
         """Flagged rows without a decision."""
         own = [self._column(name)] if name else self.data["columns"].values()
-        return sum(len({int(i) for i in c["flagged"]} - {int(i) for i, d in c["decisions"].items() if d != "needs_review"}) for c in own)
+        return sum(self._unresolved(c, spark) for c in own)
 
-    def treatment(self, name: str, ids: list[int], how: str, params: dict | None = None) -> tuple[str, dict] | None:
-        """The operation that a treatment records; locked until the column is reviewed or the rows are decided."""
+    def treatment(self, name: str, ids: list[int] | None, how: str, params: dict | None = None) -> tuple[str, dict] | None:
+        """The operation that a treatment of some or (None) all flagged rows records; locked until the column is reviewed or the rows are decided."""
         own = self._column(name)
         if how not in TREATMENTS:
             raise ValueError(f"unknown treatment: {how}")
-        if not own["reviewed"] and any(str(i) not in own["decisions"] for i in ids):
+        undecided = own["decision_of_all"] is None and (ids is None or any(str(i) not in own["decisions"] for i in ids))
+        if not own["reviewed"] and undecided:
             raise ValueError("review the outliers before treating them")
         if how == "keep":
             return None
+        rows = {"row_table": own["flagged_table"]} if ids is None and own["flagged_table"] else {"row_ids": own["flagged"] if ids is None else ids}
         if how == "remove":
-            return "drop_rows", {"row_ids": ids}
+            return "drop_rows", rows
         method = {"set_missing": "missing", "cap": "cap", "correct": "value"}.get(how) or (params or {}).get("statistic", "median")
-        return "treat_rows", {"column": name, "row_ids": ids, "method": method, **(params or {})}
+        return "treat_rows", {"column": name, **rows, "method": method, **(params or {})}

@@ -18,6 +18,8 @@ def clean_stream(stream: DataFrame, specs: list[OperationSpec]) -> DataFrame:
     for spec in specs:
         if spec.op_type not in ROW_LOCAL:
             raise ValueError(f"{spec.op_type} needs the whole table and can't run on a stream")
+        if spec.params.get("row_table"):
+            raise ValueError(f"{spec.op_type} of a table's rows can't run on a stream")
         listed = spec.params.get(_NEEDS_TABLE.get(spec.op_type, ""), ())
         if len(listed) > _MOST:
             raise ValueError(f"{spec.op_type} with more than {_MOST} entries can't run on a stream")
