@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scrubjay.assessments.profile import data_columns
 from scrubjay.functions.columns import MISSING_MARKERS, any_of, is_missing, qcol
@@ -46,10 +47,23 @@ def key_summary(df: DataFrame, columns: list[str], markers: Iterable[str] = MISS
     return joined.select("total_rows", "missing_rows", "identical_groups", "conflicting_groups", (F.col("total_rows") - F.col("missing_rows") - F.col("__repeated")).alias("unique_rows"))
 
 
-def key_conflicts(df: DataFrame, columns: list[str], markers: Iterable[str] = MISSING_MARKERS, most: int = 50) -> list[dict]:
-    """A report of ``most`` conflicting keys and the columns that differ."""
-    found = key_groups(df, columns, markers).where(F.size("conflicts") > 0).orderBy(*(qcol(c) for c in columns)).limit(most)
-    return [{"key": {c: r[c] for c in columns}, "n_rows": r.n_rows, "conflicts": list(r.conflicts)} for r in found.collect()]
+def key_conflicts(df: DataFrame, columns: list[str], markers: Iterable[str] = MISSING_MARKERS, most: int = 50, values: int = 5) -> list[dict]:
+    """A report of ``most`` conflicting keys: the columns that differ, with ``values`` of their values each, as text."""
+    found = key_groups(df, columns, markers).where(F.size("conflicts") > 0).orderBy(*(qcol(c) for c in columns)).limit(most).collect()
+    if not found:
+        return []
+    names = [f"__k{i}" for i in range(len(columns))]
+    kinds = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, columns, strict=True))
+    reported = df.sparkSession.createDataFrame([(*(r[c] for c in columns), i, list(r.conflicts)) for i, r in enumerate(found)], f"{kinds}, __i int, __conflicts array<string>")
+    others = [c for c in data_columns(df) if c not in columns]
+    rows = df.join(F.broadcast(reported), [qcol(c) == F.col(n) for c, n in zip(columns, names, strict=True)])  # ``most`` rows
+    cells = F.array(*(F.struct(F.lit(c).alias("c"), qcol(c).cast("string").alias("v")) for c in others))
+    distinct = rows.select("__i", F.explode(F.filter(cells, lambda x: F.array_contains("__conflicts", x["c"]))).alias("x")).select("__i", "x.*").distinct()
+    first = Window.partitionBy("__i", "c").orderBy("v")
+    shown: dict = {}
+    for r in distinct.withColumn("k", F.row_number().over(first)).where(F.col("k") <= values).orderBy("__i", "c", "k").collect():
+        shown.setdefault((r["__i"], r.c), []).append(r.v)
+    return [{"key": {c: r[c] for c in columns}, "n_rows": r.n_rows, "conflicts": list(r.conflicts), "values": {c: shown.get((i, c), []) for c in r.conflicts}} for i, r in enumerate(found)]
 
 
 def missing_key_rows(df: DataFrame, columns: list[str], markers: Iterable[str] = MISSING_MARKERS) -> DataFrame:

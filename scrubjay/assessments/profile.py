@@ -43,15 +43,37 @@ def marker_breakdown(df: DataFrame, name: str, markers: Iterable[str] = MISSING_
     return df.where(is_missing(c, markers)).groupBy(kind.alias("marker")).agg(F.count("*").alias("n"))
 
 
+def first_values(df: DataFrame, names: list[str], markers: Iterable[str] = MISSING_MARKERS, most: int = TYPE_SAMPLE) -> dict[str, list]:
+    """Of each column the first ``most`` values that aren't missing, in the order of the ids.
+
+    The rows with the smallest ids are read once for all columns; only a
+    column with so many missing values that they aren't enough is sought by
+    itself.
+    """
+    markers = list(markers)
+    there = lambda c: F.when(~is_missing(qcol(c), markers), qcol(c))
+    found: dict[str, list] = {c: [] for c in names}
+    sought = list(names)
+    if ROW_ID in df.columns and names:
+        low = df.agg(F.min(qcol(ROW_ID))).first()[0]
+        if low is None:
+            return found
+        rows = df.where(qcol(ROW_ID) < low + 2 * most).select(qcol(ROW_ID), *(there(c).alias(f"c{i}") for i, c in enumerate(names))).collect()
+        rows.sort(key=lambda r: r[0])
+        for i, c in enumerate(names):
+            found[c] = [r[i + 1] for r in rows if r[i + 1] is not None][:most]
+        sought = [c for c in names if len(found[c]) < most]
+    for c in sought:
+        own = df.where(~is_missing(qcol(c), markers))
+        found[c] = [r[0] for r in (own.orderBy(ROW_ID) if ROW_ID in df.columns else own).select(qcol(c)).limit(most).collect()]
+    return found
+
+
 def _suspects(df: DataFrame, names: list[str], markers: Iterable[str]) -> set[str]:
     """Text columns of which over nine tenths of the first values are numbers."""
-    found = set()
-    for name in names:
-        first = df.where(~is_missing(qcol(name), markers)).orderBy(ROW_ID).limit(TYPE_SAMPLE) if ROW_ID in df.columns else df.where(~is_missing(qcol(name), markers)).limit(TYPE_SAMPLE)
-        hits, n = first.agg(F.count(trimmed_number(qcol(name))), F.count("*")).first()
-        if n and hits / n > 0.9:
-            found.add(name)
-    return found
+    rows = [(c, v) for c, values in first_values(df, names, markers).items() for v in values]
+    shares = df.sparkSession.createDataFrame(rows, "column string, value string").groupBy("column").agg(F.count(trimmed_number(F.col("value"))).alias("hits"), F.count("*").alias("n"))
+    return {r.column for r in shares.collect() if r.hits / r.n > 0.9}
 
 
 def _approximate(df: DataFrame, names: list[str], markers: list[str]) -> DataFrame:
@@ -142,9 +164,12 @@ def special_chars(df: DataFrame, samples: int = 3) -> DataFrame:
     return counts.join(shown, ["column", "char"]).select("column", "char", "n", F.col("s.value").alias("samples"))
 
 
+def _numbers(df: DataFrame, name: str) -> Column:
+    return qcol(name).cast("double") if is_numeric(df, name) else trimmed_number(qcol(name))
+
+
 def skewness(df: DataFrame, name: str) -> float | None:
-    c = qcol(name).cast("double") if is_numeric(df, name) else trimmed_number(qcol(name))
-    return df.agg(F.skewness(c)).first()[0]
+    return df.agg(F.skewness(_numbers(df, name))).first()[0]
 
 
 # Treatments by intended type.
@@ -175,27 +200,42 @@ def recommended(suggested: str, missing_pct: float, skew: float | None) -> str |
 
 
 def missingness(df: DataFrame, markers: Iterable[str] = MISSING_MARKERS) -> list[dict]:
-    """Per column with missing values: count, share, breakdown, type, examples, treatments, advice."""
-    from scrubjay.assessments.typing import infer_column
+    """Per column with missing values: count, share, breakdown, type, examples, treatments, advice.
 
+    A few jobs serve all columns: counts, first values, distinct values of the
+    text columns, markers by column, skews.
+    """
+    from scrubjay.assessments.typing import infer_columns
+
+    markers = list(markers)
+    counts = {r.column: r for r in missing_counts(df, markers).collect()}
+    names = list(counts)
+    kinds = {c: x["suggested"] for c, x in infer_columns(df, names, markers).items()}
+    shown = first_values(df, names, markers, 5)
+    gone = [c for c in names if counts[c].n_missing]
+    breakdown: dict[str, dict] = {c: {} for c in names}
+    if gone:
+        value = lambda c: F.when(qcol(c).isNull(), F.lit("null value")).when(folded(qcol(c)) == "", F.lit("blank")).otherwise(folded(qcol(c)))
+        cells = F.array(*(F.when(is_missing(qcol(c), markers), F.struct(F.lit(c).alias("column"), value(c).alias("marker"))) for c in gone))
+        for r in df.select(F.explode(F.array_compact(cells)).alias("c")).groupBy("c.column", "c.marker").agg(F.count("*").alias("n")).collect():
+            breakdown[r.column][r.marker] = r.n
+    numeric = [c for c in gone if kinds[c] in ("integer", "decimal")]
+    skews = dict(zip(numeric, df.agg(*(F.skewness(_numbers(df, c)) for c in numeric)).first(), strict=True)) if numeric else {}
     out = []
-    for row in missing_counts(df, markers).collect():
-        name, n, total = row.column, row.n_missing, row.n_rows
+    for name in names:
+        n, total = counts[name].n_missing, counts[name].n_rows
         pct = n / total * 100 if total else 0.0
-        kind = infer_column(df, name, markers)["suggested"]
-        there = df.where(~is_missing(qcol(name), markers))
-        shown = (there.orderBy(ROW_ID) if ROW_ID in df.columns else there).limit(5)
-        skew = skewness(df, name) if kind in ("integer", "decimal") and n else None
+        kind = kinds[name]
         out.append(
             {
                 "column": name,
                 "n_missing": n,
                 "missing_pct": round(pct, 2),
-                "breakdown": {r.marker: r.n for r in marker_breakdown(df, name, markers).collect()} if n else {},
+                "breakdown": breakdown[name],
                 "suggested": kind,
-                "examples": [r[0] for r in shown.select(qcol(name)).collect()],
+                "examples": shown[name],
                 "methods": [*METHODS_BY_TYPE[kind], *ALWAYS],
-                "recommended": recommended(kind, pct, skew),
+                "recommended": recommended(kind, pct, skews.get(name)),
             }
         )
     return out

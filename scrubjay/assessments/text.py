@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scrubjay.assessments.profile import data_columns
 from scrubjay.functions.columns import FALSE_WORDS, MISSING_MARKERS, TRUE_WORDS, is_missing, is_numeric, is_text, qcol, strip_ws, title_case
@@ -36,17 +37,20 @@ def normalization_counts(df: DataFrame) -> DataFrame:
     return df.agg(*counts).select(F.explode(cells).alias("c")).select("c.*")
 
 
-def label_variants(df: DataFrame, name: str) -> DataFrame:
+def label_variants(df: DataFrame, name: str, most: int = 1000) -> DataFrame:
     """(key, canonical, variants, n_variants): labels that differ only in case and spaces.
 
     The canonical one is the longest, the smallest of those.  The variants of
-    a key are distinct values, so a hot label counts once.
+    a key are distinct values, so a hot label counts once; ``n_variants`` is
+    exact, the list has the first ``most`` in their order.
     """
     c = qcol(name)
     key = F.lower(F.regexp_replace(strip_ws(c), " {2,}", " "))
     labels = df.where(c.isNotNull()).select(key.alias("key"), c.alias("label")).distinct()
-    groups = labels.groupBy("key").agg(F.array_sort(F.collect_list("label")).alias("variants"), F.min(F.struct((-F.length("label")).alias("n"), F.col("label").alias("label")))["label"].alias("canonical"), F.count("*").alias("n_variants"))
-    return groups.where("n_variants > 1").select("key", "canonical", "variants", "n_variants")
+    groups = labels.groupBy("key").agg(F.min(F.struct((-F.length("label")).alias("n"), F.col("label").alias("label")))["label"].alias("canonical"), F.count("*").alias("n_variants")).where("n_variants > 1")
+    first = labels.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("label"))).where(F.col("k") <= most)
+    lists = first.groupBy("key").agg(F.array_sort(F.collect_list("label")).alias("variants"))
+    return groups.join(lists, "key").select("key", "canonical", "variants", "n_variants")
 
 
 def format_candidates(df: DataFrame) -> list[dict]:
@@ -88,17 +92,36 @@ PATTERNS = {
     "digits_only": r"^\d+$",
     "alphanumeric_id": r"^[A-Za-z0-9_-]+$",
 }
-_REFUSED = (r"\(\?=", r"\(\?!", r"\(\?<", r"\(\?P", r"\\[1-9]")
 _LONGEST = 300
 
 
+def _refused(pattern: str) -> str | None:
+    """What a pattern has that isn't allowed: groups other than plain ones, references to groups."""
+    at, in_class = 0, False
+    while at < len(pattern):
+        c, rest = pattern[at], pattern[at + 1 :]
+        if c == "\\":
+            if not in_class and (rest[:1] in tuple("123456789") or rest[:1] == "k"):
+                return "a back reference"
+            at += 1  # what is escaped begins nothing
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+            at += len(re.match(r"\^?\]?", rest).group())  # a bracket at its start belongs to the class
+        elif c == "(" and rest.startswith("?") and not re.match(r"\?[a-zA-Z]*[:)]", rest):
+            return "a lookaround or a named group"
+        at += 1
+    return None
+
+
 def compiled_pattern(name_or_pattern: str) -> str:
     """A named or own pattern, anchored; raises for what isn't allowed."""
     pattern = PATTERNS.get(name_or_pattern, name_or_pattern)
     if len(pattern) > _LONGEST:
         raise ValueError(f"a pattern has {_LONGEST} characters at most")
-    if any(re.search(x, pattern) for x in _REFUSED):
-        raise ValueError("lookarounds, named groups and back references aren't allowed")
+    if what := _refused(pattern):
+        raise ValueError(f"{what} isn't allowed")
     re.compile(pattern)
     if not pattern.startswith("^"):
         pattern = f"^(?:{pattern})$"
@@ -158,9 +181,13 @@ def units(df: DataFrame, name: str, markers: Iterable[str] = MISSING_MARKERS, sa
         return {"column": name, "groups": [], "scale": mixed_scale(df, name, markers)}
     rows = unit_groups(df, name, markers).collect()
     named = [r for r in rows if r.unit]
-    groups = [r.asDict() | {"factors": FACTORS.get(r.unit, {})} for r in sorted(named, key=lambda r: (-r.n, r.unit))]
+    unit, value = unit_parts(qcol(name))
+    seen = df.where(~is_missing(qcol(name), markers) & value.isNotNull()).select(unit.alias("unit"), qcol(name).alias("v")).distinct()
+    first = Window.partitionBy("unit").orderBy("v")
+    some = seen.where(F.col("unit") != "").withColumn("k", F.row_number().over(first)).where(F.col("k") <= samples).collect()
+    shown_of = {u: sorted(r.v for r in some if r.unit == u) for u in {r.unit for r in some}}
+    groups = [r.asDict() | {"factors": FACTORS.get(r.unit, {}), "samples": shown_of.get(r.unit, [])} for r in sorted(named, key=lambda r: (-r.n, r.unit))]
     unmatched = next((r.n for r in rows if r.unit is None), 0)
-    _, value = unit_parts(qcol(name))
     shown = df.where(~is_missing(qcol(name), markers) & value.isNull()).select(qcol(name)).orderBy(qcol(name)).limit(samples).collect() if unmatched else []
     return {"column": name, "groups": groups, "n_plain": next((r.n for r in rows if r.unit == ""), 0), "n_unmatched": unmatched, "unmatched": [r[0] for r in shown], "scale": None}
 

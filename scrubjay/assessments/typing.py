@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scrubjay.assessments.profile import first_values
 from scrubjay.functions.columns import FALSE_WORDS, MISSING_MARKERS, TRUE_WORDS, dtype_of, is_missing, qcol
 from scrubjay.functions.dates import DATE_FORMATS, DATETIME_SUFFIXES, TIME_FORMATS
 from scrubjay.session import ROW_ID
@@ -71,17 +72,30 @@ def infer_values(values: list[str], n_unique: int, n: int) -> dict:
     return {"suggested": "categorical" if n_unique <= MOST_CATEGORIES and n_unique / n <= 0.5 else "string"}
 
 
+def infer_columns(df: DataFrame, names: Iterable[str], markers: Iterable[str] = MISSING_MARKERS) -> dict[str, dict]:
+    """Suggested type of columns: a column's own if it isn't text, else by its first 300 values.
+
+    The first values of all text columns are read together, and their distinct
+    values counted together.
+    """
+    markers, out, texts = list(markers), {}, []
+    for name in names:
+        kind = dtype_of(df, name)
+        suggested = next((x for types, x in (((T.BooleanType,), "boolean"), ((T.DateType,), "date"), ((T.TimestampType, T.TimestampNTZType), "datetime"), ((T.IntegralType,), "integer"), ((T.NumericType,), "decimal")) if isinstance(kind, types)), None)
+        out[name] = {"column": name, "dtype": kind.simpleString(), "suggested": suggested or "string", "compatible_pct": 100.0, "incompatible_count": 0, "incompatible_examples": [], "ambiguous_date_format": False, "date_format": None, "identifier_detected": False}
+        if suggested is None:
+            texts.append(name)
+    values = first_values(df.select(*([ROW_ID] if ROW_ID in df.columns else []), *(qcol(c).cast("string").alias(c) for c in texts)), texts, markers, SAMPLE)
+    texts = [c for c in texts if values[c]]
+    if texts:
+        cells = F.array(*(F.when(~is_missing(qcol(c), markers), F.struct(F.lit(i).alias("i"), qcol(c).cast("string").alias("v"))) for i, c in enumerate(texts)))
+        each = df.select(F.explode(F.array_compact(cells)).alias("c")).select("c.*").groupBy("i", "v").agg(F.count("*").alias("n"))
+        for r in each.groupBy("i").agg(F.count("*").alias("distinct"), F.sum("n").alias("n")).collect():
+            name = texts[r.i]
+            out[name] |= {"n_unique": r.distinct, "n_values": r.n} | infer_values(values[name], r.distinct, r.n)
+    return out
+
+
 def infer_column(df: DataFrame, name: str, markers: Iterable[str] = MISSING_MARKERS) -> dict:
-    """Suggested type of a column: its own if it isn't text, else by its first 300 values."""
-    kind, c = dtype_of(df, name), qcol(name)
-    out = {"column": name, "dtype": kind.simpleString(), "suggested": "string", "compatible_pct": 100.0, "incompatible_count": 0, "incompatible_examples": [], "ambiguous_date_format": False, "date_format": None, "identifier_detected": False}
-    for types, suggested in (((T.BooleanType,), "boolean"), ((T.DateType,), "date"), ((T.TimestampType, T.TimestampNTZType), "datetime"), ((T.IntegralType,), "integer"), ((T.NumericType,), "decimal")):
-        if isinstance(kind, types):
-            return out | {"suggested": suggested}
-    there = df.where(~is_missing(c, markers))
-    values = [r.v for r in (there.orderBy(ROW_ID) if ROW_ID in df.columns else there).select(c.cast("string").alias("v")).limit(SAMPLE).collect()]
-    if not values:
-        return out
-    distinct = there.groupBy(c.alias("v")).agg(F.count("*").alias("n"))
-    n_unique, n = distinct.agg(F.count("*"), F.sum("n")).first()
-    return out | {"n_unique": n_unique, "n_values": n} | infer_values(values, n_unique, n)
+    """Suggested type of one column."""
+    return infer_columns(df, [name], markers)[name]
