@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Callable, Iterable
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,10 +13,11 @@ from scrubjay.functions.columns import MISSING_MARKERS
 from scrubjay.plans import duplicates, outliers, validate
 from scrubjay.plans.lineage import History
 from scrubjay.plans.outliers import OutlierLog
-from scrubjay.sources import sinks
+from scrubjay.sources import excel, sinks
 from scrubjay.sources.csv import read_csv
 
 STATUSES = ("loaded", "in_progress", "ready", "excluded", "rejected")
+FORMATS = ("csv", "xlsx", "report", "json", "script", "flagged", "zip")
 MOST_CACHED = 500
 
 
@@ -26,7 +28,8 @@ class Item:
         self.name, self.history, self.source = name, history, source or {}
         self.status = "loaded"
         self.key: list[str] | None = None
-        self.outliers = OutlierLog()
+        self.outliers = OutlierLog(folder=f"{history.folder}/outliers")
+        self.duplicates: dict | None = None
         self._cache: OrderedDict[tuple, object] = OrderedDict()
 
     # what is read
@@ -70,8 +73,21 @@ class Item:
         self.key = columns
         return key_summary(self.history.working(), columns).first().asDict()
 
-    def treat_outliers(self, name: str, ids: list[int], how: str, params: dict | None = None) -> dict:
-        """Treat reviewed rows; the column's figures before and after."""
+    def screen_outliers(self, name: str, method: str = "iqr", params: dict | None = None) -> dict:
+        """Screen a column and keep its flagged rows as a table."""
+        found = outliers.screen(self.history.working(), name, method, params)
+        self.outliers.flag(name, found["flagged"])
+        return found
+
+    def review_outliers(self, name: str, context: str) -> dict:
+        """Review a column's flagged rows by a context; the evidence is kept as a table."""
+        df = self.history.working()
+        found = outliers.review(df, name, context, self.outliers.flagged_rows(df.sparkSession, name))
+        self.outliers.add_evidence(name, context, found["evidence"])
+        return found
+
+    def treat_outliers(self, name: str, ids: list[int] | None, how: str, params: dict | None = None) -> dict:
+        """Treat reviewed rows, or (None) all flagged ones; the column's figures before and after."""
         found = self.outliers.treatment(name, ids, how, params)
         before = outliers.column_stats(self.history.working(), name)
         if found is None:
@@ -81,8 +97,16 @@ class Item:
         self.outliers.decide(name, ids, "excluded" if how == "remove" else "likely_error")
         return {"before": before, "after": outliers.column_stats(self.history.working(), name)}
 
+    def find_duplicates(self, columns: list[str], blocking: Iterable[str] = (), threshold: int = 100) -> dict:
+        """Remember what duplicates are sought by, for the export of flagged records; an estimate of the pairs."""
+        self.duplicates = {"columns": columns, "blocking": list(blocking), "threshold": threshold}
+        return duplicates.estimate(self.history.working(), **self.duplicates)
+
     def resolve_duplicates(self, columns: list[str], how: str, keep: int | None = None, group: list[int] | None = None, field_values: dict | None = None, blocking: Iterable[str] = ()) -> DataFrame:
-        """keep_all, keep_first, keep_last, keep_most_complete over all exact groups; keep_selected or merge for one group."""
+        """keep_all, keep_first, keep_last, keep_most_complete over all exact groups; keep_selected or merge for one group.
+
+        What is recorded is how the groups are resolved, not the rows that go.
+        """
         if how in ("keep_selected", "merge"):
             if keep is None or not group or keep not in group:
                 raise ValueError("name the group and its row that stays")
@@ -90,24 +114,40 @@ class Item:
             if how == "merge":
                 return self.apply("merge_records", duplicates.merge_spec(keep, others, field_values or {}), "duplicates")
             return self.apply("drop_rows", {"row_ids": others}, "duplicates")
-        gone = duplicates.drop_specs(self.history.working(), columns, how, blocking=list(blocking))
-        return self.apply("drop_rows", {"row_ids": gone}, "duplicates") if gone else self.history.working()
+        df, blocking = self.history.working(), list(blocking)
+        if how == "keep_all" or not duplicates.exact_summary(df, columns, blocking).first()["proposed_removals"]:
+            return duplicates.resolve(df, columns, how, blocking)
+        return self.apply("resolve_duplicates", {"columns": columns, "how": how, "blocking": blocking}, "duplicates")
+
+    def flagged_records(self) -> DataFrame | None:
+        """The rows that are flagged as outliers or found as duplicates, with the reasons; None if nothing was sought."""
+        df = self.history.working()
+        spark = df.sparkSession
+        flagged = {c: self.outliers.flagged_rows(spark, c) for c, own in self.outliers.data["columns"].items() if own["n_flagged"]}
+        exact = near = None
+        if self.duplicates and self.duplicates["threshold"] == 100:
+            exact = duplicates.exact_members(df, self.duplicates["columns"], self.duplicates["blocking"])
+        elif self.duplicates:
+            near = duplicates.clusters(df, duplicates.near_pairs(df, **self.duplicates), self.duplicates["columns"])
+        if not flagged and exact is None and near is None:
+            return None
+        return sinks.flagged_records(df, sinks.flag_reasons(flagged, exact, near))
 
     # what leaves
 
     def validate(self, markers: Iterable[str] = MISSING_MARKERS) -> dict:
         h = self.history
-        out = validate.validate(h.original(), h.working(), self.key, self.outliers.unresolved(), h.states, h.pointer, len(h.specs) - h.pointer, markers)
+        out = validate.validate(h.original(), h.working(), self.key, self.outliers.unresolved(spark=h.spark), h.states, h.pointer, len(h.specs) - h.pointer, markers)
         h.states["validation"] = "completed"
         return out
 
     def to_dict(self) -> dict:
-        return {"name": self.name, "status": self.status, "source": self.source, "key": self.key, "outliers": self.outliers.data, "folder": self.history.folder, "history": json.loads(self.history.to_json())}
+        return {"name": self.name, "status": self.status, "source": self.source, "key": self.key, "outliers": self.outliers.data, "duplicates": self.duplicates, "folder": self.history.folder, "history": json.loads(self.history.to_json())}
 
     @classmethod
     def from_dict(cls, spark: SparkSession, data: dict) -> Item:
         new = cls(data["name"], History.from_json(spark, data["folder"], json.dumps(data["history"])), data["source"])
-        new.status, new.key, new.outliers = data["status"], data["key"], OutlierLog(data["outliers"])
+        new.status, new.key, new.outliers, new.duplicates = data["status"], data["key"], OutlierLog(data["outliers"], new.outliers.folder), data.get("duplicates")
         return new
 
 
@@ -135,29 +175,46 @@ class Project:
     def warnings(self) -> list[str]:
         return [f"{name}: {w}" for name, item in self.exported().items() for w in item.validate()["warnings"]]
 
-    def export(self, formats: Iterable[str], acknowledged: bool = False) -> dict[str, str]:
-        """Write the items: tables as folders beside the project, small files as texts that are returned.
+    def export(self, formats: Iterable[str], acknowledged: bool = False, workbook: str | None = None) -> dict[str, str]:
+        """Write the items; what comes back has tables by their folders and workbook and archive by their paths.
 
+        Tables are written beside the project by Spark.  ``xlsx`` is one
+        workbook with a sheet per item (an edit of ``workbook``, if one is
+        named), ``flagged`` a table of the flagged records per item, ``zip`` an
+        archive of the small files; report, configuration and script are texts.
         Open warnings have to be acknowledged first.
         """
-        known = ("csv", "report", "json", "script")
-        if bad := [f for f in formats if f not in known]:
+        formats = list(formats)
+        if bad := [f for f in formats if f not in FORMATS]:
             raise ValueError(f"unknown formats: {bad}")
         sinks.gate(self.warnings(), acknowledged)
         out: dict[str, str] = {}
         for k, (name, item) in enumerate(self.exported().items()):
             specs, working = item.history.specs[: item.history.pointer], item.history.working()
+            place = f"{self.folder}/export/{k}-{item.history.pointer}"
             for f in formats:
-                place = f"{self.folder}/export/{k}-{item.history.pointer}"
                 if f == "csv":
                     sinks.write_csv(working, f"{place}.csv")
                     out[f"{name}.csv"] = f"{place}.csv"
+                elif f == "flagged" and (found := item.flagged_records()) is not None:
+                    sinks.write_csv(found, f"{place}-flagged.csv")
+                    out[f"{name}_flagged.csv"] = f"{place}-flagged.csv"
                 elif f == "report":
                     out[f"{name}.html"] = sinks.html_report(name, item.validate(), specs)
                 elif f == "json":
                     out[f"{name}.json"] = sinks.config_json(specs, item.source)
-                else:
+                elif f == "script":
                     out[f"{name}.py"] = sinks.script(specs, item.source)
+        if "xlsx" in formats or "zip" in formats:
+            os.makedirs(f"{self.folder}/export", exist_ok=True)  # files of the driver's
+        if "xlsx" in formats:
+            frames = {name: item.history.working() for name, item in self.exported().items()}
+            gone = [name for name in self.items if name not in frames]
+            out["workbook.xlsx"] = excel.write_xlsx(frames, f"{self.folder}/export/workbook.xlsx", workbook, gone)
+        if "zip" in formats:
+            texts = {name: text for name, text in out.items() if name.endswith((".html", ".json", ".py"))}
+            sinks.bundle(texts, f"{self.folder}/export/bundle.zip")
+            out["bundle.zip"] = f"{self.folder}/export/bundle.zip"
         return out
 
     def to_json(self) -> str:
