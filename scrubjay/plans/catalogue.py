@@ -19,7 +19,7 @@ from scrubjay.operators import OperationSpec, execute, replay
 from scrubjay.plans import duplicates, outliers, validate
 from scrubjay.plans.lineage import History
 from scrubjay.session import ROW_ID, scratch_path
-from scrubjay.sources import sinks
+from scrubjay.sources import csv, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -143,8 +143,8 @@ def _structures(s: SparkSession, d: str) -> DataFrame:
 
 _add("structures", _structures, "SELECT 'empty_rows' AS finding, '0' AS value UNION ALL SELECT 'empty_column', 'nothing' UNION ALL SELECT 'constant_column', 'same'")
 _add("format_candidates", lambda s, d: s.createDataFrame([(x["column"], x["kind"]) for x in text.format_candidates(view(s, d, "people").select(ROW_ID, "price", "share", "comma", F.expr("CASE WHEN flag = 'maybe' THEN 'y' ELSE flag END").alias("flag")))], "column string, kind string"), "SELECT * FROM (VALUES ('price', 'currency'), ('share', 'percent'), ('comma', 'decimal_separator'), ('flag', 'boolean')) t(\"column\", kind)")
-_add("type_inference", lambda s, d: s.createDataFrame([(c, typing.infer_column(view(s, d, "people"), c)["suggested"]) for c in ("age", "segment", "flag", "balance", "nation", "joined", "note")], "column string, suggested string"))
-_add("recommendations", lambda s, d: s.createDataFrame([(x["column"], x["n_missing"], x["recommended"]) for x in profile.missingness(view(s, d, "sales").select(ROW_ID, "status", "total", "units"))], "column string, n_missing long, recommended string"))
+_add("type_inference", lambda s, d: s.createDataFrame([(c, typing.infer_column(view(s, d, "people"), c)["suggested"]) for c in ("age", "segment", "flag", "balance", "nation", "joined", "note")], "column string, suggested string"), "SELECT * FROM (VALUES ('age', 'integer'), ('segment', 'categorical'), ('flag', 'categorical'), ('balance', 'decimal'), ('nation', 'integer'), ('joined', 'date'), ('note', 'categorical')) t(\"column\", suggested)")
+_add("recommendations", lambda s, d: s.createDataFrame([(x["column"], x["n_missing"], x["recommended"]) for x in profile.missingness(view(s, d, "sales").select(ROW_ID, "status", "total", "units"))], "column string, n_missing long, recommended string"), "SELECT 'status' AS \"column\", count(*) FILTER (WHERE status IS NULL) AS n_missing, 'mode' AS recommended FROM {sales} UNION ALL SELECT 'units', 0, NULL UNION ALL SELECT 'total', (SELECT count(*) FROM {sales} WHERE total IS NULL), CASE WHEN abs(avg(power(total - m, 3)) / power(avg(power(total - m, 2)), 1.5)) >= 1 THEN 'median' ELSE 'mean' END FROM {sales}, (SELECT avg(total) AS m FROM {sales})")
 _add("unimputable_groups", lambda s, d: profile.unimputable_groups(view(s, d, "sales").withColumn("total", F.expr("CASE WHEN customer % 7 = 0 THEN NULL ELSE total END")), "total", ["customer"], most=10_000), "SELECT customer, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_observed FROM {sales} GROUP BY customer HAVING count(CASE WHEN customer % 7 = 0 THEN NULL ELSE total END) = 0")
 _add("column_names", lambda s, d: s.createDataFrame([(x["column"], x["proposed"], len(x["problems"])) for x in profile.column_names(view(s, d, "people").select(qcol("name").alias(" Full Name "), qcol("age").alias("full  name"), qcol("code").alias("OK"), qcol("note").alias("Na@me")))], "column string, proposed string, n_problems long"), "SELECT * FROM (VALUES (' Full Name ', 'full_name', 4), ('full  name', 'full_name', 2), ('OK', 'ok', 1), ('Na@me', 'na_me', 2)) t(\"column\", proposed, n_problems)")
 _add("pattern_fit", lambda s, d: s.createDataFrame([(p, r["n_matching"], r["n_other"]) for p in ("digits_only", "alphanumeric_id", r"ID-\d+") for r in [text.pattern_fit(view(s, d, "people"), "code", p)]], "pattern string, n_matching long, n_other long"), " UNION ALL ".join(f"SELECT '{n}' AS pattern, count(*) FILTER (WHERE regexp_matches(code, '{p}')) AS n_matching, count(*) FILTER (WHERE NOT regexp_matches(code, '{p}')) AS n_other FROM {{people}}" for n, p in (("digits_only", r"^\d+$"), ("alphanumeric_id", "^[A-Za-z0-9_-]+$"), (r"ID-\d+", r"^ID-\d+$"))))
@@ -199,7 +199,11 @@ _op("interpolate_time", "readings", "treat_missing", {"column": "value", "method
 _op("group_impute_median", "sales", "treat_missing", {"column": "total", "method": "group_impute", "group_by": ["status"], "statistic": "median"}, sql="WITH g AS (SELECT status, median(total) AS m FROM {sales} GROUP BY status) SELECT {rid} AS rid, round(coalesce(total, m), 6) AS total FROM {sales} s LEFT JOIN g ON s.status = g.status", rounded=True)
 _op("group_impute_mean", "sales", "treat_missing", {"column": "total", "method": "group_impute", "group_by": ["priority"], "statistic": "mean"}, sql="WITH g AS (SELECT priority, avg(total) AS m FROM {sales} GROUP BY priority) SELECT {rid} AS rid, round(coalesce(total, m), 6) AS total FROM {sales} s LEFT JOIN g ON s.priority = g.priority", rounded=True)
 _op("group_impute_mode", "sales", "treat_missing", {"column": "status", "method": "group_impute", "group_by": ["priority"], "statistic": "mode"}, sql="WITH g AS (SELECT priority, status AS m, row_number() OVER (PARTITION BY priority ORDER BY count(*) DESC, status) AS r FROM {sales} WHERE status IS NOT NULL GROUP BY priority, status) SELECT {rid} AS rid, coalesce(status, m) AS status FROM {sales} s LEFT JOIN g ON s.priority = g.priority AND r = 1")
-_op("random_sample", "readings", "treat_missing", {"column": "value", "method": "random_sample", "seed": 7})
+_DRAWN = "WITH o AS (SELECT value AS drawn, row_number() OVER (ORDER BY {rid}) - 1 AS at FROM {readings} WHERE value IS NOT NULL), n AS (SELECT count(*) AS n FROM o), r AS (SELECT {rid} AS rid, value, CASE WHEN value IS NULL THEN CAST('0x' || substr(md5(CAST({rid} AS VARCHAR) || ':7'), 1, 15) AS BIGINT) % n END AS at FROM {readings}, n) SELECT rid, coalesce(value, drawn) AS value FROM r LEFT JOIN o ON r.at = o.at"
+_op("random_sample", "readings", "treat_missing", {"column": "value", "method": "random_sample", "seed": 7}, sql=_DRAWN)
+_op("random_sample_in_buckets", "readings", "treat_missing", {"column": "value", "method": "random_sample", "seed": 7, "rows_per_bucket": 700}, sql=_DRAWN)
+_op("drop_column", "sales", "drop_column", {"column": "total"}, columns=("customer", "status", "ordered", "priority", "units", "limit_"), sql="SELECT {rid} AS rid, customer, status, ordered, priority, units, limit_ FROM {sales}")
+_op("treat_drop_column", "sales", "treat_missing", {"column": "total", "method": "drop_column"}, columns=("customer", "status", "ordered", "priority", "units", "limit_"), sql="SELECT {rid} AS rid, customer, status, ordered, priority, units, limit_ FROM {sales}")
 _op("convert_integer", "people", "convert_type", {"column": "age", "target_type": "integer"}, "CASE WHEN regexp_matches(replace(trim(age), ',', ''), '^[+-]?[0-9]+$') THEN CAST(replace(trim(age), ',', '') AS BIGINT) END")
 _op("convert_decimal", "people", "convert_type", {"column": "age", "target_type": "decimal"}, "CASE WHEN regexp_matches(replace(trim(age), ',', ''), '^[+-]?[0-9]+$') THEN CAST(replace(trim(age), ',', '') AS DOUBLE) END")
 _BOOL = "CASE WHEN lower(trim(flag)) IN ('y', 'yes', 'true', 't', '1') THEN {0} WHEN lower(trim(flag)) IN ('n', 'no', 'false', 'f', '0') THEN {1} END"
@@ -330,7 +334,7 @@ def _stats(s: SparkSession, d: str) -> DataFrame:
 
 _add("outlier_stats", _stats, f"WITH m AS (SELECT avg(v) AS m FROM {_V}) SELECT round(count(v)::DOUBLE, 4) AS n, round(min(v), 4) AS min, round(max(v), 4) AS max, round(avg(v), 4) AS mean, round(median(v), 4) AS median, round(stddev_samp(v), 4) AS std, round({_near_rank('v', 0.25, _V)}, 4) AS q1, round({_near_rank('v', 0.75, _V)}, 4) AS q3, round(avg(power(v - m, 3)) / power(avg(power(v - m, 2)), 1.5), 4) AS skew FROM {_V}, m")
 _add("outlier_histogram", lambda s, d: stats.histogram(outliers.values_of(_spiked(s, d), "v"), "v").select("bin", "n"), f"WITH r AS (SELECT min(v) AS a, (max(v) - min(v)) / 30 AS w FROM {_V}), h AS (SELECT greatest(1, least(30, CAST(ceil((v - a) / w) AS INT))) AS bin FROM {_V}, r WHERE v IS NOT NULL) SELECT CAST(i AS INT) AS bin, count(h.bin) AS n FROM range(1, 31) t(i) LEFT JOIN h ON h.bin = i GROUP BY i")
-_add("outlier_contexts", lambda s, d: s.createDataFrame([(x["column"], x["kind"], x["usable_pairs"]) for x in outliers.contexts(_spiked(s, d).drop("total"), "v", outcome="status")], "column string, kind string, usable_pairs long"))
+_add("outlier_contexts", lambda s, d: s.createDataFrame([(x["column"], x["kind"], x["usable_pairs"]) for x in outliers.contexts(_spiked(s, d).drop("total"), "v", outcome="status")], "column string, kind string, usable_pairs long"), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{k}' AS kind, count(*) FILTER (WHERE {c} IS NOT NULL AND total IS NOT NULL) AS usable_pairs FROM {{sales}}" for c, k in (("customer", "numeric"), ("status", "categorical"), ("ordered", "datetime"), ("priority", "categorical"), ("units", "numeric"), ("limit_", "numeric"))))
 
 
 def _review(context: str) -> Query:
@@ -347,8 +351,19 @@ _add("review_numeric", _review("units"), f"WITH {_FLAGS}, p AS (SELECT s.rid, v,
 _add("review_groups", _review("status"), f"WITH {_FLAGS}, p AS (SELECT rid, v, status FROM {_V} WHERE v IS NOT NULL AND status IS NOT NULL), g AS (SELECT status, count(*) AS n, list_sort(list(v))[CAST(floor((count(*) - 1) * 0.25 + 0.5) AS INT) + 1] AS q1, list_sort(list(v))[CAST(floor((count(*) - 1) * 0.75 + 0.5) AS INT) + 1] AS q3 FROM p GROUP BY status) SELECT f.rid, CASE WHEN g.status IS NULL OR n < 10 THEN 'insufficient_evidence' WHEN v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN 'explained_by_context' ELSE 'still_unusual' END AS status FROM f LEFT JOIN p ON p.rid = f.rid LEFT JOIN g ON g.status = p.status")
 _ROLL = f"SELECT rid, v, list_sort(list(v) OVER (ORDER BY ordered, rid ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)) AS w FROM {_V} WHERE v IS NOT NULL"
 _add("review_datetime", _review("ordered"), f"WITH {_FLAGS}, w AS ({_ROLL}) SELECT f.rid, CASE WHEN v BETWEEN w[CAST(floor(len(w) * 0.25) AS INT) + 1] AND w[CAST(least(len(w) - 1, floor(len(w) * 0.75)) AS INT) + 1] THEN 'explained_by_context' ELSE 'still_unusual' END AS status FROM f JOIN w ON w.rid = f.rid")
-_add("rolling_band", lambda s, d: outliers.rolling_band(_spiked(s, d), "v", "ordered", rows_per_bucket=2000).select(qcol(ROW_ID).alias("rid"), "median", "low", "high"), f"SELECT rid, w[len(w) // 2 + 1] AS median, w[CAST(floor(len(w) * 0.25) AS INT) + 1] AS low, w[CAST(least(len(w) - 1, floor(len(w) * 0.75)) AS INT) + 1] AS high FROM ({_ROLL})")
-_add("visual_sample", lambda s, d: outliers.visual_sample(_spiked(s, d), "units", "v", _spiked(s, d).where("__rid % 400 = 0").select(ROW_ID)).withColumnRenamed(ROW_ID, "rid"))
+_add("rolling_band", lambda s, d: outliers.rolling_band(_spiked(s, d), "v", "ordered").select(qcol(ROW_ID).alias("rid"), "median", "low", "high"), f"SELECT rid, w[len(w) // 2 + 1] AS median, w[CAST(floor(len(w) * 0.25) AS INT) + 1] AS low, w[CAST(least(len(w) - 1, floor(len(w) * 0.75)) AS INT) + 1] AS high FROM ({_ROLL})")
+_add("rolling_band_in_buckets", lambda s, d: outliers.rolling_band(_spiked(s, d), "v", "ordered", rows_per_bucket=2000).select(qcol(ROW_ID).alias("rid"), "median", "low", "high"), f"SELECT rid, w[len(w) // 2 + 1] AS median, w[CAST(floor(len(w) * 0.25) AS INT) + 1] AS low, w[CAST(least(len(w) - 1, floor(len(w) * 0.75)) AS INT) + 1] AS high FROM ({_ROLL})")
+_add("visual_sample", lambda s, d: outliers.visual_sample(_spiked(s, d), "units", "v", _spiked(s, d).where("__rid % 400 = 0").select(ROW_ID)).withColumnRenamed(ROW_ID, "rid"), f"SELECT rid, x, y, flagged FROM (SELECT rid, units AS x, v AS y, rid % 400 = 0 AS flagged, row_number() OVER (PARTITION BY rid % 400 = 0 ORDER BY md5(CAST(rid AS VARCHAR) || ':42'), rid) AS k FROM {_V}) WHERE flagged OR k <= 3000")
+
+
+def _association(s: SparkSession, d: str) -> DataFrame:
+    """Pearson's r, and the trend without the flagged rows."""
+    df = _spiked(s, d)
+    found = outliers.review(df, "v", "units", df.where("__rid % 400 = 0").select(ROW_ID))
+    return s.createDataFrame([(found["correlation"], found["trend"]["slope"], found["usable_pairs"])], "r double, slope double, n long").select(F.round("r", 6).alias("r"), F.round("slope", 12).alias("slope"), "n")
+
+
+_add("pearson_r", _association, f"SELECT round(corr(v, units), 6) AS r, round(regr_slope(CASE WHEN rid % 400 <> 0 THEN units END, CASE WHEN rid % 400 <> 0 THEN v END), 12) AS slope, count(*) AS n FROM {_V} WHERE v IS NOT NULL AND units IS NOT NULL")
 
 # --- validation, export, history ---------------------------------------------
 
@@ -378,6 +393,16 @@ _add("operation_preview", lambda s, d: validate.preview(view(s, d, "sales"), rep
 _add("formula_escape", lambda s, d: sinks.exported(view(s, d, "people").select(ROW_ID, "formula", F.col(ROW_ID).alias("rid"))), "SELECT CASE WHEN regexp_matches(formula, '^\\s*[=+\\-@]') THEN '''' || formula ELSE formula END AS formula, {rid} AS rid FROM {people}")
 
 
+def _scanned(s: SparkSession, d: str) -> DataFrame:
+    """A table written as CSV by the sink and read again with inferred types."""
+    path = scratch_path(s, "scan.csv")
+    sinks.write_csv(view(s, d, "people").select(F.col(ROW_ID).alias("rid"), "nation", "age", "code", "note", "price"), path)
+    return csv.read_csv(s, path, encoding="utf-8", delimiter=",").select(F.col("rid").cast("long").alias("rid"), F.col("nation").cast("int").alias("nation"), "age", "code", "note", "price")
+
+
+_add("csv_scan", _scanned, "SELECT {rid} AS rid, nation, age, CASE WHEN code LIKE '-%' THEN '''' || code ELSE code END AS code, note, price FROM {people}")
+
+
 def _flagged_rows(s: SparkSession, d: str) -> DataFrame:
     df = view(s, d, "parts")
     reasons = sinks.flag_reasons({"size": df.where("size > 45").select(ROW_ID)}, duplicates.exact_members(df, _DUP))
@@ -397,6 +422,17 @@ def _history(s: SparkSession, d: str) -> DataFrame:
     return past.redo().select(qcol(ROW_ID).alias("rid"), "status", "units")
 
 
+
+
+def _resolution(s: SparkSession, d: str) -> DataFrame:
+    """A resolution on record, undone and redone: the first of each group of duplicates stays."""
+    past = History.start(view(s, d, "parts"), scratch_path(s, "history"))
+    past.apply("resolve_duplicates", {"columns": _DUP, "how": "keep_first"}, "duplicates")
+    past.undo()
+    return past.redo().select(qcol(ROW_ID).alias("rid"))
+
+
+_add("undo_redo_resolution", _resolution, f"SELECT min(rid) AS rid FROM {_PARTS} GROUP BY brand, type, size")
 _add("undo_redo_replay", _history, "SELECT {rid} AS rid, coalesce(status, '?') AS status, CASE WHEN units > 12 THEN NULL ELSE units END AS units FROM {sales}")
 
 
