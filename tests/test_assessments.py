@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrubjay.assessments import keys, profile, text, typing
+from scrubjay.operators import execute
 from scrubjay.plans import duplicates
 from scrubjay.session import ROW_ID
 from tests.helpers import frame
@@ -76,13 +77,15 @@ def test_patterns_and_units(spark):
     mails = frame(spark, "a string", ["a@b.co", "x y", "", "ü@b.de"])
     assert text.pattern_fit(mails, "a", "email") == {"column": "a", "n_matching": 2, "n_other": 1, "samples": ["x y"]}
     assert text.pattern_fit(mails, "a", "x")["n_matching"] == 0
-    for bad in ("(?=a)", r"(a)\1", "a" * 301, "(?P<x>a)"):
+    for bad in ("(?=a)", "(?!a)", "(?<=a)b", "(?<!a)b", r"(a)\1", "a" * 301, "(?P<x>a)", r"[(](?=x)", r"(?P<x>a)(?P=x)"):
         with pytest.raises(ValueError):
             text.compiled_pattern(bad)
+    for good in (r"\(?=a", "[(?=a)]", r"[]\1]", r"(?:ab)+", "(?i)x", r"a\\1"):
+        text.compiled_pattern(good)
     found = text.units(frame(spark, "a string", ["5kg", "10 lb", "€100", "USD 50", "25%", "junk", "7"]), "a")
     groups = {g["unit"]: g for g in found["groups"]}
     assert groups["kg"]["position"] == "suffix" and groups["€"]["position"] == "prefix" and groups["usd"]["is_currency"]
-    assert groups["kg"]["factors"]["lb"] == 2.20462 and found["n_unmatched"] == 1 and found["n_plain"] == 1
+    assert groups["kg"]["factors"]["lb"] == 2.20462 and groups["kg"]["samples"] == ["5kg"] and found["n_unmatched"] == 1 and found["n_plain"] == 1
     assert text.units(frame(spark, "a double", [0.2, 0.3, 20.0, 30.0] * 3), "a")["scale"]["possible_mixed_scale"]
 
 
@@ -90,7 +93,10 @@ def test_keys(spark):
     rows = [("1", "a", None), ("1", "a", None), ("2", "x", "p"), ("2", "y", "p"), ("00417", "q", "r"), ("417", "q", "r"), ("n/a", "z", "z"), (None, "z", "z"), ("3", "m", None), ("3", "m", "v")]
     df = frame(spark, "id string, name string, other string", rows)
     assert keys.key_summary(df, ["id"]).first().asDict() == {"total_rows": 10, "missing_rows": 2, "identical_groups": 1, "conflicting_groups": 2, "unique_rows": 2}
-    assert keys.key_conflicts(df, ["id"]) == [{"key": {"id": "2"}, "n_rows": 2, "conflicts": ["name"]}, {"key": {"id": "3"}, "n_rows": 2, "conflicts": ["other"]}]
+    assert keys.key_conflicts(df, ["id"]) == [
+        {"key": {"id": "2"}, "n_rows": 2, "conflicts": ["name"], "values": {"name": ["x", "y"]}},
+        {"key": {"id": "3"}, "n_rows": 2, "conflicts": ["other"], "values": {"other": [None, "v"]}},
+    ]
     assert keys.missing_key_rows(df, ["id"]).count() == 2
     with pytest.raises(ValueError):
         keys.key_summary(df, [])
@@ -104,7 +110,8 @@ def test_exact_duplicates(spark):
     assert duplicates.exact_summary(df, ["a", "b"]).first().asDict() == {"duplicate_groups": 2, "affected_rows": 4, "proposed_removals": 2, "resulting_rows": 4}
     keep = lambda how: sorted(r[0] for r in duplicates.resolve(df, ["b"], how).select(ROW_ID).collect())
     assert keep("keep_first") == [0, 3, 5] and keep("keep_last") == [2, 4, 5] and len(keep("keep_all")) == 6
-    assert duplicates.drop_specs(df, ["a", "b"], "keep_first") == [2, 4]
+    done = execute(df, "resolve_duplicates", {"columns": ["a", "b"], "how": "keep_first"})
+    assert sorted(r[0] for r in done.select(ROW_ID).collect()) == [0, 1, 3, 5]
     full = frame(spark, "k long, v string, w string", [(1, None, None), (1, "a", None), (1, "b", "c")])
     assert [r[0] for r in duplicates.resolve(full, ["k"], "keep_most_complete").select(ROW_ID).collect()] == [2]
 
@@ -135,7 +142,7 @@ def test_near_duplicates(spark, partitions):
     found = duplicates.near_summary(df, pairs)
     assert found["qualifying_pairs"] == len(brute_pairs(rows, 4)) and found["resulting_rows"] == 60 - found["affected_rows"]
     members = duplicates.clusters(df, pairs, columns).collect()
-    assert {r.score_pct for r in members} <= {80, 100} and all((r.score_pct == 100) == (len(r.differing) == 0) for r in members)
+    assert {r.score_pct for r in members} <= {80, 100} and all((r.score_pct == 100) == (len(r.differing) == 0) and sorted(r.matching + r.differing) == columns for r in members)
     assert duplicates.cluster_sizes(pairs).agg(F.sum("n_members")).first()[0] == len(members)
 
 

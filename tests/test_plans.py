@@ -1,11 +1,13 @@
 """Outliers, validation, history, streams, sources and exports."""
 
+import io
 import json
 import random
 import statistics
 import subprocess
 import sys
-from datetime import datetime, timedelta
+import zipfile
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +45,20 @@ def test_groups_and_histogram(spark):
     rows = {r.g: r for r in stats.group_quantiles(df, ["g"], F.col("v")).collect()}
     assert (rows["a"].n, rows["a"].median, rows["a"].q1, rows["a"].q3) == (10, 4.5, 2.0, 7.0)
     assert rows["b"].median == 4.0
+    rng = random.Random(5)
+    many = frame(spark, "g string, h long, v double", [(rng.choice(["hot"] * 8 + ["cold", None]), rng.randrange(2), rng.choice([None, float(rng.randrange(40)), rng.random()])) for _ in range(1500)], 5)
+    ranks = stats.group_ranks(many, ["g", "h"], F.col("v"), rows_per_bucket=60)
+    for own in (ranks, stats.group_ranks(many, ["g", "h"], F.col("v"))):
+        got = {(r.g, r.h, r.v): (r.n, r.upto, r.total) for r in own.collect()}
+        values: dict = {}
+        for r in many.where("v is not null").collect():
+            values.setdefault((r.g, r.h), []).append(r.v)
+        assert got == {(*k, v): (x.count(v), sum(y <= v for y in x), len(x)) for k, x in values.items() for v in x}
+    plans = [stats.group_quantiles(many, ["g", "h"], F.col("v"), rows_per_bucket=b) for b in (60, 10**6)]
+    assert sorted(map(str, plans[0].collect())) == sorted(map(str, plans[1].collect()))
+    counts = many.where("v is not null").groupBy("g", "h", "v").agg(F.count("*").alias("n"))
+    dealt = ordering.by_key(counts, F.struct("g", "h", "v"), 60).frame
+    assert dealt.where("g = 'hot' and h = 0").select(ordering.BUCKET).distinct().count() > 3  # one group in several tasks
     bins = stats.histogram(frame(spark, "v double", [(float(i),) for i in range(31)]), "v").collect()
     assert len(bins) == 30 and sum(r.n for r in bins) == 31 and bins[0].n == 2
     assert sum(r.n for r in stats.histogram(frame(spark, "v double", [3.0, 3.0]), "v").collect()) == 2
@@ -57,6 +73,8 @@ def test_positions_and_windows(spark, bucket):
     want = sorted(range(150), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i))
     got = [r[0] for r in placed.orderBy(ordering.POSITION).select(ROW_ID).collect()]
     assert got == want
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000  # no bounds or counts in the plan
     near = ordering.around(placed, 2, lambda w: {"s": F.sum("v").over(w)}, block=11)
     sums = {r[ordering.POSITION]: r.s for r in near.collect()}
     line = [rows[i][1] for i in want]
@@ -128,6 +146,30 @@ def test_outlier_log():
     assert again.unresolved("v") == 0
 
 
+def test_outlier_tables(spark, tmp_path):
+    df = frame(spark, "v double", [(float(i % 5),) for i in range(4000)] + [(1e6,)] * 2000)
+    log = outliers.OutlierLog(folder=str(tmp_path))
+    log.flag("v", outliers.flagged(df, "v", -1, 1000))
+    assert log.unresolved() == 2000
+    with pytest.raises(ValueError):
+        log.treatment("v", None, "set_missing")
+    log.add_evidence("v", "c", df.where("v > 1000").select(ROW_ID, F.lit(outliers.UNUSUAL).alias("status")))
+    log = outliers.OutlierLog(json.loads(json.dumps(log.data)), str(tmp_path))
+    op, params = log.treatment("v", None, "set_missing")
+    assert len(json.dumps(log.data)) < 2000 and replay(df, [OperationSpec(op, "univariate", params)]).where("v is null").count() == 2000
+    op, params = log.treatment("v", None, "remove")
+    assert replay(df, [OperationSpec(op, "univariate", params)]).count() == 4000
+    log.decide("v", [4000, 4001], "valid_extreme")
+    assert log.unresolved() == 1998
+    log.decide("v", [4002], "needs_review")
+    log.decide("v", None, "likely_error")
+    assert log.unresolved("v") == 1
+    log.keep_all("v")
+    assert log.unresolved() == 0
+    with pytest.raises(ValueError):
+        clean_stream(spark.readStream.format("rate").load(), [OperationSpec("drop_rows", "structures", {"row_table": params["row_table"]})])
+
+
 # --- validation and history --------------------------------------------------
 
 
@@ -199,7 +241,12 @@ def test_project(spark, tmp_path):
     assert made == [21] and item.history.states["profile"] == "completed"
     assert item.declare_key(["k"])["identical_groups"] == 1
     assert item.preview("drop_rows", {"row_ids": [0]})["rows_after"] == 20 and item.history.pointer == 0
+    assert item.find_duplicates(["k"])["candidate_pairs"] == 1 and item.flagged_records().count() == 2
     item.resolve_duplicates(["k"], "keep_first")
+    assert item.history.specs[-1].params == {"columns": ["k"], "how": "keep_first", "blocking": []}
+    assert item.history.undo().count() == 21 and item.history.redo().count() == 20
+    item.resolve_duplicates(["k"], "keep_last")
+    assert item.history.pointer == 1  # nothing is left to resolve
     assert item.history.working().count() == 20 and item.history.states["profile"] == "outdated"
     item.outliers.flag("v", [20])
     with pytest.raises(ValueError):
@@ -213,6 +260,15 @@ def test_project(spark, tmp_path):
     project.set_status("other", "excluded")
     out = project.export(["csv", "report", "json", "script"], acknowledged=True)
     assert set(out) == {"people.csv", "people.html", "people.json", "people.py"} and spark.read.option("header", True).csv(out["people.csv"]).count() == 19
+    item.screen_outliers("v", "manual", {"max": 19.5})
+    item.review_outliers("v", "k")
+    out = project.export(["xlsx", "flagged", "zip", "report"], acknowledged=True)
+    assert set(out) == {"workbook.xlsx", "people_flagged.csv", "bundle.zip", "people.html"}
+    (sheet,) = excel.read_workbook(spark, open(out["workbook.xlsx"], "rb").read(), "xlsx").items()
+    assert sheet[0] == "people" and sheet[1].count() == 19 and sheet[1].columns == ["k", "v", ROW_ID]
+    assert {r["__flag_reason"] for r in spark.read.option("header", True).csv(out["people_flagged.csv"]).collect()} == {"outlier:v"}
+    with pytest.raises(ValueError):
+        project.export(["pdf"], acknowledged=True)
     with pytest.raises(ValueError):
         item.reread(spark, "x", "utf-8", ",")
     with pytest.raises(ValueError):
@@ -293,6 +349,43 @@ def test_sheets(spark):
             guard(data)
 
 
+def book_of(parts):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as book:
+        for name, text in parts.items():
+            book.writestr(name, text)
+    return data.getvalue()
+
+
+def test_workbooks(spark, tmp_path):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = f"""<worksheet {main}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>when</t></is></c></row>
+      <row r="3"><c r="A3"><v>7</v></c><c r="B3" t="b"><v>1</v></c><c r="C3" s="1"><v>45292.5</v></c><c r="D3" t="str"><f>A3</f><v>seven</v></c></row></sheetData></worksheet>"""
+    source = book_of({
+        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"/>',
+        "xl/workbook.xml": f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="One" sheetId="1" r:id="a"/><sheet name="Two &amp; 3" sheetId="2" r:id="b"/><sheet name="Gone" sheetId="3" r:id="c"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="/xl/worksheets/sheet2.xml"/><Relationship Id="c" Target="worksheets/sheet3.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f"<sst {main}><si><r><t>na</t></r><r><t>me</t></r></si></sst>",
+        "xl/styles.xml": f'<styleSheet {main}><numFmts><numFmt numFmtId="170" formatCode="dd/mm/yyyy hh:mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="170"/></cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": sheet,
+        "xl/worksheets/sheet2.xml": sheet,
+        "xl/worksheets/sheet3.xml": sheet,
+    })
+    want = [["name", None, "when", None], [None] * 4, [7, True, datetime(2024, 1, 1, 12), "seven"]]
+    assert excel.sheets_xlsx(source) == {"One": want, "Two & 3": want, "Gone": want}
+    (tmp_path / "in.xlsx").write_bytes(source)
+    df = frame(spark, "a string, b double, c date, d long", [("x<&>", 1.5, date(2024, 1, 2), 3), ("=f()", None, None, 2**40)])
+    path = excel.write_xlsx({"One": df, "New/1": df}, str(tmp_path / "out.xlsx"), str(tmp_path / "in.xlsx"), ["Gone"])
+    back = excel.sheets_xlsx(open(path, "rb").read())
+    table = [["a", "b", "c", "d"], ["x<&>", 1.5, "2024-01-02", 3], ["'=f()", None, None, 2**40]]
+    assert list(back) == ["One", "Two & 3", "New_1"] and sorted(map(str, back["One"])) == sorted(map(str, table)) == sorted(map(str, back["New_1"]))
+    assert zipfile.ZipFile(path).read("xl/worksheets/sheet2.xml") == sheet.encode() and back["Two & 3"] == want
+    assert "xl/worksheets/sheet3.xml" not in zipfile.ZipFile(path).namelist()
+    with pytest.raises(ValueError):
+        excel.guard_xlsx(book_of({"xl/vbaProject.bin": "x"}))
+
+
 def test_exports(spark, tmp_path):
     df = frame(spark, "a string, v double", [("=x", 1.0), (" +1", 2.0), ("ok", 999.0)])
     assert column(sinks.exported(df).withColumn(ROW_ID, F.col("v")), "a") == ["'=x", "' +1", "ok"]
