@@ -437,8 +437,12 @@ _add("undo_redo_replay", _history, "SELECT {rid} AS rid, coalesce(status, '?') A
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from scrubjay.plans import catalogue_flow
+
+    return _QUERIES | catalogue_flow.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from scrubjay.plans import catalogue_flow
+
+    return _SQL | catalogue_flow.SQL
