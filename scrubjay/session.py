@@ -43,9 +43,33 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Scratch folders written so far, in order.
+_written: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new place in the shared folder."""
-    return f"{scratch_dir(spark)}/scrubjay-{uuid.uuid4().hex}/{name}"
+    _written.append(f"{scratch_dir(spark)}/scrubjay-{uuid.uuid4().hex}")
+    return f"{_written[-1]}/{name}"
+
+
+def scratch_mark() -> int:
+    """Point in time for clear_scratch."""
+    return len(_written)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Delete the scratch tables written after a mark, but for those that ``keep`` reads; how many went.
+
+    Frames that read them lazily must have been written elsewhere before.
+    """
+    held = keep.inputFiles() if keep is not None else []
+    gone = [x for x in _written[since:] if not any(x.rpartition("/")[2] in f for f in held)]
+    for folder in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written[since:] = [x for x in _written[since:] if x not in gone]
+    return len(gone)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
