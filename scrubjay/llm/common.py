@@ -5,19 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubjay.session import scratch_path
+from scrubjay.session import materialize
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared scratch folder and read it back.
-
-    This cuts the lineage: a lost executor costs a re-read, not a re-run of
-    everything before.  The schema is kept, so empty tables work too.
-    """
-    path = scratch_path(df.sparkSession, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+__all__ = ["bound_batches", "id_mod", "join_hot", "materialize", "text_or_empty"]
 
 
 def bound_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:

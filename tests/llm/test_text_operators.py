@@ -116,6 +116,26 @@ def test_piece_counts_equal_the_library(spark):
     assert {r.doc_id: r.n for r in got} == {i: count(t or "") for i, t in enumerate(texts)}
 
 
+def test_models_are_judged_by_their_description():
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    token_counts.check_model(model)
+    data = model.serialized_model_proto()
+
+    class Changed:
+        def __init__(self, extra):
+            self.extra = extra
+
+        def __getattr__(self, name):
+            return getattr(model, name)
+
+        def serialized_model_proto(self):
+            return self.extra + data if self.extra[:1] == b"\x1a" else data + self.extra
+
+    for extra in (b"\x1a\x02\x20\x01", b"\x1a\x03\x12\x01x", b"\x0a\x05\x0a\x01x\x18\x04"):
+        with pytest.raises(ValueError):
+            token_counts.check_model(Changed(extra))
+
+
 def test_whole_tokens_are_proved():
     counter = token_counts.TokenCounter(public_tokenizers.path("piece_bpe_32k.model"))
     assert 10_000 < len(counter.whole) < 32_000
