@@ -62,16 +62,31 @@ def terms_of(text: str | None) -> list[int]:
 
 @dataclass
 class Machine:
-    """Bias, weight and vector of each chosen term (hash -> row)."""
+    """Bias, weight and vector of each chosen term (hash -> row); words met before are remembered, ``most_words`` of them."""
 
     rows: dict[int, int]
     bias: float
     weights: np.ndarray
     vectors: np.ndarray
+    most_words: int = 200_000
+
+    def __post_init__(self):
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def _rows_of(self, word: str) -> tuple[int, ...]:
+        if len(self.known) >= self.most_words:
+            self.known.clear()
+        found = tuple(r for h in hashes_of(word) if (r := self.rows.get(h)) is not None)
+        if len(word) <= 40:
+            self.known[word] = found
+        return found
 
     def score(self, text: str | None) -> float:
-        get = self.rows.get
-        found = sorted({r for w in words_of(text) for h in hashes_of(w) if (r := get(h)) is not None})
+        get, found = self.known.get, set()
+        for word in words_of(text):
+            rows = get(word)
+            found.update(self._rows_of(word) if rows is None else rows)
+        found = sorted(found)
         margin = self.bias
         if found:
             v = self.vectors[found]
