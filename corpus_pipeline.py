@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubjay.llm import decontaminate, language_id, pii, queries, simhash
-from scrubjay.llm.common import bound_batches, materialize
+from scrubjay.llm.common import bound_batches
+from scrubjay.session import clear_scratch, materialize, scratch_mark
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +67,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage wrote for itself goes when the stage has been written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = scratch_mark()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        clear_scratch(spark, mark, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
