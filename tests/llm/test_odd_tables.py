@@ -41,6 +41,32 @@ def test_query_on_odd_and_empty_tables(spark, folders, name):
         assert sorted((r.doc_id if r.doc_id is not None else -1) for r in got) == [-1, 3, 6, 7, 9]
     if name == "op10_decontaminate":
         assert {(r.doc_id, r.item_id) for r in got} == {(5, 3)}
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r[0], []).append(r[1:])
+    if name not in ("op10_decontaminate", "pipeline"):
+        repeated = 2 if name in ("op2_warc", "op4_url_filter") else 3
+        assert len(set(by_id[repeated])) == 1 < len(by_id[repeated])  # repeated rows are equal
+    if name in ("op1_matroska", "op3_token_counts", "op5_pii", "op9_byte_bpe"):
+        assert by_id[0] == by_id[1]  # null is taken for empty
+    if name == "op1_matroska":
+        assert by_id[0][0][:2] == (0, 576) and by_id[2][0][:2] == (1, 576)
+    if name == "op2_warc":
+        none = "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"  # of no bytes
+        assert by_id[0][0][:2] == by_id[1][0][:2] == (0, none) and (by_id[0][0][2:4], by_id[1][0][2:4]) == (("revisit", 1), ("response", None))
+        assert all(r.error is None and r.digest_ok is not False for r in got)
+    if name == "op3_token_counts":
+        assert by_id[0] == [(0, 0, False)] and by_id[5][0][2] and by_id[7][0][0] == len(TEXTS[7].encode())
+    if name == "op4_url_filter":
+        assert by_id[0][0][:3] == by_id[1][0][:3] == ("", "", None)
+        assert by_id[2][0] == ("a.org", "/x", "org/", "allow") and by_id[5][0] == ("thebird.example.com", "/de/1", "com/de/", "block") and by_id[None][0][:3] == ("b.net", "/", None)
+    if name == "op5_pii":
+        assert by_id[0][0][:4] == (0, 0, 0, 0) and by_id[0][0][5] == "" and by_id[5][0][:4] == (1, 0, 0, 0)
+        assert by_id[6][0][:4] == (0, 1, 0, 1) and by_id[6][0][5] == "ip:0:7,phone:12:28"
+    if name == "op6_toxicity":
+        assert by_id[0][0][1:] == by_id[1][0][1:] == by_id[2][0][1:] and all(0 <= r.score <= 1 for r in got) and {r.held_out for r in got if r.doc_id is None} == {True}
+    if name == "op9_byte_bpe":
+        assert by_id[0][0][0] == 0 and by_id[0][0][2] == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
     if name == "op8_simhash":
         component = {(r.doc_id, r.component_id) for r in got}
         assert {(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (None, 0)} <= component
