@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scrubjay.assessments.profile import data_columns
-from scrubjay.functions.columns import MISSING_MARKERS, any_of, is_missing, qcol
+from scrubjay.functions.columns import MISSING_MARKERS, any_of, missing_in, qcol
 
 
 def key_groups(df: DataFrame, columns: list[str], markers: Iterable[str] = MISSING_MARKERS) -> DataFrame:
@@ -18,7 +18,7 @@ def key_groups(df: DataFrame, columns: list[str], markers: Iterable[str] = MISSI
     Smallest and largest value (and nulls beside values) tell whether a
     column differs, so a hot key is summed before it is shuffled.
     """
-    there = df.where(~any_of(is_missing(qcol(c), markers) for c in columns))
+    there = df.where(~any_of(missing_in(df, c, markers) for c in columns))
     others = [c for c in data_columns(df) if c not in columns]
     aggs = [F.count("*").alias("__n")]
     for i, c in enumerate(others):
@@ -36,7 +36,7 @@ def key_summary(df: DataFrame, columns: list[str], markers: Iterable[str] = MISS
     for c in columns:
         if c not in df.columns:
             raise ValueError(f"unknown column: {c}")
-    gone = any_of(is_missing(qcol(c), markers) for c in columns)
+    gone = any_of(missing_in(df, c, markers) for c in columns)
     rows = df.agg(F.count("*").alias("total_rows"), F.count_if(gone).alias("missing_rows"))
     groups = key_groups(df, columns, markers).agg(
         F.count_if(F.size("conflicts") == 0).alias("identical_groups"),
@@ -67,4 +67,4 @@ def key_conflicts(df: DataFrame, columns: list[str], markers: Iterable[str] = MI
 
 
 def missing_key_rows(df: DataFrame, columns: list[str], markers: Iterable[str] = MISSING_MARKERS) -> DataFrame:
-    return df.where(any_of(is_missing(qcol(c), markers) for c in columns))
+    return df.where(any_of(missing_in(df, c, markers) for c in columns))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scrubjay.functions.columns import MISSING_MARKERS, all_of, folded, is_missing, is_numeric, is_text, qcol, strip_ws, trimmed_number
+from scrubjay.functions.columns import MISSING_MARKERS, all_of, folded, is_missing, is_numeric, is_text, missing_in, qcol, strip_ws, trimmed_number
 from scrubjay.functions.columns import number as parsed_number
 from scrubjay.session import ROW_ID
 
@@ -31,7 +31,7 @@ def long_form(df: DataFrame, columns: Iterable[str], extra: Column | None = None
 def missing_counts(df: DataFrame, markers: Iterable[str] = MISSING_MARKERS) -> DataFrame:
     """(column, n_missing, n_rows): one pass over the table."""
     names = data_columns(df)
-    row = df.agg(F.count("*").alias("n"), *(F.count_if(is_missing(qcol(c), markers)).alias(f"m{i}") for i, c in enumerate(names)))
+    row = df.agg(F.count("*").alias("n"), *(F.count_if(missing_in(df, c, markers)).alias(f"m{i}") for i, c in enumerate(names)))
     cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("n_missing"), F.col("n").alias("n_rows")) for i, c in enumerate(names)))
     return row.select(F.explode(cells).alias("c")).select("c.*")
 
@@ -51,7 +51,7 @@ def first_values(df: DataFrame, names: list[str], markers: Iterable[str] = MISSI
     itself.
     """
     markers = list(markers)
-    there = lambda c: F.when(~is_missing(qcol(c), markers), qcol(c))
+    there = lambda c: F.when(~missing_in(df, c, markers), qcol(c))
     found: dict[str, list] = {c: [] for c in names}
     sought = list(names)
     if ROW_ID in df.columns and names:
@@ -64,7 +64,7 @@ def first_values(df: DataFrame, names: list[str], markers: Iterable[str] = MISSI
             found[c] = [r[i + 1] for r in rows if r[i + 1] is not None][:most]
         sought = [c for c in names if len(found[c]) < most]
     for c in sought:
-        own = df.where(~is_missing(qcol(c), markers))
+        own = df.where(~missing_in(df, c, markers))
         found[c] = [r[0] for r in (own.orderBy(ROW_ID) if ROW_ID in df.columns else own).select(qcol(c)).limit(most).collect()]
     return found
 
@@ -80,7 +80,7 @@ def _approximate(df: DataFrame, names: list[str], markers: list[str]) -> DataFra
     """(column, n_rows, n_missing, n_unique) in one pass without a shuffle of values."""
     aggs = [F.count("*").alias("n")]
     for i, c in enumerate(names):
-        gone = is_missing(qcol(c), markers)
+        gone = missing_in(df, c, markers)
         aggs += [F.count_if(gone).alias(f"m{i}"), F.approx_count_distinct(F.when(~gone, qcol(c).cast("string")), 0.02).alias(f"u{i}")]
     cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col("n").alias("n_rows"), F.col(f"m{i}").alias("n_missing"), F.col(f"u{i}").alias("n_unique")) for i, c in enumerate(names)))
     rows = df.agg(*aggs).select(F.explode(cells).alias("c")).select("c.*")
@@ -100,7 +100,7 @@ def profile(df: DataFrame, markers: Iterable[str] = MISSING_MARKERS, approximate
     if approximate:
         per = _approximate(df, names, markers)
     else:
-        cells = F.array(*(F.struct(F.lit(c).alias("column"), is_missing(qcol(c), markers).alias("missing"), F.when(~is_missing(qcol(c), markers), qcol(c).cast("string")).alias("value")) for c in names))
+        cells = F.array(*(F.struct(F.lit(c).alias("column"), missing_in(df, c, markers).alias("missing"), F.when(~missing_in(df, c, markers), qcol(c).cast("string")).alias("value")) for c in names))
         counts = df.select(F.explode(cells).alias("c")).select("c.*").groupBy("column", "missing", "value").agg(F.count("*").alias("n"))
         per = counts.groupBy("column").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("missing"), F.col("n"))), F.lit(0)).alias("n_missing"), F.count_if(~F.col("missing")).alias("n_unique"))
     suspects = _suspects(df, [c for c in names if is_text(df, c)], markers)
@@ -216,7 +216,7 @@ def missingness(df: DataFrame, markers: Iterable[str] = MISSING_MARKERS) -> list
     breakdown: dict[str, dict] = {c: {} for c in names}
     if gone:
         value = lambda c: F.when(qcol(c).isNull(), F.lit("null value")).when(folded(qcol(c)) == "", F.lit("blank")).otherwise(folded(qcol(c)))
-        cells = F.array(*(F.when(is_missing(qcol(c), markers), F.struct(F.lit(c).alias("column"), value(c).alias("marker"))) for c in gone))
+        cells = F.array(*(F.when(missing_in(df, c, markers), F.struct(F.lit(c).alias("column"), value(c).alias("marker"))) for c in gone))
         for r in df.select(F.explode(F.array_compact(cells)).alias("c")).groupBy("c.column", "c.marker").agg(F.count("*").alias("n")).collect():
             breakdown[r.column][r.marker] = r.n
     numeric = [c for c in gone if kinds[c] in ("integer", "decimal")]
@@ -243,7 +243,7 @@ def missingness(df: DataFrame, markers: Iterable[str] = MISSING_MARKERS) -> list
 
 def unimputable_groups(df: DataFrame, name: str, group_by: list[str], markers: Iterable[str] = MISSING_MARKERS, most: int = 50) -> DataFrame:
     """Groups in which a column has no value at all (a report of ``most`` groups)."""
-    there = F.count_if(~is_missing(qcol(name), markers)).alias("n_observed")
+    there = F.count_if(~missing_in(df, name, markers)).alias("n_observed")
     return df.groupBy(*(qcol(k) for k in group_by)).agg(F.count("*").alias("n_rows"), there).where("n_observed = 0").orderBy(*(qcol(k) for k in group_by)).limit(most)
 
 
@@ -251,5 +251,5 @@ def numeric_view(df: DataFrame, name: str, markers: Iterable[str] = MISSING_MARK
     """A column's numbers: missing values and texts that aren't numbers are null."""
     c = qcol(name)
     value = c.cast("double") if is_numeric(df, name) else parsed_number(strip_ws(c.cast("string")))
-    return F.when(~is_missing(c, markers), value)
+    return F.when(~missing_in(df, name, markers), value)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scrubjay.assessments.profile import data_columns
-from scrubjay.functions.columns import FALSE_WORDS, MISSING_MARKERS, TRUE_WORDS, is_missing, is_numeric, is_text, qcol, strip_ws, title_case
+from scrubjay.functions.columns import FALSE_WORDS, MISSING_MARKERS, TRUE_WORDS, is_missing, is_numeric, is_text, missing_in, qcol, strip_ws, title_case
 from scrubjay.operators.types import PLAIN_NUMBER, WITH_UNIT, rule_violated, unit_parts
 from scrubjay.session import ROW_ID
 
@@ -171,7 +171,7 @@ def unit_groups(df: DataFrame, name: str, markers: Iterable[str] = MISSING_MARKE
 def mixed_scale(df: DataFrame, name: str, markers: Iterable[str] = MISSING_MARKERS) -> dict:
     """Whether a numeric column seems to mix shares (0 to 1) with percentages."""
     c = qcol(name).cast("double")
-    n, small, large, top = df.where(~is_missing(qcol(name), markers)).agg(F.count(c), F.count_if((c > 0) & (c <= 1)), F.count_if(c > 1), F.max(c)).first()
+    n, small, large, top = df.where(~missing_in(df, name, markers)).agg(F.count(c), F.count_if((c > 0) & (c <= 1)), F.count_if(c > 1), F.max(c)).first()
     return {"column": name, "n": n, "n_shares": small, "n_above_one": large, "possible_mixed_scale": bool(n >= 10 and small >= 2 and large >= 2 and top <= 100)}
 
 
@@ -182,12 +182,12 @@ def units(df: DataFrame, name: str, markers: Iterable[str] = MISSING_MARKERS, sa
     rows = unit_groups(df, name, markers).collect()
     named = [r for r in rows if r.unit]
     unit, value = unit_parts(qcol(name))
-    seen = df.where(~is_missing(qcol(name), markers) & value.isNotNull()).select(unit.alias("unit"), qcol(name).alias("v")).distinct()
+    seen = df.where(~missing_in(df, name, markers) & value.isNotNull()).select(unit.alias("unit"), qcol(name).alias("v")).distinct()
     first = Window.partitionBy("unit").orderBy("v")
     some = seen.where(F.col("unit") != "").withColumn("k", F.row_number().over(first)).where(F.col("k") <= samples).collect()
     shown_of = {u: sorted(r.v for r in some if r.unit == u) for u in {r.unit for r in some}}
     groups = [r.asDict() | {"factors": FACTORS.get(r.unit, {}), "samples": shown_of.get(r.unit, [])} for r in sorted(named, key=lambda r: (-r.n, r.unit))]
     unmatched = next((r.n for r in rows if r.unit is None), 0)
-    shown = df.where(~is_missing(qcol(name), markers) & value.isNull()).select(qcol(name)).orderBy(qcol(name)).limit(samples).collect() if unmatched else []
+    shown = df.where(~missing_in(df, name, markers) & value.isNull()).select(qcol(name)).orderBy(qcol(name)).limit(samples).collect() if unmatched else []
     return {"column": name, "groups": groups, "n_plain": next((r.n for r in rows if r.unit == ""), 0), "n_unmatched": unmatched, "unmatched": [r[0] for r in shown], "scale": None}
 

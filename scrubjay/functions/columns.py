@@ -82,6 +82,15 @@ def is_missing(c: Column, markers: Iterable[str] = MISSING_MARKERS) -> Column:
     return c.isNull() | F.coalesce(folded(c).isin(markers), F.lit(False)) if markers else c.isNull()
 
 
+def missing_in(df: DataFrame, name: str, markers: Iterable[str] = MISSING_MARKERS) -> Column:
+    """is_missing of a frame's column; numbers, dates and truth values are only made text if a marker could be one."""
+    c, kind, markers = qcol(name), dtype_of(df, name), list(markers)
+    plain = isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.TimeType))
+    if not plain or any(any(x.isdigit() for x in m) or m in ("true", "false", "infinity", "-infinity") for m in markers):
+        return is_missing(c, markers)
+    return c.isNull() | F.isnan(c) if isinstance(kind, (T.FloatType, T.DoubleType)) and "nan" in markers else c.isNull()
+
+
 def blank_to_null(c: Column, markers: Iterable[str] = MISSING_MARKERS) -> Column:
     """Text with markers made null."""
     return F.when(~is_missing(c, markers), c)

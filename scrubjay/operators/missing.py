@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubjay.functions import ordering, stats
-from scrubjay.functions.columns import blank_to_null, dtype_of, float_text, is_missing, is_temporal, is_text, markers_of, number, number_or_comma, qcol, set_column
+from scrubjay.functions.columns import blank_to_null, dtype_of, float_text, is_temporal, is_text, markers_of, missing_in, number, number_or_comma, qcol, set_column
 from scrubjay.operators.spec import operation
 from scrubjay.session import ROW_ID
 
@@ -22,7 +22,7 @@ def treat_missing(df: DataFrame, params: dict) -> DataFrame:
     if method == "drop_column":
         return df.select(*(qcol(c) for c in df.columns if c != name))
     if method == "drop_rows":
-        return df.where(~is_missing(qcol(name), markers))
+        return df.where(~missing_in(df, name, markers))
     if is_text(df, name):
         df = set_column(df, name, blank_to_null(qcol(name), markers))
     if method in ("constant", "mean", "median", "mode"):

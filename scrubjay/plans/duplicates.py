@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubjay.functions.columns import MISSING_MARKERS, blank_to_null, is_missing, is_text, markers_of, qcol, set_column
+from scrubjay.functions.columns import MISSING_MARKERS, blank_to_null, is_text, markers_of, missing_in, qcol, set_column
 from scrubjay.operators.spec import operation
 from scrubjay.session import ROW_ID
 
@@ -176,7 +176,7 @@ def near_summary(df: DataFrame, pairs: DataFrame) -> dict:
 
 def completeness(df: DataFrame, columns: list[str], markers=MISSING_MARKERS) -> Column:
     """How many of the columns have a value in a row."""
-    return reduce(lambda a, b: a + b, ((~is_missing(qcol(c), markers)).cast("int") for c in columns))
+    return reduce(lambda a, b: a + b, ((~missing_in(df, c, markers)).cast("int") for c in columns))
 
 
 def resolve(df: DataFrame, columns: list[str], how: str, blocking: list[str] = (), markers=MISSING_MARKERS) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from scrubjay.assessments.profile import data_columns, numeric_view
 from scrubjay.functions import ordering, stats
-from scrubjay.functions.columns import MISSING_MARKERS, dtype_of, is_missing, is_numeric, is_text, qcol
+from scrubjay.functions.columns import MISSING_MARKERS, dtype_of, is_numeric, is_text, missing_in, qcol
 from scrubjay.operators.rows_columns import ids_frame
 from scrubjay.session import ROW_ID, scratch_path
 
@@ -92,12 +92,12 @@ def contexts(df: DataFrame, name: str, markers: Iterable[str] = MISSING_MARKERS,
     names = [c for c in data_columns(df) if c != name]
     if not names:
         return []
-    own = ~is_missing(qcol(name), markers)
+    own = ~missing_in(df, name, markers)
     aggs = [F.count("*").alias("n")]
     for i, c in enumerate(names):
-        usable = own & ~is_missing(qcol(c), markers)
+        usable = own & ~missing_in(df, c, markers)
         length = F.avg(F.length(qcol(c).cast("string")))
-        aggs += [F.count_if(is_missing(qcol(c), markers)).alias(f"m{i}"), F.count_if(usable).alias(f"u{i}"), F.count(numeric_view(df, c, markers)).alias(f"x{i}"), length.alias(f"l{i}")]
+        aggs += [F.count_if(missing_in(df, c, markers)).alias(f"m{i}"), F.count_if(usable).alias(f"u{i}"), F.count(numeric_view(df, c, markers)).alias(f"x{i}"), length.alias(f"l{i}")]
     row = df.agg(*aggs).first()
     cells = F.array(*(F.struct(F.lit(i).alias("i"), qcol(c).cast("string").alias("v")) for i, c in enumerate(names)))
     counts = df.select(F.explode(cells).alias("c")).select("c.*").groupBy("i", "v").agg(F.count("*").alias("n"))
@@ -128,7 +128,7 @@ def contexts(df: DataFrame, name: str, markers: Iterable[str] = MISSING_MARKERS,
 
 def _pairs(df: DataFrame, name: str, context: str, flags: DataFrame, markers: Iterable[str]) -> DataFrame:
     """Row id, y (the column), x (the context as it is) and whether the row is flagged, where both are there."""
-    there = df.where(~is_missing(qcol(name), markers) & ~is_missing(qcol(context), markers))
+    there = df.where(~missing_in(df, name, markers) & ~missing_in(df, context, markers))
     rows = there.select(ROW_ID, numeric_view(df, name, markers).alias("y"), qcol(context).alias("x"))
     return rows.join(flags.select(ROW_ID, F.lit(True).alias("flag")), ROW_ID, "left").withColumn("flag", F.coalesce("flag", F.lit(False)))
 
@@ -184,7 +184,7 @@ def datetime_review(df: DataFrame, name: str, context: str, flags: DataFrame, ma
 
 def rolling_band(df: DataFrame, name: str, context: str, markers: Iterable[str] = MISSING_MARKERS, rows_per_bucket: int = ordering.ROWS_PER_BUCKET) -> DataFrame:
     """(row id, y, median, low, high) of the 21 values around each row in the context's order."""
-    rows = df.where(~is_missing(qcol(name), markers) & qcol(context).isNotNull()).select(ROW_ID, numeric_view(df, name, markers).alias("y"), qcol(context).alias("x"))
+    rows = df.where(~missing_in(df, name, markers) & qcol(context).isNotNull()).select(ROW_ID, numeric_view(df, name, markers).alias("y"), qcol(context).alias("x"))
     placed = ordering.with_position(ordering.in_buckets(rows, ROW_ID, "x", rows_per_bucket))
     near = ordering.around(placed, WINDOW, lambda w: {"__w": F.array_sort(F.collect_list("y").over(w))})
     size = F.size("__w")
@@ -208,7 +208,7 @@ def review(df: DataFrame, name: str, context: str, flags: DataFrame | list[int],
     kind = dtype_of(df, context)
     numeric = is_numeric(df, context)
     if is_text(df, context):
-        usable, numbers = df.where(~is_missing(qcol(name), markers) & ~is_missing(qcol(context), markers)).agg(F.count("*"), F.count(numeric_view(df, context, markers))).first()
+        usable, numbers = df.where(~missing_in(df, name, markers) & ~missing_in(df, context, markers)).agg(F.count("*"), F.count(numeric_view(df, context, markers))).first()
         numeric = numbers / max(usable, 1) > 0.9
     make = numeric_review if numeric else datetime_review if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType, T.TimeType)) else group_review
     out = make(df, name, context, rows, markers)

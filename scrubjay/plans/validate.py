@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from scrubjay.assessments.keys import key_summary
 from scrubjay.assessments.profile import data_columns
-from scrubjay.functions.columns import MISSING_MARKERS, any_of, float_text, is_missing, qcol
+from scrubjay.functions.columns import MISSING_MARKERS, any_of, float_text, missing_in, qcol
 from scrubjay.session import ROW_ID
 
 
 def missing_total(df: DataFrame, markers: Iterable[str] = MISSING_MARKERS) -> int:
     names = data_columns(df)
-    row = df.agg(*(F.count_if(is_missing(qcol(c), markers)).alias(f"m{i}") for i, c in enumerate(names))).first()
+    row = df.agg(*(F.count_if(missing_in(df, c, markers)).alias(f"m{i}") for i, c in enumerate(names))).first()
     return sum(row)
 
 
