@@ -15,6 +15,7 @@ from scrubjay.functions.columns import qcol
 from scrubjay.operators import OperationSpec, execute
 from scrubjay.plans import duplicates, outliers, stages
 from scrubjay.plans.catalogue import _DUP, _KEYED, _PARTS, VIEWS, Query, _keyed, _spiked, view, view_sql
+from scrubjay.plans.project import Project
 from scrubjay.session import ROW_ID, scratch_path
 from scrubjay.sources import csv, excel, preview, sinks
 from scrubjay.streaming.ops import clean_stream
@@ -65,6 +66,22 @@ def csv_row_ids(s: SparkSession, d: str) -> DataFrame:
     return csv.read_csv(s, _file(s, df)).select(F.col("rid").cast("long").alias("rid"), "status", qcol(ROW_ID).alias("row_index"))
 
 
+@_query("SELECT * FROM (VALUES ('csv', 'csv'), ('txt', 'csv'), ('xlsx', 'xlsx'), ('xls', 'refused')) t(named, kind)")
+def file_kinds(s: SparkSession, d: str) -> DataFrame:
+    """What files are by their first bytes; one that is named for something else is refused."""
+    head = csv.head_of(s, _file(s, view(s, d, "sales").select(qcol(ROW_ID).alias("rid"), "status")))
+    with tempfile.NamedTemporaryFile(suffix=".xlsx") as out:
+        excel.write_xlsx({"region": s.read.parquet(f"{d}/region.parquet")}, out.name)
+        book = out.read()
+    found = []
+    for named, data in (("csv", head), ("txt", head), ("xlsx", book), ("xls", book)):
+        try:
+            found.append((named, csv.kind_of(data, named)))
+        except ValueError:
+            found.append((named, "refused"))
+    return _rows(s, found, "named string, kind string")
+
+
 @_query("SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier")
 def xlsx_scan(s: SparkSession, d: str) -> DataFrame:
     """A table written as a workbook and read again."""
@@ -230,6 +247,21 @@ def config_replay(s: SparkSession, d: str) -> DataFrame:
     return df.select(qcol(ROW_ID).alias("rid"), "status", "units")
 
 
+@_query("SELECT * FROM (VALUES ('assessments made', 2), ('operations', 1), ('warnings', 1), ('exported', 1)) t(what, n)")
+def project_flow(s: SparkSession, d: str) -> DataFrame:
+    """Cached assessments, an operation, a key that doesn't hold, an excluded item."""
+    project = Project(s, scratch_path(s, "project"))
+    item, made = project.add("sales", view(s, d, "sales")), []
+    project.add("parts", view(s, d, "parts"))
+    for _ in range(2):
+        item.assess("profile", lambda df: made.append(df.count()))
+    item.apply("fill_null_constant", {"column": "status", "value": "?"}, "missingness")
+    item.assess("profile", lambda df: made.append(df.count()))
+    item.declare_key(["customer"])
+    project.set_status("parts", "excluded")
+    return _rows(s, [("assessments made", len(made)), ("operations", item.history.pointer), ("warnings", len(project.warnings())), ("exported", len(project.exported()))], "what string, n int")
+
+
 @_query("SELECT {rid} AS rid, coalesce(status, '?') AS status, CASE WHEN units > 12 THEN NULL ELSE units END AS units FROM {sales}")
 def stream_clean(s: SparkSession, d: str) -> DataFrame:
     """The same operations on a stream that takes all there is and stops."""
