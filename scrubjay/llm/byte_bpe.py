@@ -41,7 +41,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class ByteBPE:
     """Encoder and decoder for a rank table; twice ``cache_size`` bounds the remembered pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 100_000):
         self.find = regex.compile(pattern).findall
         self.ranks, self.cache_size = ranks, cache_size
         if any(bytes([b]) not in ranks for b in range(256)):
