@@ -13,10 +13,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrubjay.functions import ordering, stats
+from scrubjay.functions.columns import MISSING_MARKERS, is_missing, missing_in
 from scrubjay.operators import OperationSpec, replay
 from scrubjay.plans import outliers, stages, validate
 from scrubjay.plans.lineage import History
-from scrubjay.session import ROW_ID, configure
+from scrubjay.session import ROW_ID, clear_scratch, configure, materialize, scratch_mark
 from scrubjay.sources import csv, excel, preview, sinks
 from scrubjay.streaming.ops import clean_stream
 from tests.helpers import column, frame
@@ -323,6 +324,23 @@ def test_csv_round_trip(spark, tmp_path):
     assert seen["n_rows"] == 2 and len(seen["rows"]) == 1 and preview.missing_rows(df, "CO(GT)")[0]["PT08.S1(CO)"] == 1292
 
 
+def test_scratch_tables_go_on_request(spark):
+    mark = scratch_mark()
+    first, second = (materialize(spark.range(n), "t") for n in (3, 4))
+    assert clear_scratch(spark, mark, keep=second) == 1 and second.count() == 4
+    with pytest.raises(Exception, match="exist"):
+        spark.read.parquet(first.inputFiles()[0])
+    assert clear_scratch(spark, mark) == 1 and clear_scratch(spark, mark) == 0
+
+
+def test_typed_columns_are_tested_by_their_type(spark):
+    df = frame(spark, "v double, n long, d date, b boolean, s string", [(1.0, 1, date(2024, 1, 2), True, "-"), (float("nan"), -200, None, None, " N/A "), (None, None, None, False, "x")])
+    for markers in (MISSING_MARKERS, ("-200", "true"), ("2024-01-02",), ()):
+        both = df.select(*(F.struct(missing_in(df, c, markers), is_missing(F.col(c), markers)) for c in ("v", "n", "d", "b", "s"))).collect()
+        assert all(x[0] == x[1] for r in both for x in r), markers
+    assert "CAST" not in str(missing_in(df, "v")) and "CAST" in str(missing_in(df, "v", ("-200",)))
+
+
 def test_row_ids_are_dense_and_in_file_order(spark, tmp_path):
     from scrubjay.functions.columns import with_row_id
 
