@@ -2,7 +2,6 @@
 
 import gzip
 import hashlib
-import json
 import random
 import re
 import zlib
@@ -13,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scrubjay.llm import decontaminate, language_id, pii, queries, simhash, toxicity, url_filter, warc
+from scrubjay.llm import decontaminate, pii, queries, simhash, toxicity, url_filter, warc
 from scrubjay.llm.common import id_mod, join_hot
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
