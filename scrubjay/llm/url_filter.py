@@ -12,8 +12,8 @@ Counts are over all words of all pages.  The model's words are those that make
 up at least ``least_share`` of the running words, so there can't be more than
 ``1 / least_share`` of them, at any size of the table; rarer ones are taken for
 fragments and weighed by their letters, like words never seen.  A word of one
-or two letters has to be ``SHORT`` times as frequent.  The Bayes model has
-``2**16`` hashed tokens.
+letter has to be 10,000 times as frequent, one of two 1000 times.  The Bayes
+model has ``2**16`` hashed tokens.
 
 Defined results: a URL that is null or has no ``://`` has an empty host and
 path.  Names have no more than 63 letters in a label; longer runs are left
@@ -42,7 +42,8 @@ from scrubjay.llm.common import materialize
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BITS = 16
 LONGEST_LABEL = 63
-SHORT = 1000
+#: How many times as frequent short words have to be, by their letters.
+SHORT = {1: 10_000, 2: 1000}
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -117,7 +118,7 @@ class Words:
 
 def running_words(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(word, n): runs of letters in the titles and paths of all pages, less each page's own host's."""
-    title = F.regexp_extract(F.col(html), r"(?is)<title[^>]*>([^<]*)", 1)
+    title = F.regexp_replace(F.regexp_extract(F.col(html), r"(?is)<title[^>]*>([^<]*)", 1), "&#?[0-9A-Za-z]+;", " ")
     rest = F.regexp_replace(F.col(url), r"(?s)^.*?://[^/?#]*", " ")
     letters = lambda text: F.split(F.lower(text), r"[^\p{L}]+")
     running = pages.select(letters(F.concat_ws(" ", title, rest)).alias("words"), letters(host_of(F.col(url))).alias("names"))
@@ -130,7 +131,7 @@ def learn_words(pages: DataFrame, url: str = "url", html: str = "html", least_sh
     """The unigram model: log probabilities of the words with at least ``least_share`` of all counts."""
     counts = materialize(running_words(pages, url, html), "words")
     total = counts.agg(F.sum("n")).first()[0] or 1
-    least = least_share * total * F.when(F.length("word") < 3, SHORT).otherwise(1)
+    least = least_share * total * F.when(F.length("word") == 1, SHORT[1]).when(F.length("word") == 2, SHORT[2]).otherwise(1)
     kept = counts.where(F.col("n") >= least).toArrow()
     return Words({w: math.log(n / total) for w, n in zip(kept.column("word").to_pylist(), kept.column("n").to_pylist(), strict=True)}, float(total))
 
