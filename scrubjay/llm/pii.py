@@ -37,6 +37,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrubjay.functions.columns import qcol
+
 KINDS = ("email", "ip", "card", "phone")
 _CONTEXT = 24
 _BLOCK, _TEXT_BLOCK = 64, 1024
@@ -361,7 +363,7 @@ def find(docs: DataFrame, model: Model, text: str = "text", base: str = "base",
         found = _tagged(kind, _spans(rest, LOOSE[kind], lambda x, kind=kind: _chosen(kind, model, x)))
         rows = rows.withColumn(f"__scrubjay_{kind}", _if_needed(kind, rest, found, empty))
     own = F.concat(*(F.col(f"__scrubjay_{k}") for k in kinds)) if kinds else empty
-    return rows.select(*docs.columns, F.col("__scrubjay_base").alias(base), own.alias(added))
+    return rows.select(*map(qcol, docs.columns), F.col("__scrubjay_base").alias(base), own.alias(added))
 
 
 def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -370,4 +372,4 @@ def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     found = find(docs, model, text, "__scrubjay_base", "__scrubjay_added")
     spans = found.withColumn("__scrubjay_spans", F.array_sort(F.concat("__scrubjay_base", "__scrubjay_added")))
     new = rewrite(F.col(text), F.col("__scrubjay_spans"), name).alias(text)
-    return spans.select(*(new if c == text else F.col(f"`{c}`") for c in docs.columns))
+    return spans.select(*(new if c == text else qcol(c) for c in docs.columns))

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 import xxhash
 
+from scrubjay.functions.columns import qcol
 from scrubjay.llm.common import materialize
 
 _SEED = 42
@@ -275,4 +276,4 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     distinct = materialize(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(first).alias("best")), "distinct")
     roots = components(link(distinct, radius=radius)).withColumnRenamed("node", "fp")
     kept = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("best")["row"].alias(row)).select(row)
-    return marked.join(kept, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return marked.join(kept, row, "left_semi").select(*map(qcol, docs.columns))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from scrubjay.llm import queries
 
-CLASHING = ("payload", "media", "file", "payload_bytes", "n_tokens", "tokens", "host", "path", "rule", "odds", "decided", "base", "added", "spans", "score", "label", "found", "fp", "root", "component_id", "coded", "ids", "data", "digest", "first", "n", "refers_to", "held_out", "doc", "__scrubjay_fp")
+CLASHING = ("payload", "media", "file", "payload_bytes", "n_tokens", "tokens", "host", "path", "rule", "odds", "decided", "base", "added", "spans", "score", "label", "found", "fp", "root", "component_id", "coded", "ids", "data", "digest", "first", "n", "refers_to", "held_out", "doc", "__scrubjay_fp", "a.b", "c`d")
 LONG = "word " * 40_000 + "a@b.co " + "x" * 200_000
 TEXTS = [None, "", " ", "the same words again", "the same words again", LONG, "1.2.3.4 und +49 (30) 1234567", "日本語 テキスト", "\x00\x01", "idiot"]
 SCHEMAS = {
