@@ -202,7 +202,7 @@ def outlier_decisions(s: SparkSession, d: str) -> DataFrame:
     return _rows(s, [(log.data["columns"]["v"]["n_flagged"], log.unresolved(spark=s))], "n_flagged long, unresolved long")
 
 
-@_query(f"SELECT s.{{rid}} AS rid, CASE WHEN f.rid IS NULL THEN total END AS v FROM {{sales}} s LEFT JOIN {_FLAGGED} f ON f.rid = s.{{rid}}")
+@_query(f"SELECT s.{{rid}} AS rid, CASE WHEN f.rid IS NULL THEN CASE WHEN s.{{rid}} % 400 = 0 THEN total * 9 ELSE total END END AS v FROM {{sales}} s LEFT JOIN {_FLAGGED} f ON f.rid = s.{{rid}}")
 def outlier_treatment(s: SparkSession, d: str) -> DataFrame:
     """All flagged rows set missing, by their table."""
     op, params = _log(s, d).treatment("v", None, "set_missing")
