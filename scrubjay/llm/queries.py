@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubjay.llm import byte_bpe, decontaminate, language_id, matroska, pii, simhash, token_counts, toxicity, url_filter, warc
+from scrubjay.llm import byte_bpe, decontaminate, language_id, matroska, merkle, pii, simhash, token_counts, toxicity, url_filter, warc
 from scrubjay.llm.common import bound_batches, id_mod, materialize, text_or_empty
 
 
@@ -159,7 +161,48 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-_ALL = (op1_matroska, op2_warc, op3_token_counts, op4_url_filter, op5_pii, op6_toxicity, op7_language_id, op8_simhash, op9_byte_bpe, op10_decontaminate)
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest, proof and check of each document in a tree by language."""
+    docs = _table(spark, sf_dir, "documents")
+    columns = lambda text: [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text]
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.leaf(columns(lowered)))
+    rows = docs.select("doc_id", "lang", merkle.leaf(columns(F.col("text"))).alias("leaf"), tampered.alias("tampered"))
+    return merkle.manifest(rows, "doc_id", "lang", "leaf", "tampered").withColumnRenamed("id", "doc_id")
+
+
+def op13_sql(levels: int = 10, upper: int = 4) -> str:
+    """The same trees level by level, for up to 8 ** levels rows a language and 8 ** upper languages."""
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"
+    value = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(strlen({c}::VARCHAR), ':', {c}) END"
+    leaf = lambda text: f"sha256(concat({', '.join(map(value, ('doc_id', 'source', 'lang', 'n_chars', text)))}))"
+    lowered = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    run = "OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN"
+    parts = [
+        f"""d AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, xor({crc}, 4294967295) % 3 = 0 AS altered, {leaf("text")} AS leaf, {leaf(lowered)} AS changed FROM documents)""",
+        "e AS (SELECT doc_id, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf, CASE WHEN altered THEN changed ELSE leaf END AS now FROM d)",
+        "l0 AS (SELECT g, i, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM e)",
+    ]
+
+    def climb(name: str, n: int) -> None:
+        for k in range(n):
+            parts.append(f"{name}{k}s AS (SELECT g, i, n, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b, coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {name}{k})")
+            parts.append(f"{name}{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, (n + 7) // 8 AS n FROM {name}{k} GROUP BY g, i // 8, n)")
+
+    climb("l", levels)
+    parts.append(f"t0 AS (SELECT 0 AS g, g AS i, h, count(*) OVER () AS n FROM l{levels})")
+    climb("t", upper)
+    parts.append("p0 AS (SELECT doc_id, g, i, leaf, now, '' AS proof FROM e)")
+    fold = "CASE WHEN n = 1 THEN now ELSE sha256(concat(b, now, a)) END AS now, CASE WHEN n = 1 THEN proof ELSE concat(proof, b, a) END AS proof"
+    for k in range(levels):
+        parts.append(f"p{k + 1} AS (SELECT doc_id, p.g, i // 8 AS i, leaf, {fold} FROM p{k} p JOIN l{k}s s USING (g, i))")
+    parts.append(f"q0 AS (SELECT doc_id, g AS i, g AS own, leaf, now, proof FROM p{levels})")
+    for k in range(upper):
+        parts.append(f"q{k + 1} AS (SELECT doc_id, i // 8 AS i, own, leaf, {fold} FROM q{k} JOIN t{k}s USING (i))")
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = r.h AS verified FROM q{upper} q JOIN l{levels} s ON s.g = q.own, t{upper} r"
+
+
+_ALL = (op1_matroska, op2_warc, op3_token_counts, op4_url_filter, op5_pii, op6_toxicity, op7_language_id, op8_simhash, op9_byte_bpe, op10_decontaminate, op13_merkle)
 
 
 def queries() -> dict:
@@ -169,4 +212,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the query that SQL can express; the others are tested by brute force."""
-    return {"op2_warc": OP2_SQL}
+    return {"op2_warc": OP2_SQL, "op13_merkle": op13_sql()}
