@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubjay.llm import byte_bpe, decontaminate, language_id, matroska, merkle, pii, simhash, token_counts, toxicity, url_filter, warc
+from scrubjay.llm import byte_bpe, decontaminate, language_id, lexical_search, matroska, merkle, pii, simhash, token_counts, toxicity, url_filter, warc
 from scrubjay.llm.common import bound_batches, id_mod, materialize, text_or_empty
 
 
@@ -161,6 +161,36 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of each benchmark item."""
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), held AS (
+  SELECT row_number() OVER () AS k, doc_id, terms, len(terms) AS n FROM d WHERE len(terms) > 0
+), total AS (
+  SELECT count(*) AS nd, sum(n)::BIGINT AS l FROM held
+), own AS (
+  SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark
+), each AS (
+  SELECT k, doc_id, n, unnest(terms) AS term FROM held
+), tf AS (
+  SELECT k, doc_id, n, term, count(*) AS tf FROM each WHERE term IN (SELECT term FROM own) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(nd) + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term
+), scores AS (
+  SELECT item_id, k, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l))))::BIGINT AS score
+  FROM own JOIN tf USING (term) JOIN w USING (term), total GROUP BY item_id, k, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 50
+"""
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest, proof and check of each document in a tree by language."""
     docs = _table(spark, sf_dir, "documents")
@@ -202,7 +232,7 @@ def op13_sql(levels: int = 10, upper: int = 4) -> str:
     return f"WITH {', '.join(parts)} SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = r.h AS verified FROM q{upper} q JOIN l{levels} s ON s.g = q.own, t{upper} r"
 
 
-_ALL = (op1_matroska, op2_warc, op3_token_counts, op4_url_filter, op5_pii, op6_toxicity, op7_language_id, op8_simhash, op9_byte_bpe, op10_decontaminate, op13_merkle)
+_ALL = (op1_matroska, op2_warc, op3_token_counts, op4_url_filter, op5_pii, op6_toxicity, op7_language_id, op8_simhash, op9_byte_bpe, op10_decontaminate, op12_lexical_search, op13_merkle)
 
 
 def queries() -> dict:
@@ -212,4 +242,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the query that SQL can express; the others are tested by brute force."""
-    return {"op2_warc": OP2_SQL, "op13_merkle": op13_sql()}
+    return {"op2_warc": OP2_SQL, "op12_lexical_search": OP12_SQL, "op13_merkle": op13_sql()}
