@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubjay.llm import byte_bpe, decontaminate, language_id, lexical_search, matroska, merkle, pii, simhash, token_counts, toxicity, url_filter, warc
+from scrubjay.llm import byte_bpe, decontaminate, language_id, lexical_search, matroska, merkle, packing, pii, simhash, token_counts, toxicity, url_filter, warc
 from scrubjay.llm.common import bound_batches, id_mod, materialize, text_or_empty
 
 
@@ -161,6 +161,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed with their neighbours into sequences of 1024 ids."""
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), files)
+    return pieces.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents of each benchmark item."""
     return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -232,7 +239,7 @@ def op13_sql(levels: int = 10, upper: int = 4) -> str:
     return f"WITH {', '.join(parts)} SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = r.h AS verified FROM q{upper} q JOIN l{levels} s ON s.g = q.own, t{upper} r"
 
 
-_ALL = (op1_matroska, op2_warc, op3_token_counts, op4_url_filter, op5_pii, op6_toxicity, op7_language_id, op8_simhash, op9_byte_bpe, op10_decontaminate, op12_lexical_search, op13_merkle)
+_ALL = (op1_matroska, op2_warc, op3_token_counts, op4_url_filter, op5_pii, op6_toxicity, op7_language_id, op8_simhash, op9_byte_bpe, op10_decontaminate, op11_packing, op12_lexical_search, op13_merkle)
 
 
 def queries() -> dict:
