@@ -171,15 +171,15 @@ def _steps(nodes: list[list[str]], index: int, size: int) -> list[tuple[int, lis
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gid, idx, id, node, path, top) for each leaf of blocks that have a path."""
-    schema = pa.schema([("gid", pa.int64()), ("idx", pa.int64()), ("id", pa.int64()), ("node", pa.string()), ("path", pa.list_(pa.struct([("at", pa.int32()), ("others", pa.list_(pa.string()))]))), ("top", pa.string())])
+    """(gid, idx, id, node, path, top, sub) for each leaf of blocks that have a path."""
+    schema = pa.schema([("gid", pa.int64()), ("idx", pa.int64()), ("id", pa.int64()), ("node", pa.string()), ("path", pa.list_(pa.struct([("at", pa.int32()), ("others", pa.list_(pa.string()))]))), ("top", pa.string()), ("sub", pa.string())])
     for batch in batches:
         for row in batch.to_pylist():
             above = [(s["at"], s["others"]) for s in row["path"]]
             out = []
             for i, node in enumerate(row["nodes"][0]):
                 path = _steps(row["nodes"], i, row["size"]) + above
-                out.append({"gid": row["gid"], "idx": row["block"] * BLOCK + i, "id": row["ids"][i], "node": node, "path": [{"at": a, "others": o} for a, o in path], "top": row["top"]})
+                out.append({"gid": row["gid"], "idx": row["block"] * BLOCK + i, "id": row["ids"][i], "node": node, "path": [{"at": a, "others": o} for a, o in path], "top": row["top"], "sub": row["sub"]})
             yield pa.RecordBatch.from_pylist(out, schema)
 
 
@@ -199,7 +199,7 @@ def prove(nodes: list[list[str]], size: int, above: list[tuple[int, list[str]]],
 
 def children(placed: DataFrame) -> DataFrame:
     """The leaves of blocks, each with its own path."""
-    return placed.mapInArrow(_children, f"gid long, idx long, id long, node string, path {_PATH}, top string")
+    return placed.mapInArrow(_children, f"gid long, idx long, id long, node string, path {_PATH}, top string, sub string")
 
 
 _PROVED = "id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
@@ -214,7 +214,7 @@ def _proved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({
                 "id": pa.array(row["ids"], pa.int64()),
                 "leaf": leaves,
-                "subroot": [row["subroot"]] * n,
+                "subroot": [row["sub"]] * n,
                 "root": [root] * n,
                 "proof_sha256": proofs,
                 "folded_root": folded,
@@ -223,15 +223,15 @@ def _proved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def descend(rounds: list[DataFrame], paths: DataFrame) -> DataFrame:
-    """The first round's blocks with the ``path`` above their tops and the ``top`` of it all.
+    """The first round's blocks with the ``path`` above their tops, the ``top`` of it all and the group's own root (``sub``).
 
-    ``paths`` has ``gid``, the ``path`` above the group's root and its ``top``.
+    ``paths`` has ``gid``, the ``path`` above the group's root, ``top`` and ``sub``.
     """
     placed = None
     for blocks in reversed(rounds):
         ended = blocks.where(F.col("size") <= BLOCK).join(paths, "gid")
         if placed is not None:
-            above = children(placed).select("gid", F.col("idx").alias("block"), "path", "top")
+            above = children(placed).select("gid", F.col("idx").alias("block"), "path", "top", "sub")
             ended = ended.unionByName(blocks.where(F.col("size") > BLOCK).join(above, ["gid", "block"]))
         placed = ended
     return placed
@@ -249,7 +249,6 @@ def manifest(rows: DataFrame, id_column: str, group: str, leaf_column: str, alte
     names = nodes.where("idx = 0").select("g", "gid")
     tops = names.join(roots, "gid").select(F.lit(0).alias("all"), "g", F.col("gid").alias("id"), F.col("root").alias("digest"), F.lit(None).cast("string").alias("altered"))
     upper, root = grow(numbered(tops, "all", ["g"]).select("gid", "idx", "size", "digest", "id", "altered"))
-    start = root.select("gid", F.array().cast(_PATH).alias("path"), F.col("root").alias("top"))
-    groups = children(descend(upper, start)).select(F.col("id").alias("gid"), "path", "top", F.col("node").alias("subroot"))
-    placed = descend(rounds, groups.drop("subroot")).join(groups.select("gid", "subroot"), "gid")
-    return placed.mapInArrow(_proved, _PROVED)
+    start = root.select("gid", F.array().cast(_PATH).alias("path"), F.col("root").alias("top"), F.col("root").alias("sub"))
+    groups = children(descend(upper, start)).select(F.col("id").alias("gid"), "path", "top", F.col("node").alias("sub"))
+    return descend(rounds, groups).mapInArrow(_proved, _PROVED)
