@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from scrubjay.llm import queries
 
-CLASHING = ("payload", "media", "file", "payload_bytes", "n_tokens", "tokens", "host", "path", "rule", "odds", "decided", "base", "added", "spans", "score", "label", "found", "fp", "root", "component_id", "coded", "ids", "data", "digest", "first", "n", "refers_to", "held_out", "doc", "__scrubjay_fp", "a.b", "c`d")
+CLASHING = ("payload", "media", "file", "payload_bytes", "n_tokens", "tokens", "host", "path", "rule", "odds", "decided", "base", "added", "spans", "score", "label", "found", "fp", "root", "component_id", "coded", "ids", "data", "digest", "first", "n", "refers_to", "held_out", "doc", "__scrubjay_fp", "row", "item", "term", "terms", "share", "w", "chunk", "signature", "start", "gid", "idx", "size", "leaf", "tampered", "id", "g", "a.b", "c`d")
 LONG = "word " * 40_000 + "a@b.co " + "x" * 200_000
 TEXTS = [None, "", " ", "the same words again", "the same words again", LONG, "1.2.3.4 und +49 (30) 1234567", "日本語 テキスト", "\x00\x01", "idiot"]
 SCHEMAS = {
@@ -35,7 +35,7 @@ def test_query_on_odd_and_empty_tables(spark, folders, name):
     got = run(spark, folders["odd"]).collect()
     assert run(spark, folders["empty"]).collect() == []
     n = len(SCHEMAS["pages" if name in ("op2_warc", "op4_url_filter") else "documents"][1])
-    if name not in ("op10_decontaminate", "pipeline"):
+    if name not in ("op10_decontaminate", "op11_packing", "op12_lexical_search", "pipeline"):
         assert len(got) == n  # one row for each of the table's
     if name == "pipeline":
         assert sorted((r.doc_id if r.doc_id is not None else -1) for r in got) == [-1, 3, 6, 7, 9]
@@ -44,7 +44,7 @@ def test_query_on_odd_and_empty_tables(spark, folders, name):
     by_id = {}
     for r in got:
         by_id.setdefault(r[0], []).append(r[1:])
-    if name not in ("op10_decontaminate", "pipeline"):
+    if name not in ("op10_decontaminate", "op11_packing", "op12_lexical_search", "pipeline"):
         repeated = 2 if name in ("op2_warc", "op4_url_filter") else 3
         assert len(set(by_id[repeated])) == 1 < len(by_id[repeated])  # repeated rows are equal
     if name in ("op1_matroska", "op3_token_counts", "op5_pii", "op9_byte_bpe"):
@@ -72,3 +72,12 @@ def test_query_on_odd_and_empty_tables(spark, folders, name):
         assert {(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (None, 0)} <= component
     if name == "op7_language_id":
         assert {r.lang_pred for r in got if r.doc_id in (0, 1, 2)} == {"und"}
+    if name == "op11_packing":
+        whole = sum(r.doc_tokens for r in got if r.start == 0)
+        assert sum(r.length for r in got) == whole and sum(r.start == 0 for r in got) == n
+        assert [x[:2] + x[3:4] for x in by_id[0] + by_id[1]] == [(0, 1, 1), (0, 1, 1)] and len(by_id[5]) > 39
+    if name == "op12_lexical_search":
+        of = lambda item: [(r.rank, r.doc_id) for r in got if r.item_id == item]
+        assert sorted(of(1))[:4] == [(1, 3), (2, 3), (3, 3), (4, 4)] and of(None) == of(2) == [] and of(3) == [(1, 5)]
+    if name == "op13_merkle":
+        assert len({r.root for r in got}) == 1 and len({r.subroot for r in got}) == 3 and all(r.verified for r in got)
