@@ -1,15 +1,19 @@
 """Duplicate rows: exact groups, near pairs by matching fields, clusters around representatives.
 
 Nulls match nulls; markers in text columns count as null.  Near pairs are found
-by joins on equal fields, never by comparing all rows.  A pair has to share
-``need`` of the fields, so it shares at least one of any ``k - need + 1`` of
-them: pairs are only sought through that many columns, those whose values
-repeat least.
+by joins on signatures, never by comparing all rows.  A pair differs in at most
+``d = k - need`` of the fields.  With the fields in ``d + g`` groups, at least
+``g`` groups are wholly equal, so a row has a signature for each choice of
+``g`` groups, and only rows with a common signature are compared; a pair is
+kept at the first one that it shares.  ``g`` is as large as a bound on the
+number of signatures allows: with one field a group, a signature is a whole set
+of ``need`` fields, and whatever meets is a pair.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +24,8 @@ from scrubjay.operators.spec import operation
 from scrubjay.session import ROW_ID
 
 WARN_PAIRS, MOST_PAIRS = 1_000_000, 25_000_000
+#: Signatures of a row at most.
+MOST_SIGNATURES = 32
 THRESHOLDS = (80, 90, 100)
 
 
@@ -45,24 +51,64 @@ def prepared(df: DataFrame, columns: list[str], markers=MISSING_MARKERS) -> Data
     return df
 
 
+def _twos(n: Column) -> Column:
+    n = n.cast("decimal(38,0)")
+    return F.coalesce(F.sum((n * (n - 1) / 2).cast("decimal(38,0)")), F.lit(0))
+
+
 def _pairs_in(df: DataFrame, keys: list[str]) -> int:
-    n = F.col("n").cast("decimal(38,0)")
     groups = df.groupBy(*(qcol(k) for k in keys)).agg(F.count("*").alias("n"))
-    return int(groups.agg(F.coalesce(F.sum((n * (n - 1) / 2).cast("decimal(38,0)")), F.lit(0))).first()[0])
+    return int(groups.agg(_twos(F.col("n"))).first()[0])
+
+
+def groups_of(df: DataFrame, columns: list[str], need: int, most: int = MOST_SIGNATURES) -> tuple[list[list[str]], int]:
+    """Fields in groups, and how many groups of them make a signature.
+
+    Where groups have several fields, the more telling ones are dealt out
+    evenly, by their approximate numbers of distinct values.
+    """
+    k = len(columns)
+    differ = k - need
+    g = max(x for x in range(1, need + 1) if x == 1 or math.comb(differ + x, x) <= most)
+    number = differ + g
+    if number < k and differ:
+        distinct = df.agg(*(F.approx_count_distinct(qcol(c)) for c in columns)).first()
+        columns = [c for _, c in sorted(zip(distinct, columns, strict=True), key=lambda x: -x[0])]
+    return [columns[i::number] for i in range(number)], g
+
+
+def signed(rows: DataFrame, groups: list[list[str]], g: int, blocks: list[str]) -> DataFrame:
+    """``rows`` once for each signature: its number ``s``, and a hash ``h`` of its fields and the blocks."""
+    def mark(names: list[str]) -> Column:  # a null is told from its absence by its place
+        return F.xxhash64(*(x for c in names for x in (qcol(c).isNull(), qcol(c))))
+
+    each = [F.struct(F.lit(i).alias("s"), mark([*blocks, *(c for k in chosen for c in groups[k])]).alias("h")) for i, chosen in enumerate(combinations(range(len(groups)), g))]
+    return rows.withColumn("__signature", F.explode(F.array(*each))).select(*map(qcol, rows.columns), "__signature.s", "__signature.h")
+
+
+def joined_pairs(df: DataFrame, columns: list[str], blocking: list[str], need: int) -> int:
+    """Pairs of rows that near_pairs compares, from the signatures' counts."""
+    groups, g = groups_of(df, columns, need)
+    return _pairs_in(signed(df, groups, g, blocking).select("s", "h"), ["s", "h"])
 
 
 def estimate(df: DataFrame, columns: list[str], blocking: list[str] = (), threshold: int = 100, markers=MISSING_MARKERS) -> dict:
-    """Pairs that a configuration would compare, from counts alone; nothing is paired."""
+    """Pairs that share a value (or a block), and how many of them are compared, from counts alone; nothing is paired.
+
+    ``warning`` and ``blocked`` go by the pairs that near_pairs compares.
+    """
     blocking = list(blocking)
     check(df, columns, blocking, threshold)
     rows = prepared(df, [*columns, *blocking], markers)
+    need = need_of(threshold, len(columns))
+    joined = joined_pairs(rows, columns, blocking, need)
     if threshold == 100:
         pairs = _pairs_in(rows, [*blocking, *columns])
     elif blocking:
         pairs = _pairs_in(rows, blocking)
     else:
         pairs = sum(_pairs_in(rows, [c]) for c in columns)
-    return {"candidate_pairs": pairs, "warning": pairs > WARN_PAIRS, "blocked": pairs > MOST_PAIRS, "attainable_pcts": attainable(len(columns))}
+    return {"candidate_pairs": pairs, "joined_pairs": joined, "warning": joined > WARN_PAIRS, "blocked": joined > MOST_PAIRS, "attainable_pcts": attainable(len(columns))}
 
 
 def exact_groups(df: DataFrame, columns: list[str], blocking: list[str] = (), markers=MISSING_MARKERS) -> DataFrame:
@@ -95,34 +141,35 @@ def need_of(threshold: int, k: int) -> int:
 def near_pairs(df: DataFrame, columns: list[str], blocking: list[str] = (), threshold: int = 80, markers=MISSING_MARKERS, guard: bool = True) -> DataFrame:
     """(a, b, matches) with a < b of rows alike in enough columns.
 
-    Raises if the estimate is beyond MOST_PAIRS: the number of pairs is the
-    result's own size, and blocking columns are what makes it smaller.
+    Raises if more than MOST_PAIRS would be compared; blocking columns make
+    that smaller, and class_pairs takes copies together.
     """
     blocking = list(blocking)
     check(df, columns, blocking, threshold)
-    if guard and (found := estimate(df, columns, blocking, threshold, markers))["blocked"]:
-        raise ValueError(f"{found['candidate_pairs']} candidate pairs; add blocking columns or compare fewer columns")
-    k, need = len(columns), need_of(threshold, len(columns))
+    need = need_of(threshold, len(columns))
     rows = prepared(df, [*columns, *blocking], markers)
-    rows = rows.select(qcol(ROW_ID).alias("r"), *(qcol(c).alias(f"c{i}") for i, c in enumerate(columns)), *(qcol(c).alias(f"b{i}") for i, c in enumerate(blocking)))
-    side = lambda p: rows.select(*(F.col(c).alias(p + c) for c in rows.columns))
-    left, right = side("x_"), side("y_")
+    if guard and (found := joined_pairs(rows, columns, blocking, need)) > MOST_PAIRS:
+        raise ValueError(f"{found} candidate pairs; add blocking columns or compare fewer columns")
+    return candidates(rows, columns, blocking, need).where(F.col("matches") >= need).select(F.col("x_r").alias("a"), F.col("y_r").alias("b"), "matches")
+
+
+def candidates(rows: DataFrame, columns: list[str], blocking: list[str], need: int) -> DataFrame:
+    """(x_r, y_r, matches) of pairs that share a signature, each at the first one that it shares."""
+    fields, blocks = [f"c{i}" for i in range(len(columns))], [f"b{i}" for i in range(len(blocking))]
+    rows = rows.select(qcol(ROW_ID).alias("r"), *(qcol(c).alias(n) for c, n in zip([*columns, *blocking], [*fields, *blocks], strict=True)))
+    groups, g = groups_of(rows, fields, need)
+    marked = signed(rows, groups, g, blocks)
+    left, right = (marked.select(*(F.col(c).alias(p + c) for c in marked.columns)) for p in ("x_", "y_"))
     alike = lambda c: F.col(f"x_{c}").eqNullSafe(F.col(f"y_{c}"))
-    matches = reduce(lambda a, b: a + b, (alike(f"c{i}").cast("int") for i in range(k)))
-    block = [alike(f"b{i}") for i in range(len(blocking))]
-    ordered = F.col("x_r") < F.col("y_r")
-    if blocking:
-        joined = left.join(right, reduce(lambda a, b: a & b, [*block, ordered]))
-        pairs = joined.select("x_r", "y_r", matches.alias("matches"))
-    else:
-        through = sorted(range(k), key=lambda i: _pairs_in(rows, [f"c{i}"]))[: k - need + 1] if need < k else [0]
-        parts = []
-        for n, i in enumerate(through):  # a pair is reported by the first of these columns that it shares
-            before = [~alike(f"c{j}") for j in through[:n]]
-            joined = left.join(right, reduce(lambda a, b: a & b, [alike(f"c{i}"), ordered, *before]))
-            parts.append(joined.select("x_r", "y_r", matches.alias("matches")))
-        pairs = reduce(DataFrame.union, parts)
-    return pairs.where(F.col("matches") >= need).select(F.col("x_r").alias("a"), F.col("y_r").alias("b"), "matches")
+    both = lambda tests, start: reduce(lambda a, b: a & b, tests, start)
+    whole = [both((alike(c) for c in group), F.lit(True)) for group in groups]
+    first = F.lit(False)
+    for i, chosen in enumerate(combinations(range(len(groups)), g)):  # the chosen groups are equal, and before the last of them no other is
+        test = both((whole[k] if k in chosen else ~whole[k] for k in range(chosen[-1] + 1)), F.col("x_s") == i)
+        first = first | test
+    met = left.join(right, (F.col("x_s") == F.col("y_s")) & (F.col("x_h") == F.col("y_h")) & (F.col("x_r") < F.col("y_r")))
+    matches = reduce(lambda a, b: a + b, (alike(c).cast("int") for c in fields))
+    return met.where(both((alike(b) for b in blocks), first)).select("x_r", "y_r", matches.alias("matches"))
 
 
 def class_members(df: DataFrame, columns: list[str], blocking: list[str] = (), markers=MISSING_MARKERS) -> DataFrame:

@@ -157,6 +157,43 @@ def test_classes_say_what_pairs_say(spark):
     assert pairs == brute_pairs(rows, 4)
 
 
+@pytest.mark.parametrize("k, threshold, most", [(5, 80, 32), (10, 80, 32), (10, 80, 6), (12, 90, 32), (11, 80, 3), (4, 100, 32)])
+def test_signatures_find_all_pairs(spark, monkeypatch, k, threshold, most):
+    import random
+
+    rng = random.Random(k)
+    base = [rng.choice("pqr") for _ in range(k)]
+    rows = [tuple(rng.choice(["p", "q", None]) if rng.random() < 0.15 else v for v in base) for _ in range(40)]
+    columns = [f"c{i}" for i in range(k)]
+    df = frame(spark, ", ".join(f"{c} string" for c in columns), rows)
+    monkeypatch.setattr(duplicates.groups_of, "__defaults__", (most,))
+    need = duplicates.need_of(threshold, k)
+    groups, g = duplicates.groups_of(df, columns, need)
+    assert sorted(c for group in groups for c in group) == sorted(columns) and len(groups) == k - need + g
+    got = duplicates.near_pairs(df, columns, [], threshold)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute_pairs(rows, need))
+    blocked = duplicates.near_pairs(df, columns[1:], [columns[0]], threshold)
+    assert {tuple(r) for r in blocked.collect()} == {(a, b, m) for a, b, m in brute_pairs([r[1:] for r in rows], duplicates.need_of(threshold, k - 1)) if (rows[a][0] or "") == (rows[b][0] or "")}
+
+
+@pytest.mark.parametrize("threshold", [90, 100])
+def test_a_constant_column_costs_nothing(spark, threshold):
+    """Rows that meet in the join are as many as the estimate says: none here, and copies where there are some."""
+    for n, copies in ((2000, 0), (20_000, 7)):
+        rows = spark.range(n).selectExpr("id AS __rid", "'same' AS a", f"CASE WHEN id < {2 * copies} THEN id div 2 ELSE id END AS b")
+        found = duplicates.estimate(rows, ["a", "b"], [], threshold)
+        assert (found["joined_pairs"], found["blocked"]) == (copies, False)
+        assert duplicates.candidates(rows, ["a", "b"], [], 2).count() == copies == duplicates.near_pairs(rows, ["a", "b"], [], threshold).count()
+        assert duplicates.near_pairs(rows, ["b"], ["a"], threshold).count() == copies
+
+
+def test_guard_goes_by_the_join(spark):
+    rows = spark.range(9000).selectExpr("id AS __rid", "'x' AS a", "'y' AS b")
+    with pytest.raises(ValueError):
+        duplicates.near_pairs(rows, ["a", "b"], [], 100)
+    assert duplicates.class_pairs(rows, ["a", "b"], [], 100).count() == 0
+
+
 def test_estimates(spark):
     df = frame(spark, "a string", ["x"] * 10 + ["y"] * 5)
     found = duplicates.estimate(df, ["a"], [], 80)
