@@ -1,14 +1,17 @@
 """Statistics that stay exact and distributed: order statistics, modes, moments, histograms.
 
-Nothing here gathers a column or a group in one place.  An order statistic is
-found by narrowing a range: approximate percentiles give a range around the
-rank, counts tell where the rank lies in it, and only a range of few distinct
-values is brought to the driver.
+Nothing here gathers a column or a group in one place.  Order statistics are
+found by narrowing, all ranks together: approximate percentiles, whose error is
+bounded, give a range around each rank, counts tell where the rank lies in it,
+and only ranges of few values are brought to the driver.  A round of two passes
+leaves at most a 1600th of the rows, so their number goes by the logarithm of
+the rows, and not by the number of ranks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 import operator
 
@@ -24,72 +27,95 @@ from scrubjay.session import materialize
 FEW = 20_000
 
 
+#: Accuracy of the percentiles that narrow a range: a rank is missed by at most a 10,000th of the rows.
+ACCURACY = 10_000
+
+
+@dataclass
+class _Range:
+    """Where the value at a rank lies: strictly between two values (None for no bound), with so many rows before and within."""
+
+    rank: int
+    low: object
+    high: object
+    before: int
+    rows: int
+
+    def test(self, v: Column) -> Column:
+        inside = F.lit(True)
+        if self.low is not None:
+            inside = inside & (v > self.low)
+        return inside if self.high is None else inside & (v < self.high)
+
+    def holds(self, v) -> bool:
+        return (self.low is None or v > self.low) and (self.high is None or v < self.high)
+
+    def near(self) -> list[float]:
+        q = (self.rank - self.before + 0.5) / self.rows
+        return [max(0.0, q - 2 / ACCURACY), min(1.0, q + 2 / ACCURACY)]
+
+    def narrowed(self, low, high, counts: Sequence[int]) -> tuple[_Range | None, object]:
+        """The part that the rank is in, or the value if that is found; counts are below, at and between low and high, and at high."""
+        at = self.before
+        for value, part, n in zip((None, low, None, high, None), ((self.low, low), None, (low, high), None, (high, self.high)), (*counts, self.rows - sum(counts)), strict=True):
+            if self.rank < at + n:
+                return (None, value) if part is None else (_Range(self.rank, *part, at, n), None)
+            at += n
+        return None, None
+
+
 def at_rank(values: DataFrame, column: str, rank: int, few: int = FEW):
     """The value at a 0-based rank of a numeric column without nulls, exactly."""
-    c = qcol(column)
-    rows, skipped = values.where(c.isNotNull()).select(c.alias("v")), 0
-    n = rows.count()
-    while True:
-        if n <= few:
-            break
-        q = (rank - skipped) / n
-        low, high = rows.agg(F.percentile_approx("v", F.array(F.lit(max(0.0, q - 0.001)), F.lit(min(1.0, q + 0.001))), 10_000)).first()[0]
-        below, equal, inside = rows.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v") == low), F.count_if((F.col("v") > low) & (F.col("v") < high))).first()
-        k = rank - skipped
-        if k < below:
-            rows, n = rows.where(F.col("v") < low), below
-        elif k < below + equal:
-            return low
-        elif k < below + equal + inside:
-            rows, skipped, n = rows.where((F.col("v") > low) & (F.col("v") < high)), skipped + below + equal, inside
-        else:
-            rows, skipped = rows.where(F.col("v") >= high), skipped + below + equal + inside
-            n = rows.count()
-            if low == high or rows.agg(F.min("v") == F.max("v")).first()[0]:
-                return high
-    for value, count in sorted(rows.groupBy("v").agg(F.count("*").alias("n")).collect()):
-        skipped += count
-        if rank < skipped:
-            return value
-    return None
+    return at_ranks(values, column, [rank], few)[0]
 
 
 def around_quantiles(column: str, qs: Sequence[float]) -> Column:
     """Aggregate: values a little below and a little above each quantile, for at_ranks."""
-    return F.percentile_approx(qcol(column), F.array(*(F.lit(x) for q in qs for x in (max(0.0, q - 0.001), min(1.0, q + 0.001)))), 10_000)
+    return F.percentile_approx(qcol(column), F.array(*(F.lit(x) for q in qs for x in (max(0.0, q - 2.5 / ACCURACY), min(1.0, q + 2.5 / ACCURACY)))), ACCURACY)
 
 
 def at_ranks(values: DataFrame, column: str, ranks: Sequence[int], few: int = FEW, n: int | None = None, around: Sequence | None = None) -> list:
-    """The values at several 0-based ranks, found together: three passes as a rule, whatever the number of ranks.
+    """The values at several 0-based ranks, None beyond the last, found together.
 
-    Who has counted the values, and their ``around_quantiles`` at the ranks, can save a pass or two.
+    Each round narrows all ranges by one pass for percentiles and one for
+    counts; one more pass brings what is left.  Who has counted the values, and
+    their ``around_quantiles`` at the ranks, saves two passes.
     """
     c = qcol(column)
-    rows = values.where(c.isNotNull()).select(c.alias("v"))
+    rows, v = values.where(c.isNotNull()).select(c.alias("v")), F.col("v")
     n = rows.count() if n is None else n
-    near = F.lit(True)
-    skipped = [0] * len(ranks)
-    if n > few:
-        found = around or rows.agg(around_quantiles("v", [r / n for r in ranks])).first()[0]
-        ranges = list(zip(found[::2], found[1::2], strict=True))
-        counts = rows.agg(*(x for low, high in ranges for x in (F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))))).first()
-        skipped = list(counts[::2])
-        hit = all(below <= r < below + inside for r, below, inside in zip(ranks, counts[::2], counts[1::2], strict=True))
-        if not hit or sum(counts[1::2]) > few * len(ranks):
-            return [at_rank(values, column, r, few) for r in ranks]
-        near = reduce(operator.or_, (F.col("v").between(low, high) for low, high in ranges))
-    held = sorted((r.v, r.n) for r in rows.where(near).groupBy("v").agg(F.count("*").alias("n")).collect())
-    out = []
-    for k, rank in enumerate(ranks):
-        seen, value = skipped[k], None
-        for v, count in held:
-            if n > few and v < ranges[k][0]:
-                continue
-            seen += count
-            if rank < seen:
-                value = v
-                break
-        out.append(value)
+    out: list = [None] * len(ranks)
+    wanted = {i: _Range(r, None, None, 0, n) for i, r in enumerate(ranks) if 0 <= r < n}
+    while any(x.rows > few for x in wanted.values()):
+        wide = [i for i, x in wanted.items() if x.rows > few]
+        if around:
+            found = [tuple(around[2 * i : 2 * i + 2]) for i in wide]
+        else:
+            near = [F.percentile_approx(F.when(wanted[i].test(v), v), F.array(*map(F.lit, wanted[i].near())), ACCURACY) for i in wide]
+            found = rows.agg(*(x.alias(f"p{k}") for k, x in enumerate(near))).first()
+        around = None
+        aggs = []
+        for i, (low, high) in zip(wide, found, strict=True):
+            inside = wanted[i].test(v)
+            aggs += [F.count_if(inside & (v < low)), F.count_if(inside & (v == low)), F.count_if((v > low) & (v < high)), F.count_if((v == high) & (high > low))]
+        counts = rows.agg(*(x.alias(f"n{k}") for k, x in enumerate(aggs))).first()
+        for k, (i, (low, high)) in enumerate(zip(wide, found, strict=True)):
+            left, out[i] = wanted[i].narrowed(low, high, counts[4 * k : 4 * k + 4])
+            if left is None:
+                del wanted[i]
+            else:
+                wanted[i] = left
+    if wanted:
+        inside = reduce(operator.or_, (x.test(v) for x in wanted.values()))
+        held = sorted((r.v, r.n) for r in rows.where(inside).groupBy("v").agg(F.count("*").alias("n")).collect())
+        for i, x in wanted.items():
+            seen = x.before
+            for value, count in held:
+                if x.holds(value):
+                    seen += count
+                    if x.rank < seen:
+                        out[i] = value
+                        break
     return out
 
 

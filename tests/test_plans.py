@@ -41,6 +41,22 @@ def test_order_statistics_by_narrowing(spark):
     assert stats.mode_smallest(frame(spark, "v string", ["b", "a", "a", "b", (None,)]), "v") == "a"
 
 
+def test_order_statistics_take_as_many_jobs_at_any_size(spark):
+    """As many at 5 and 20 million rows, for one rank and for eight; ties and extremes don't add any."""
+    sc = spark.sparkContext
+    jobs = {}
+    for n in (5_000_000, 20_000_000):
+        df = spark.range(n).selectExpr("CASE WHEN id % 3 = 0 THEN 7.0D WHEN id % 1000 = 1 THEN 1e300 * (id % 17) ELSE cast(hash(id) as double) END AS v")
+        for ranks in ([n // 4], [0, 1, n // 4, n // 2, n // 2 + 1, 3 * n // 4, n - 2, n - 1]):
+            sc.setJobGroup(f"{n}-{len(ranks)}", "ranks")
+            found = stats.at_ranks(df, "v", ranks)
+            jobs[n, len(ranks)] = len(sc.statusTracker().getJobIdsForGroup(f"{n}-{len(ranks)}"))
+            sc.setJobGroup("rest", "rest")
+            below = df.agg(*(x for v in found for x in (F.count_if(F.col("v") < v), F.count_if(F.col("v") <= v)))).first()
+            assert all(below[2 * i] <= r < below[2 * i + 1] for i, r in enumerate(ranks))
+    assert len(set(jobs.values())) == 1, jobs
+
+
 def test_groups_and_histogram(spark):
     df = frame(spark, "g string, v double", [("a", float(i)) for i in range(10)] + [("b", 4.0), ("b", None)])
     rows = {r.g: r for r in stats.group_quantiles(df, ["g"], F.col("v")).collect()}
