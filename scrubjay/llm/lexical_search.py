@@ -10,11 +10,13 @@ shuffled.
 An item's k-th score can't be below the k-th impact of any of its terms.  That
 threshold is raised once: the postings of the item's rarest terms are summed,
 the k best of those documents are scored exactly, and the least of these scores
-is a threshold as well.  An item's terms are then put in the order of their
-largest impacts; from the place on where all the rest together stay below the
-threshold, terms can't bring a new document among the best, and are pruned.
-The postings of the terms before it give the candidates, and those whose sum
-with the rest's bound still reaches the threshold are rescored by all terms.
+is a threshold as well.  An item's terms are then put in the order of what their
+postings cost for the impact that they may bring, the cheap ones first; from the
+place on where all the rest together stay below the threshold, terms can't bring
+a new document among the best, and are pruned.  The postings of the terms before
+it are summed; the k-th of these sums is a threshold once more, and only
+documents whose sum with the rest's bound still reaches it are rescored by all
+terms.
 
 All arithmetic but the weights' logarithm is in whole numbers.  Nothing is cut:
 the threshold is a lower bound, and ties are kept.
@@ -201,14 +203,26 @@ def thresholds(index: Index, own: DataFrame, k: int, first_postings: int) -> Dat
     return stored.join(kth, "item", "left").select("item", F.greatest("least", F.coalesce("kth", F.lit(0))).alias("least"))
 
 
-def candidates(index: Index, own: DataFrame, least: DataFrame) -> DataFrame:
-    """(item, row) of all documents that may be among an item's best."""
-    falling = Window.partitionBy("item").orderBy(F.asc("most"), F.desc("term"))  # from the least bound up: sums of suffixes
+def candidates(index: Index, own: DataFrame, least: DataFrame, k: int, prunable: float = 0.3) -> DataFrame:
+    """(item, row) of all documents that may be among an item's k best.
+
+    Terms are pruned while their bounds add up to less than the threshold's
+    ``prunable`` part (1 at most): the more is pruned, the fewer postings are
+    summed, and the more documents the rest's bound leaves to rescore.
+    """
+    cost = F.col("df") / F.greatest("most", F.lit(1))
+    falling = Window.partitionBy("item").orderBy(cost.desc(), F.desc("term"))  # from the costly end: sums of suffixes
     bounded = own.join(least, "item").withColumn("rest", F.sum("most").over(falling))
-    bounded = materialize(bounded.select("item", "term", "w", "most", "least", (F.col("rest") >= F.col("least")).alias("needed")), "bounds")
-    pruned = bounded.groupBy("item").agg(F.first("least").alias("least"), F.coalesce(F.sum(F.when(~F.col("needed"), F.col("most"))), F.lit(0)).alias("rest"))
-    found = sums(index, bounded.where("needed"))
-    return found.join(pruned, "item").where(F.col("part") + F.col("rest") >= F.col("least")).select("item", "row")
+    bounded = materialize(bounded.select("item", "term", "w", "most", "least", (F.col("rest") >= F.col("least") * F.lit(prunable)).alias("needed")), "bounds")
+    rest = F.coalesce(F.sum(F.when(~F.col("needed"), F.col("most"))), F.lit(0))
+    pruned = bounded.groupBy("item").agg(F.first("least").alias("least"), rest.alias("rest"), (F.sum("most") / GRAIN + 1).cast("long").alias("width"))
+    found = materialize(sums(index, bounded.where("needed")), "sums")
+    # the k-th sum, rounded down: a thousand steps an item
+    steps = found.join(pruned, "item").groupBy("item", "width", F.floor(F.col("part") / F.col("width")).alias("step")).agg(F.count("*").alias("n"))
+    upto = steps.withColumn("upto", F.sum("n").over(Window.partitionBy("item").orderBy(F.desc("step"))))
+    kth = upto.where(F.col("upto") >= k).groupBy("item").agg(F.max(F.col("step") * F.col("width")).alias("kth"))
+    bounds = pruned.join(kth, "item", "left").select("item", "rest", F.greatest("least", F.coalesce("kth", F.lit(0))).alias("least"))
+    return found.join(bounds, "item").where(F.col("part") + F.col("rest") >= F.col("least")).select("item", "row")
 
 
 def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 50, first_postings: int = 5000) -> DataFrame:
@@ -223,7 +237,7 @@ def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
         own = docs.select(F.col(doc_id).alias("doc_id"))
         return items.select(F.col(item_id).alias("item_id")).limit(0).join(own, F.lit(False)).select("item_id", F.lit(0).alias("rank"), "doc_id", F.lit(0).cast("long").alias("score"))
     own = materialize(join_hot(wanted.select("item", "term"), index.terms, ["term"]), "own_terms")
-    pairs = materialize(candidates(index, own, thresholds(index, own, k, first_postings)), "candidates")
+    pairs = materialize(candidates(index, own, thresholds(index, own, k, first_postings), k), "candidates")
     ids = index.docs.select("row", "doc_id")
     found = scored(index, pairs, own).where("score > 0").join(ids, "row")
     best = _best(found, k, [F.desc("score"), F.asc_nulls_last("doc_id"), F.col("row")])

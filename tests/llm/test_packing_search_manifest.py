@@ -176,7 +176,7 @@ def test_search_prunes(spark):
     index = lexical_search.build(spark.createDataFrame(docs, "doc_id long, text string"), wanted, "doc_id", "text", 10)
     terms = wanted.join(index.terms, "term").cache()
     least = lexical_search.thresholds(index, terms, 10, 5000)
-    assert lexical_search.candidates(index, terms, least).count() == 50
+    assert lexical_search.candidates(index, terms, least, 10).count() == 50
     stored = {r.term: (r.df, r.kth <= r.most) for r in index.terms.collect()}
     assert stored["the"] == (4000, True) and stored["rare3"] == (10, True)
 
