@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scrubjay.llm import decontaminate, language_id, pii, queries, simhash
 from scrubjay.llm.common import bound_batches
-from scrubjay.session import clear_scratch, materialize, scratch_mark
+from scrubjay.session import Scratch, materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,10 +67,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage wrote for itself goes when the stage has been written."""
+    """All stages over ``documents``; what a stage wrote for itself goes when the stage has been written.
+
+    Each run writes in a folder of its own.  The last stage is lazy, so what it
+    reads stays; run within a ``Scratch`` and delete that to be rid of it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    mark = scratch_mark()
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-        clear_scratch(spark, mark, keep=docs)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark) as scratch:
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+            scratch.clear(keep=docs)
+        return STAGES[-1][1](spark, docs, sf_dir)

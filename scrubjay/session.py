@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
 import tempfile
 import uuid
 
@@ -43,33 +44,53 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
-#: Scratch folders written so far, in order.
-_written: list[str] = []
+#: The run whose scratch tables are written at the moment, in this thread (or task) alone.
+_running: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder."""
-    _written.append(f"{scratch_dir(spark)}/scrubjay-{uuid.uuid4().hex}")
-    return f"{_written[-1]}/{name}"
+class Scratch:
+    """The scratch tables of one run, in a folder of their own; other runs' are never touched.
+
+    ``with Scratch(spark) as scratch:`` puts what is written meanwhile in this
+    thread there, a run within a run in a folder within the folder.  Nothing is
+    deleted by leaving the block: frames are lazy, and who has written the
+    result calls ``delete``.
+    """
 
+    def __init__(self, spark: SparkSession):
+        self.spark, outer = spark, _running.get()
+        self.folder = f"{outer.folder if outer else scratch_dir(spark)}/scrubjay-{uuid.uuid4().hex}"
+        self._path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        self._store = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
 
-def scratch_mark() -> int:
-    """Point in time for clear_scratch."""
-    return len(_written)
+    def __enter__(self) -> Scratch:
+        self._token = _running.set(self)
+        return self
 
+    def __exit__(self, *_) -> None:
+        _running.reset(self._token)
 
-def clear_scratch(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
-    """Delete the scratch tables written after a mark, but for those that ``keep`` reads; how many went.
+    def clear(self, keep: DataFrame | None = None) -> int:
+        """Delete the tables written so far, but for those that ``keep`` reads; how many went.
 
-    Frames that read them lazily must have been written elsewhere before.
-    """
-    held = keep.inputFiles() if keep is not None else []
-    gone = [x for x in _written[since:] if not any(x.rpartition("/")[2] in f for f in held)]
-    for folder in gone:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _written[since:] = [x for x in _written[since:] if x not in gone]
-    return len(gone)
+        Frames that read them lazily must have been written elsewhere before.
+        """
+        held = keep.inputFiles() if keep is not None else []
+        written = self._store.listStatus(self._path) if self._store.exists(self._path) else []
+        gone = [x.getPath() for x in written if not any(f"/{x.getPath().getName()}/" in f for f in held)]
+        for path in gone:
+            self._store.delete(path, True)
+        return len(gone)
+
+    def delete(self) -> None:
+        """Delete all of the run's tables."""
+        self._store.delete(self._path, True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, or in the running Scratch's."""
+    run = _running.get()
+    return f"{run.folder if run else scratch_dir(spark)}/scrubjay-{uuid.uuid4().hex}/{name}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

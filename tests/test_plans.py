@@ -4,6 +4,7 @@ import io
 import json
 import random
 import statistics
+import threading
 import subprocess
 import sys
 import zipfile
@@ -17,7 +18,7 @@ from scrubjay.functions.columns import MISSING_MARKERS, is_missing, missing_in
 from scrubjay.operators import OperationSpec, replay
 from scrubjay.plans import outliers, stages, validate
 from scrubjay.plans.lineage import History
-from scrubjay.session import ROW_ID, clear_scratch, configure, materialize, scratch_mark
+from scrubjay.session import ROW_ID, Scratch, configure, materialize, scratch_path
 from scrubjay.sources import csv, excel, preview, sinks
 from scrubjay.streaming.ops import clean_stream
 from tests.helpers import column, frame
@@ -341,12 +342,41 @@ def test_csv_round_trip(spark, tmp_path):
 
 
 def test_scratch_tables_go_on_request(spark):
-    mark = scratch_mark()
-    first, second = (materialize(spark.range(n), "t") for n in (3, 4))
-    assert clear_scratch(spark, mark, keep=second) == 1 and second.count() == 4
-    with pytest.raises(Exception, match="exist"):
-        spark.read.parquet(first.inputFiles()[0])
-    assert clear_scratch(spark, mark) == 1 and clear_scratch(spark, mark) == 0
+    outside = materialize(spark.range(5), "t")
+    with Scratch(spark) as scratch:
+        first, second = (materialize(spark.range(n), "t") for n in (3, 4))
+        with Scratch(spark) as inner:
+            third = materialize(spark.range(2), "t")
+            assert inner.folder.startswith(scratch.folder)
+        assert scratch.clear(keep=second) == 2 and second.count() == 4
+    for gone in (first, third):
+        with pytest.raises(Exception, match="exist"):
+            gone.count()
+    assert scratch_path(spark, "t").rpartition("/scrubjay-")[0] in outside.inputFiles()[0] and scratch.folder not in scratch_path(spark, "t")
+    scratch.delete()
+    assert outside.count() == 5 and scratch.clear() == 0
+
+
+def test_runs_in_threads_keep_out_of_each_others_way(spark):
+    """Each thread's run clears its own tables, while the other's are still read."""
+    started, results = threading.Barrier(2), {}
+
+    def run(n):
+        with Scratch(spark) as scratch:
+            df = materialize(spark.range(n), "a")
+            started.wait()
+            for step in range(4):
+                df = materialize(df.withColumn("id", F.col("id") + 1), f"s{step}")
+                scratch.clear(keep=df)
+            results[n] = (df.agg(F.sum("id")).first()[0], scratch.clear(keep=df))
+            scratch.delete()
+
+    threads = [threading.Thread(target=run, args=(n,)) for n in (10, 20)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert results == {n: (n * (n - 1) // 2 + 4 * n, 0) for n in (10, 20)}
 
 
 def test_typed_columns_are_tested_by_their_type(spark):
