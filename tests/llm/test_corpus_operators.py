@@ -117,24 +117,28 @@ def test_url_rules(spark, tmp_path):
     assert queries.op4_url_filter(spark, str(tmp_path)).collect() == []
 
 
+def url_words(spark, rows):
+    return {r.word: r.log for r in url_filter.learn_words(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
 def test_url_words_and_bayes(spark):
-    pages = spark.createDataFrame([(1, "http://x.org/", "<title>blue birds sing and birds fly</title>")] * 3, "page_id long, url string, html string")
-    words = url_filter.learn_words(pages)
-    assert words.split("bluebirdssing") == ("blue", "birds", "sing") and words.split("") == ()
+    said = "<title>blue birds</title><script>var hidden = 1</script><!-- unseen --><p class='styled'>sing&nbsp;and <b>birds</b> fly"
+    logs = url_words(spark, [(i, f"http://x{i}.org/", said) for i in range(3)])
+    assert set(logs) == {"blue", "birds", "sing", "and", "fly"} and abs(logs["birds"] - np.log(2 / 6)) < 1e-12
+    assert url_filter.split("bluebirdssing", logs) == ("blue", "birds", "sing") and url_filter.split("", logs) == ()
 
     def slow(label):
         if not label:
             return 0.0, ()
         options = []
         for i in range(1, len(label) + 1):
-            log = words.logs.get(label[:i], -np.log(words.total) - 2.5 * i)
             rest = slow(label[i:])
-            options.append((log + rest[0], (label[:i], *rest[1])))
+            options.append((logs.get(label[:i], -9 - 2.5 * i) + rest[0], (label[:i], *rest[1])))
         return max(options)
 
     for label in ("birdsfly", "andxblue", "singing", "zz"):
-        score = sum(words.logs.get(w, -np.log(words.total) - 2.5 * len(w)) for w in words.split(label))
-        assert "".join(words.split(label)) == label and abs(score - slow(label)[0]) < 1e-9
+        found = url_filter.split(label, logs)
+        assert "".join(found) == label and abs(sum(logs.get(w, -9 - 2.5 * len(w)) for w in found) - slow(label)[0]) < 1e-9
     rows = spark.createDataFrame([([1, 2], "block"), ([1], "block"), ([2, 3], "allow")], "t array<int>, v string")
     odds = url_filter.learn_bayes(rows, "t", "v")
     assert abs(odds[1] - (np.log(3 / 6) - np.log(1 / 5))) < 1e-12 and odds[9] == 0 and abs(odds[-1] - np.log(2)) < 1e-12
@@ -142,17 +146,33 @@ def test_url_words_and_bayes(spark):
 
 def test_url_names_of_many_pages_are_split(spark):
     rows = [(i, f"http://www.bluebirds.org/{i}", "<title>Home of bluebirds</title>") for i in range(300)]
-    rows += [(1000 + i, f"http://x{i}.net/fly", "<title>blue birds sing</title>") for i in range(5)]
-    words = url_filter.learn_words(spark.createDataFrame(rows, "page_id long, url string, html string"))
-    assert words.split("bluebirds") == ("blue", "birds") and words.split("bluebirdsfly") == ("blue", "birds", "fly")
+    rows += [(1000 + i, f"http://x{i}.net/fly", "<p>blue birds sing, they fly") for i in range(5)]
+    logs = url_words(spark, rows)
+    assert url_filter.split("bluebirds", logs) == ("blue", "birds") and url_filter.split("bluebirdsfly", logs) == ("blue", "birds", "fly")
 
 
 def test_url_fragments_are_no_words(spark):
     text = "blue birds sing " * 20_000
-    rows = [(1, "http://x.org/", f"<title>{text} ta onsh ir &amp; &#65;</title>"), (2, "http://y.org/", None)]
-    words = url_filter.learn_words(spark.createDataFrame(rows, "page_id long, url string, html string"), least_share=1e-4)
-    assert set(words.logs) == {"blue", "birds", "sing"}
-    assert words.split("taonshir") == ("taonshir",) and words.split("blue" * 16) == ("blue" * 16,) and words.split("bluebirds" * 7) == ("blue", "birds") * 7
+    rows = [(i, f"http://{h}.org/", f"<title>{text} ta ir &amp; &#65;</title>") for i, h in enumerate("xy")] + [(3, "http://z.org/", "onsh onsh onsh"), (4, "http://y.org/", None)]
+    logs = url_words(spark, rows)
+    assert set(logs) == {"blue", "birds", "sing"}  # onsh is what one host says
+    assert url_filter.split("taonshir", logs) == ("taonshir",) and url_filter.split("blue" * 16, logs) == ("blue" * 16,) and url_filter.split("bluebirds" * 7, logs) == ("blue", "birds") * 7
+
+
+def test_url_splits_of_copies(spark):
+    """Ten copies of a table split its hosts as the table does, and a rare word counts in either."""
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in ("ba", "ke", "mi", "so", "tu") for b in ("lor", "men", "tis", "vak")]
+    rows = [(i, f"http://{''.join(rng.sample(words, 2))}.org/{i}", " ".join(rng.choices(words, k=60)) + (" quorum" if i < 2 else "")) for i in range(80)] + [(90, "http://quorumbalor.net/", "")]
+
+    def splits(copies):
+        pages = spark.createDataFrame(rows * copies, "page_id long, url string, html string")
+        hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).distinct()
+        return {r.host: r.pieces for r in url_filter.split_hosts(hosts, url_filter.learn_words(pages)).collect()}
+
+    once = splits(1)
+    assert once == splits(10) and once["quorumbalor.net"] == ["quorum", "balor", "net"]
+    assert sum(len(x) == 3 for x in once.values()) > 0.9 * len(once)
 
 
 def test_url_verdicts_equal_brute_force(spark, tmp_path):
@@ -168,20 +188,20 @@ def test_url_verdicts_equal_brute_force(spark, tmp_path):
         rows.append((i, f"http://{host}{path}{rng.choice(own)}{rng.randrange(9)}", f"<p><TITLE>The {' '.join(rng.choices(own, k=6))}</title>"))
     table(spark, rows, "page_id long, url string, html string", tmp_path, "pages")
     got = {r.page_id: r for r in queries.op4_url_filter(spark, str(tmp_path)).collect()}
-    counts = {}
+    counts, hosts = {}, {}
     for _, url, html in rows:
-        host, path = re.match(r"http://([^/]*)(.*)", url).groups()
-        text = re.search(r"(?i)<title>([^<]*)", html).group(1) + " " + path
-        for w in re.findall(r"[a-z]+", text.lower()):
+        host = re.match(r"http://([^/]*)", url).group(1)
+        for w in re.findall(r"[a-z]+", re.sub("<[^>]*>", " ", html).lower()):
             if w not in re.findall(r"[a-z]+", host):
                 counts[w] = counts.get(w, 0) + 1
+                hosts.setdefault(w, set()).add(host)
     total = sum(counts.values())
-    logs = {w: np.log(n / total) for w, n in counts.items() if n >= total * 1e-6 * {1: 10_000, 2: 1000}.get(len(w), 1)}
+    logs = {w: np.log(n / total) for w, n in counts.items() if len(hosts[w]) > 1 and n >= total * {1: 1e-2, 2: 1e-3}.get(len(w), 0)}
 
     def split(label):
         best = {0: (0.0, ())}
         for end in range(1, len(label) + 1):
-            best[end] = max(((best[k][0] + logs.get(label[k:end], -np.log(total) - 2.5 * (end - k)), (*best[k][1], label[k:end])) for k in range(end)), key=lambda x: x[0])
+            best[end] = max(((best[k][0] + logs.get(label[k:end], -9 - 2.5 * (end - k)), (*best[k][1], label[k:end])) for k in range(end)), key=lambda x: x[0])
         return best[len(label)][1]
 
     def tokens(host, path):
