@@ -7,9 +7,11 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from scrubjay.functions.columns import qcol, with_row_id
-from scrubjay.session import ROW_ID
+from scrubjay.session import ROW_ID, materialize
+from scrubjay.sources import csv_lines
 
 DELIMITERS = (",", ";", "\t", "|")
 SAMPLE_BYTES, SAMPLE_LINES = 256 * 1024, 50
@@ -115,11 +117,40 @@ def sanitized(df: DataFrame) -> DataFrame:
     return df if ROW_ID in df.columns else with_row_id(df, ROW_ID)
 
 
+def _in_file_order(df: DataFrame) -> DataFrame:
+    """A scan of files with dense row ids in the order of the files' names and their lines."""
+    place = {"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start")}
+    rows = df.select("*", *(c.alias(n) for n, c in place.items()), F.monotonically_increasing_id().alias("__at"))
+    spans = rows.groupBy("__file", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))  # a row for each range of bytes
+    earlier = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spans.select("__file", "__block", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"))
+    offsets = materialize(offsets, "ranges")  # so that its size is known to the join
+    numbered = rows.join(offsets, ["__file", "__block"])
+    return numbered.select(*map(qcol, df.columns), (F.col("__at") + F.col("__shift")).alias(ROW_ID))
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None, schema: T.StructType | None = None, most_rows: int | None = None) -> DataFrame:
-    """A CSV file with header as a frame with row ids; ``most_rows`` rejects larger files, it never cuts."""
+    """A CSV file (or a folder of them) with header as a frame with row ids; ``most_rows`` rejects larger files, it never cuts.
+
+    A pass over the lines tells whether a quoted field runs over a line's end.
+    Where none does, Spark's reader takes the file in ranges; else records are
+    put together from lines, in ranges as well.  Only encodings of several
+    bytes a character for all (UTF-16, UTF-32) are read by one task a file.
+    """
     found = detect(spark, path) if encoding is None or delimiter is None else {}
-    reader = spark.read.option("header", True).option("sep", delimiter or found["delimiter"]).option("encoding", encoding or found["encoding"]).option("multiLine", True).option("escape", '"')
-    df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    encoding, delimiter = encoding or found["encoding"], delimiter or found["delimiter"]
+    options = {"sep": delimiter, "escape": '"'}
+    reader = spark.read.options(**options, header=True, encoding=encoding)
+    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
+    if not csv_lines.by_byte(encoding):
+        df = reader.option("multiLine", True).csv(path)
+    else:
+        lines = csv_lines.lines_of(spark, path, encoding)
+        quotes = csv_lines.quotes_of(lines, delimiter)
+        if quotes.any:
+            df = csv_lines.read(spark, csv_lines.records(lines, delimiter, quotes), options, schema, ROW_ID)
+        else:
+            df = _in_file_order(reader.csv(path))
     if most_rows is not None and df.limit(most_rows + 1).count() > most_rows:
         raise ValueError(f"more than {most_rows} rows")
     return sanitized(df)

@@ -341,6 +341,59 @@ def test_csv_round_trip(spark, tmp_path):
     assert seen["n_rows"] == 2 and len(seen["rows"]) == 1 and preview.missing_rows(df, "CO(GT)")[0]["PT08.S1(CO)"] == 1292
 
 
+def csv_text(rng, n, end, delimiter=","):
+    """Records with line breaks, doubled quotes and delimiters in quotes, and quotes that open nothing."""
+    def field():
+        kind = rng.randrange(8)
+        if kind == 0:
+            inner = "".join(rng.choice(["a", "é", "\n", end, '""', delimiter, " "]) for _ in range(rng.randrange(12)))
+            return f'"{inner}"'
+        return ["", "x", "12", '5""" pipe'[: rng.choice((2, 7))] if kind == 3 else "y z", "-1.5", "o'k"][rng.randrange(6)]
+
+    rows = [delimiter.join([str(i), field(), field(), field()]) for i in range(n)]
+    if n > 5:
+        rows.insert(3, "")
+        rows.insert(5, f'77{delimiter}"{end.join(["long"] * 400)}"{delimiter}{delimiter}z')
+    return end.join([delimiter.join(["id", "a", '"b"' if end == "\n" else "b", "a"]), *rows]) + (end if n % 2 else "")
+
+
+@pytest.mark.parametrize("n, end, delimiter, encoding", [(300, "\n", ",", "utf-8"), (301, "\r\n", ";", "utf-8"), (200, "\n", "|", "windows-1252"), (1, "\n", ",", "utf-8"), (40, "\n", ",", "utf-16")])
+def test_quoted_lines_are_read_in_ranges(spark, tmp_path, n, end, delimiter, encoding):
+    """As by Spark's reader in one task, but from many ranges, rows numbered in the file's order."""
+    configure(spark)
+    path = tmp_path / "q.csv"
+    path.write_bytes(csv_text(random.Random(n), n, end, delimiter).encode(encoding))
+    want = spark.read.options(header=True, sep=delimiter, escape='"', multiLine=True, inferSchema=True, encoding=encoding).csv(str(path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        if encoding == "utf-8" and n > 5:
+            lines = csv.csv_lines.lines_of(spark, str(path), encoding)
+            assert lines.rdd.getNumPartitions() > 10 and csv.csv_lines.quotes_of(lines, delimiter).any
+        got = csv.read_csv(spark, str(path), encoding, delimiter)
+        rows = [tuple(r) for r in got.orderBy(ROW_ID).select(*(f"`{c}`" for c in want.columns)).collect()]
+        assert got.drop(ROW_ID).schema == want.schema and rows == [tuple(r) for r in want.collect()]
+        assert sorted(r[0] for r in got.select(ROW_ID).collect()) == list(range(len(rows)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_lines_without_open_quotes_go_to_the_reader(spark, tmp_path):
+    """Several files, each with a header; no shuffle of lines, ids by file and line."""
+    for k in range(3):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"f{k}.csv").write_text("id,name\n" + "".join(f'{k * 50 + i},"a, ""b"" {i}"\n' for i in range(50 - k)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        got = csv.read_csv(spark, str(tmp_path / "in"), "utf-8", ",")
+        ids = column(got, "id")
+        assert ids == sorted(ids) and len(ids) == 147 and column(got, "name")[1] == 'a, "b" 1' and got.schema["id"].dataType.simpleString() == "int"
+        assert sorted(column(got, ROW_ID)) == list(range(147))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_scratch_tables_go_on_request(spark):
     outside = materialize(spark.range(5), "t")
     with Scratch(spark) as scratch:
