@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -236,8 +236,9 @@ class OutlierLog:
     holds for ids, or for all flagged rows that have none of their own.
     """
 
-    def __init__(self, data: dict | None = None, folder: str | None = None):
+    def __init__(self, data: dict | None = None, folder: str | None = None, changed: Callable[[], None] | None = None):
         self.data, self.folder = data or {"outcome": None, "columns": {}}, folder
+        self._changed = changed or (lambda: None)  # called behind each change
 
     def _column(self, name: str) -> dict:
         return self.data["columns"].setdefault(name, {"flagged": [], "flagged_table": None, "n_flagged": 0, "reviewed": False, "evidence": [], "decisions": {}, "decision_of_all": None})
@@ -249,6 +250,7 @@ class OutlierLog:
 
     def declare_outcome(self, name: str, kind: str) -> None:
         self.data["outcome"] = {"column": name, "kind": kind}
+        self._changed()
 
     def flag(self, name: str, rows: list[int] | DataFrame) -> None:
         """Flag ids, or all rows of a table of ids."""
@@ -258,6 +260,7 @@ class OutlierLog:
             own |= {"flagged": [], "flagged_table": path, "n_flagged": rows.sparkSession.read.parquet(path).count()}
         else:
             own |= {"flagged": sorted(rows), "flagged_table": None, "n_flagged": len(rows)}
+        self._changed()
 
     def flagged_rows(self, spark: SparkSession, name: str) -> DataFrame:
         own = self._column(name)
@@ -273,6 +276,7 @@ class OutlierLog:
             own["evidence"].append({"context": context, "table": self._write(status.select(ROW_ID, "status"), "evidence")})
         else:
             own["evidence"] += [{"row_id": int(i), "context": context, "status": s} for i, s in sorted(status.items())]
+        self._changed()
 
     def decide(self, name: str, ids: list[int] | None, decision: str) -> None:
         """Decide on some rows, or (None) on all flagged ones without a decision."""
@@ -282,6 +286,7 @@ class OutlierLog:
             self._column(name)["decision_of_all"] = decision
         else:
             self._column(name)["decisions"] |= {str(i): decision for i in ids}
+        self._changed()
 
     def keep_all(self, name: str) -> None:
         own = self._column(name)

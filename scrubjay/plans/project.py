@@ -1,11 +1,14 @@
-"""A project: independent tables, each with its history, keys, outliers and cached assessments."""
+"""A project: independent tables, each with its history, keys, outliers and cached assessments.
+
+What is declared, found and decided is written to journals in the project's
+folder as it happens, so a project is opened from its folder alone.
+"""
 
 from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Callable, Iterable
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +18,7 @@ from scrubjay.plans.lineage import History
 from scrubjay.plans.outliers import OutlierLog
 from scrubjay.sources import excel, sinks
 from scrubjay.sources.csv import read_csv
+from scrubjay.sources.store import Journal
 
 STATUSES = ("loaded", "in_progress", "ready", "excluded", "rejected")
 FORMATS = ("csv", "xlsx", "report", "json", "script", "flagged", "zip")
@@ -24,14 +28,40 @@ MOST_CACHED = 500
 class Item:
     """One table of a project."""
 
-    def __init__(self, name: str, history: History, source: dict | None = None):
+    def __init__(self, name: str, history: History, source: dict | None = None, folder: str | None = None):
         self.name, self.history, self.source = name, history, source or {}
+        self.folder = folder or history.folder
+        self.journal = Journal(history.spark, f"{self.folder}/_item")
         self.status = "loaded"
         self.key: list[str] | None = None
-        self.outliers = OutlierLog(folder=f"{history.folder}/outliers")
+        self.outliers = OutlierLog(folder=f"{self.folder}/outliers", changed=self.save)
         self.duplicates: dict | None = None
         self._cache: OrderedDict[tuple, object] = OrderedDict()
 
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Item:
+        """The item in a folder, as it was left."""
+        journal = Journal(spark, f"{folder}/_item")
+        if (data := journal.read()) is None:
+            raise ValueError(f"no item in {folder}")
+        new = cls(data["name"], History.open(spark, data["folder"]), data["source"], folder)
+        new.journal = journal
+        new._take(data)
+        return new
+
+    def save(self) -> None:
+        """Write all but the history, which writes itself, as the next version."""
+        self.journal.commit({k: v for k, v in self.to_dict().items() if k != "history"})
+
+    def _take(self, data: dict) -> None:
+        self.status, self.key, self.duplicates = data["status"], data["key"], data.get("duplicates")
+        self.outliers = OutlierLog(data["outliers"], self.outliers.folder, self.save)
+
+    def set_status(self, status: str) -> None:
+        if status != self.status:
+            self.status = status
+            self.save()
+
     # what is read
 
     def assess(self, stage: str, make: Callable[[DataFrame], object]) -> object:
@@ -42,7 +72,7 @@ class Item:
             while len(self._cache) > MOST_CACHED:
                 self._cache.popitem(last=False)
         self._cache.move_to_end(at)
-        self.history.states[stage] = "completed"
+        self.history.mark(stage, "completed")
         return self._cache[at]
 
     def preview(self, op_type: str, params: dict, most: int = 10) -> dict:
@@ -55,22 +85,25 @@ class Item:
     # what is changed
 
     def apply(self, op_type: str, params: dict, stage: str = "structures") -> DataFrame:
-        self.status = "in_progress"
+        self.set_status("in_progress")
         return self.history.apply(op_type, params, stage)
 
     def reread(self, spark: SparkSession, path: str, encoding: str, delimiter: str) -> None:
         """Read the source again with other settings, as long as nothing has been recorded."""
         if self.history.specs:
             raise ValueError("operations are recorded; the source can't be read anew")
-        folder = f"{self.history.folder}-{len(self.source.get('settings', [])) + 1}"
+        folder = f"{self.folder}-{len(self.source.get('settings', [])) + 1}"
         self.history = History.start(read_csv(spark, path, encoding, delimiter), folder, self.history.every)
         self.source = self.source | {"encoding": encoding, "delimiter": delimiter, "settings": [*self.source.get("settings", []), [encoding, delimiter]]}
+        self._cache.clear()
+        self.save()
 
     def declare_key(self, columns: list[str]) -> dict:
         """Remember the key; validation checks it again."""
         from scrubjay.assessments.keys import key_summary
 
         self.key = columns
+        self.save()
         return key_summary(self.history.working(), columns).first().asDict()
 
     def screen_outliers(self, name: str, method: str = "iqr", params: dict | None = None) -> dict:
@@ -100,6 +133,7 @@ class Item:
     def find_duplicates(self, columns: list[str], blocking: Iterable[str] = (), threshold: int = 100) -> dict:
         """Remember what duplicates are sought by, for the export of flagged records; an estimate of the pairs."""
         self.duplicates = {"columns": columns, "blocking": list(blocking), "threshold": threshold}
+        self.save()
         return duplicates.estimate(self.history.working(), **self.duplicates)
 
     def resolve_duplicates(self, columns: list[str], how: str, keep: int | None = None, group: list[int] | None = None, field_values: dict | None = None, blocking: Iterable[str] = ()) -> DataFrame:
@@ -138,16 +172,17 @@ class Item:
     def validate(self, markers: Iterable[str] = MISSING_MARKERS) -> dict:
         h = self.history
         out = validate.validate(h.original(), h.working(), self.key, self.outliers.unresolved(spark=h.spark), h.states, h.pointer, len(h.specs) - h.pointer, markers)
-        h.states["validation"] = "completed"
+        h.mark("validation", "completed")
         return out
 
     def to_dict(self) -> dict:
-        return {"name": self.name, "status": self.status, "source": self.source, "key": self.key, "outliers": self.outliers.data, "duplicates": self.duplicates, "folder": self.history.folder, "history": json.loads(self.history.to_json())}
+        return {"name": self.name, "status": self.status, "source": self.source, "key": self.key, "outliers": self.outliers.data, "duplicates": self.duplicates, "folder": self.history.folder, "item_folder": self.folder, "history": json.loads(self.history.to_json())}
 
     @classmethod
     def from_dict(cls, spark: SparkSession, data: dict) -> Item:
-        new = cls(data["name"], History.from_json(spark, data["folder"], json.dumps(data["history"])), data["source"])
-        new.status, new.key, new.outliers, new.duplicates = data["status"], data["key"], OutlierLog(data["outliers"], new.outliers.folder), data.get("duplicates")
+        new = cls(data["name"], History.from_json(spark, data["folder"], json.dumps(data["history"])), data["source"], data["item_folder"])
+        new.journal.read()
+        new._take(data)
         return new
 
 
@@ -157,17 +192,29 @@ class Project:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.items: dict[str, Item] = {}
+        self.journal = Journal(spark, f"{self.folder}/_project")
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Project:
+        """The project in a folder with all its items."""
+        new = cls(spark, folder)
+        data = new.journal.read() or {"items": []}
+        new.items = {item.name: item for item in (Item.open(spark, x) for x in data["items"])}
+        return new
 
     def add(self, name: str, df: DataFrame, source: dict | None = None) -> Item:
         if name in self.items:
             raise ValueError(f"there is an item {name} already")
-        self.items[name] = Item(name, History.start(df, f"{self.folder}/item-{len(self.items)}"), source)
-        return self.items[name]
+        item = Item(name, History.start(df, f"{self.folder}/item-{len(self.items)}"), source)
+        item.save()
+        self.journal.commit({"items": [*(x.folder for x in self.items.values()), item.folder]})
+        self.items[name] = item
+        return item
 
     def set_status(self, name: str, status: str) -> None:
         if status not in STATUSES:
             raise ValueError(f"unknown status: {status}")
-        self.items[name].status = status
+        self.items[name].set_status(status)
 
     def exported(self) -> dict[str, Item]:
         return {k: v for k, v in self.items.items() if v.status not in ("excluded", "rejected")}
@@ -205,15 +252,13 @@ class Project:
                     out[f"{name}.json"] = sinks.config_json(specs, item.source)
                 elif f == "script":
                     out[f"{name}.py"] = sinks.script(specs, item.source)
-        if "xlsx" in formats or "zip" in formats:
-            os.makedirs(f"{self.folder}/export", exist_ok=True)  # files of the driver's
         if "xlsx" in formats:
             frames = {name: item.history.working() for name, item in self.exported().items()}
             gone = [name for name in self.items if name not in frames]
             out["workbook.xlsx"] = excel.write_xlsx(frames, f"{self.folder}/export/workbook.xlsx", workbook, gone)
         if "zip" in formats:
             texts = {name: text for name, text in out.items() if name.endswith((".html", ".json", ".py"))}
-            sinks.bundle(texts, f"{self.folder}/export/bundle.zip")
+            sinks.bundle(texts, f"{self.folder}/export/bundle.zip", self.spark)
             out["bundle.zip"] = f"{self.folder}/export/bundle.zip"
         return out
 
@@ -224,5 +269,6 @@ class Project:
     def from_json(cls, spark: SparkSession, text: str) -> Project:
         data = json.loads(text)
         new = cls(spark, data["folder"])
+        new.journal.read()
         new.items = {x["name"]: Item.from_dict(spark, x) for x in data["items"]}
         return new

@@ -16,6 +16,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scrubjay.sources import store
 from scrubjay.sources.csv import frame_of
 
 MOST_ROWS = 1_048_575
@@ -192,13 +193,14 @@ def _sheet_names(names: list[str]) -> list[str]:
 
 
 def write_xlsx(frames: dict[str, DataFrame], path: str, source: str | None = None, removed: list[str] = ()) -> str:
-    """Frames as sheets of a workbook, values only.
+    """Frames as sheets of a workbook, values only, in any store that Spark writes to.
 
     With a ``source`` workbook, sheets of its that have a frame by their name
     get its values, those ``removed`` go, others stay byte for byte as they
     are; frames that it has no sheet for are added.
     """
-    old = zipfile.ZipFile(source) if source else None
+    spark = SparkSession.active()
+    old = zipfile.ZipFile(io.BytesIO(store.read_bytes(spark, source))) if source else None
     parts = _sheet_paths(old) if old else {}
     kept = [n for n in parts if n not in removed]
     new = [n for n in frames if n not in parts]
@@ -206,7 +208,7 @@ def write_xlsx(frames: dict[str, DataFrame], path: str, source: str | None = Non
     titles = kept + _sheet_names(new)
     kind = "application/vnd.openxmlformats-officedocument.spreadsheetml."
     dropped = {parts[n] for n in removed if n in parts}
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
+    with store.open_write(spark, path) as stream, zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED) as book:
         others = {}
         for entry in old.namelist() if old else ():
             if entry in dropped or entry in ("[Content_Types].xml", "xl/workbook.xml", "xl/_rels/workbook.xml.rels", "_rels/.rels", "xl/calcChain.xml"):

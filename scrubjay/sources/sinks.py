@@ -7,13 +7,14 @@ import json
 from functools import reduce
 import zipfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubjay.functions.columns import qcol
 from scrubjay.operators import OperationSpec
 from scrubjay.session import ROW_ID
+from scrubjay.sources import store
 
 
 def escaped(c: Column) -> Column:
@@ -84,9 +85,9 @@ def gate(warnings: list[str], acknowledged: bool) -> None:
         raise ValueError("open warnings: " + "; ".join(warnings))
 
 
-def bundle(files: dict[str, str | bytes], path: str) -> None:
-    """Small driver-side files (report, configuration, script) as one archive with a manifest."""
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+def bundle(files: dict[str, str | bytes], path: str, spark: SparkSession | None = None) -> None:
+    """Small files (report, configuration, script) as one archive with a manifest, in any store that Spark writes to."""
+    with store.open_write(spark or SparkSession.active(), path) as stream, zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED) as out:
         for name, data in files.items():
             out.writestr(name, data)
         out.writestr("manifest.json", json.dumps(sorted(files)))

@@ -2,11 +2,12 @@
 
 import io
 import json
+import os
 import random
 import statistics
-import threading
 import subprocess
 import sys
+import threading
 import zipfile
 from datetime import date, datetime, timedelta
 
@@ -19,7 +20,7 @@ from scrubjay.operators import OperationSpec, replay
 from scrubjay.plans import outliers, stages, validate
 from scrubjay.plans.lineage import History
 from scrubjay.session import ROW_ID, Scratch, configure, materialize, scratch_path
-from scrubjay.sources import csv, excel, preview, sinks
+from scrubjay.sources import csv, excel, preview, sinks, store
 from scrubjay.streaming.ops import clean_stream
 from tests.helpers import column, frame
 
@@ -245,6 +246,59 @@ def test_history(spark, tmp_path):
     assert past.pointer == 7
 
 
+def test_history_is_opened_from_its_folder(spark, tmp_path):
+    """What a lost driver had recorded is there, undone steps too; a second writer is refused and can go on from what is there."""
+    folder = str(tmp_path / "h")
+    past = History.start(dirty(spark), folder, every=3)
+    for op, params, stage in STEPS[:4]:
+        past.apply(op, params, stage)
+    past.undo()
+    past.mark("keys", "completed")
+    want, state = past.working(), past.to_json()
+    del past
+    again = History.open(spark, folder)
+    assert again.to_json() == state and (again.pointer, len(again.specs), again.every, again.states["keys"]) == (3, 4, 3, "completed")
+    assert again.working().exceptAll(want).count() == want.exceptAll(again.working()).count() == 0
+    assert again.redo() is not None and again.pointer == 4
+    other = History.open(spark, folder)
+    again.apply(*STEPS[4])
+    before = other.to_json()
+    for change in (other.undo, lambda: other.apply(*STEPS[4])):
+        with pytest.raises(store.Conflict):
+            change()
+    assert other.to_json() == before and History.open(spark, folder).to_json() == again.to_json()
+    other = History.open(spark, folder)
+    other.undo()
+    with pytest.raises(store.Conflict):
+        again.undo()
+    with pytest.raises(ValueError):
+        History.open(spark, str(tmp_path / "none"))
+
+
+def test_writers_race_for_a_version(spark, tmp_path):
+    """Of many writers at once, one gets each version, and no half of a record is ever read."""
+    journals = [store.Journal(spark, str(tmp_path / "j"), keep=3) for _ in range(6)]
+    won, start = [], threading.Barrier(6)
+
+    def write(k):
+        start.wait()
+        for _ in range(5):
+            journals[k].read()
+            try:
+                won.append((journals[k].commit({"by": k, "pad": "x" * 50_000}), k))
+            except store.Conflict:
+                pass
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    last = store.Journal(spark, str(tmp_path / "j"))
+    assert last.read()["by"] == dict(won)[max(v for v, _ in won)] and sorted(v for v, _ in won) == list(range(1, last.version + 1))
+    assert sum(f.endswith(".json") and f[0] != "." for f in os.listdir(tmp_path / "j")) <= 3 + 6
+
+
 def test_project(spark, tmp_path):
     from scrubjay.plans.project import Project
 
@@ -275,7 +329,13 @@ def test_project(spark, tmp_path):
     item.resolve_duplicates([], "merge", keep=2, group=[2, 3], field_values={"v": 7.5})
     again = Project.from_json(spark, project.to_json())
     assert again.items["people"].history.working().count() == 19 and again.items["people"].key == ["k"]
+    reopened = Project.open(spark, str(tmp_path / "p"))
+    assert list(reopened.items) == ["people", "other"] and reopened.to_json() == project.to_json()
+    assert reopened.items["people"].history.working().count() == 19 and reopened.items["people"].outliers.unresolved(spark=spark) == 0
     project.set_status("other", "excluded")
+    with pytest.raises(store.Conflict):
+        reopened.set_status("other", "ready")
+    assert Project.open(spark, str(tmp_path / "p")).items["other"].status == "excluded"
     out = project.export(["csv", "report", "json", "script"], acknowledged=True)
     assert set(out) == {"people.csv", "people.html", "people.json", "people.py"} and spark.read.option("header", True).csv(out["people.csv"]).count() == 19
     item.screen_outliers("v", "manual", {"max": 19.5})
