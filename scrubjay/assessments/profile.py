@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from scrubjay.functions.columns import MISSING_MARKERS, all_of, folded, is_missing, is_numeric, is_text, missing_in, qcol, strip_ws, trimmed_number
 from scrubjay.functions.columns import number as parsed_number
-from scrubjay.session import ROW_ID
+from scrubjay.session import ROW_ID, materialize
 
 #: Non-missing values of a text column that are looked at for its type, in the order of the ids.
 TYPE_SAMPLE = 300
@@ -146,22 +146,33 @@ def column_names(df: DataFrame) -> list[dict]:
     return out
 
 
+# Characters that aren't special.
+USUAL = r"A-Za-z0-9\s\-.,'/:%"
+
+
 def special_chars(df: DataFrame, samples: int = 3) -> DataFrame:
     """(column, char, n, samples): characters other than letters, digits and common marks in text columns.
 
     Each column's characters are summed before the shuffle; the samples are
-    the first distinct values by id that hold the character.
+    the first distinct values by id that hold the character.  Values are told
+    apart by a hash, so a few bytes of each are shuffled, and only the rows of
+    the samples are fetched.
     """
     names = [c for c in data_columns(df) if is_text(df, c)]
     if not names:
         return df.sparkSession.createDataFrame([], "column string, char string, n long, samples array<string>")
     cells = long_form(df, names, qcol(ROW_ID).alias("__rid"))
-    odd = cells.where(F.col("value").rlike(r"[^A-Za-z0-9\s\-.,'/:%]")).select("__rid", "column", "value", F.explode(F.regexp_extract_all("value", F.lit(r"([^A-Za-z0-9\s\-.,'/:%])"), F.lit(1))).alias("char"))
-    counts = odd.groupBy("column", "char").agg(F.count("*").alias("n"))
-    seen = odd.groupBy("column", "char", "value").agg(F.min("__rid").alias("first"))
-    order = Window.partitionBy("column", "char").orderBy("first", "value")
-    shown = seen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= samples).groupBy("column", "char").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("s"))
-    return counts.join(shown, ["column", "char"]).select("column", "char", "n", F.col("s.value").alias("samples"))
+    found = F.array_distinct(F.regexp_extract_all("value", F.lit(f"([^{USUAL}])"), F.lit(1)))
+    odd = cells.where(F.col("value").rlike(f"[^{USUAL}]")).withColumn("char", F.explode(found))
+    often = F.length("value") - F.length(F.replace("value", F.col("char"), F.lit("")))
+    seen = odd.groupBy("column", "char", F.md5(F.encode("value", "UTF-8")).alias("value")).agg(F.min("__rid").alias("first"), F.sum(F.floor(often / F.length("char"))).alias("n"))
+    seen = materialize(seen, "special")
+    counts = seen.groupBy("column", "char").agg(F.sum("n").alias("n"))
+    shown = seen.withColumn("k", F.row_number().over(Window.partitionBy("column", "char").orderBy("first", "value"))).where(F.col("k") <= samples)
+    shown = materialize(shown.select("column", "char", "k", F.col("first").alias("__rid")), "shown")  # a few rows of each character
+    values = cells.join(shown.select("column", "__rid").distinct(), ["column", "__rid"]).select("column", "__rid", "value")
+    lists = shown.join(values, ["column", "__rid"]).groupBy("column", "char").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("s"))
+    return counts.join(lists, ["column", "char"]).select("column", "char", "n", F.col("s.value").alias("samples"))
 
 
 def _numbers(df: DataFrame, name: str) -> Column:

@@ -26,7 +26,7 @@ def spark_pattern(fmt: str) -> str:
     return out
 
 
-def _full_year(c: Column, fmt: str, value: Column) -> Column:
+def full_year(c: Column, fmt: str, value: Column) -> Column:
     """A year of four digits where the format has one."""
     return F.when(c.rlike(r"(?<!\d)\d{4}(?!\d)"), value) if "%Y" in fmt else value
 
@@ -35,14 +35,14 @@ def parse_date(c: Column, fmt: str | None = None) -> Column:
     """Date of a text by a format, or by the first of the usual formats that fits; null otherwise."""
     text = c.cast("string")
     formats = [fmt] if fmt else DATE_FORMATS
-    return F.coalesce(*(_full_year(text, f, F.try_to_timestamp(text, F.lit(spark_pattern(f))).cast("date")) for f in formats))
+    return F.coalesce(*(full_year(text, f, F.try_to_timestamp(text, F.lit(spark_pattern(f))).cast("date")) for f in formats))
 
 
 def parse_datetime(c: Column, fmt: str | None = None) -> Column:
     """Timestamp (without zone) of a text; a date alone counts as midnight."""
     text = c.cast("string")
     formats = [fmt] if fmt else [d + s for d in DATE_FORMATS[:3] for s in DATETIME_SUFFIXES] + list(DATE_FORMATS)
-    return F.coalesce(*(_full_year(text, f, F.try_to_timestamp(text, F.lit(spark_pattern(f)))) for f in formats)).cast("timestamp_ntz")
+    return F.coalesce(*(full_year(text, f, F.try_to_timestamp(text, F.lit(spark_pattern(f)))) for f in formats)).cast("timestamp_ntz")
 
 
 def parse_time(c: Column, fmt: str | None = None) -> Column:

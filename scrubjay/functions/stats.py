@@ -222,3 +222,37 @@ def histogram(values: DataFrame, column: str, bins: int = 30) -> DataFrame:
     frame = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     edges = frame.select("bin", (F.lit(low) + (F.col("bin") - 1) * width).alias("lower"), (F.lit(low) + F.col("bin") * width).alias("upper"))
     return edges.join(F.broadcast(counts), "bin", "left").select("bin", "lower", "upper", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+#: Logarithm of a sketch's size; its estimate is off by 0.8 % as a rule, and next to exact for some thousand values.
+SKETCH = 14
+#: How far from the truth an estimate is taken to be at most.
+SKETCH_ERROR = 0.04
+
+
+def distinct_sketches(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(name, n, sketch) of columns by name: how many values there are, and a sketch of the distinct ones.
+
+    One pass without a shuffle of values; sketches of parts of a table, or of
+    what is added to it, are put together by ``merged_sketches``.
+    """
+    aggs = [x for i, c in enumerate(values.values()) for x in (F.count(c).alias(f"n{i}"), F.hll_sketch_agg(c.cast("string"), SKETCH).alias(f"s{i}"))]
+    cells = F.array(*(F.struct(F.lit(name).alias("name"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("sketch")) for i, name in enumerate(values)))
+    return df.agg(*aggs).select(F.explode(cells).alias("c")).select("c.*")
+
+
+def merged_sketches(*sketches: DataFrame) -> DataFrame:
+    """The sketches of several tables as those of all their rows."""
+    return reduce(DataFrame.union, sketches).groupBy("name").agg(F.sum("n").alias("n"), F.hll_union_agg("sketch").alias("sketch"))
+
+
+def estimates(sketches: DataFrame) -> dict[str, tuple[int, int]]:
+    """Number of values, and about how many distinct ones, by name."""
+    return {r[0]: (r[1], min(r[1], r[2])) for r in sketches.select("name", "n", F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0))).collect()}
+
+
+def distinct_counts(df: DataFrame, values: dict[str, Column]) -> dict[str, int]:
+    """Exact numbers of distinct values, all columns by one shuffle of (column, value) counts."""
+    cells = F.array(*(F.when(c.isNotNull(), F.struct(F.lit(name).alias("name"), c.cast("string").alias("v"))) for name, c in values.items()))
+    each = df.select(F.explode(F.array_compact(cells)).alias("c")).select("c.*").distinct()
+    return dict.fromkeys(values, 0) | {r[0]: r[1] for r in each.groupBy("name").count().collect()}

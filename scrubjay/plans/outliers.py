@@ -86,8 +86,9 @@ def screen(df: DataFrame, name: str, method: str = "iqr", params: dict | None =
 def contexts(df: DataFrame, name: str, markers: Iterable[str] = MISSING_MARKERS, outcome: str | None = None) -> list[dict]:
     """Columns that may explain a column's outliers, the declared outcome first, then by usable pairs.
 
-    Two passes serve all columns: one for counts, one that sums (column,
-    value) before its shuffle.
+    One pass counts for all columns, one makes sketches of their distinct
+    values; only columns next to a limit, and those that may hold groups, are
+    counted by value.
     """
     names = [c for c in data_columns(df) if c != name]
     if not names:
@@ -99,30 +100,37 @@ def contexts(df: DataFrame, name: str, markers: Iterable[str] = MISSING_MARKERS,
         length = F.avg(F.length(qcol(c).cast("string")))
         aggs += [F.count_if(missing_in(df, c, markers)).alias(f"m{i}"), F.count_if(usable).alias(f"u{i}"), F.count(numeric_view(df, c, markers)).alias(f"x{i}"), length.alias(f"l{i}")]
     row = df.agg(*aggs).first()
-    cells = F.array(*(F.struct(F.lit(i).alias("i"), qcol(c).cast("string").alias("v")) for i, c in enumerate(names)))
-    counts = df.select(F.explode(cells).alias("c")).select("c.*").groupBy("i", "v").agg(F.count("*").alias("n"))
-    per = {r.i: r for r in counts.groupBy("i").agg(F.count("*").alias("distinct"), F.count_if(F.col("v").isNull()).alias("nulls"), F.count_if(F.col("n") >= MIN_GROUP).alias("groups")).collect()}
-    out = []
+    if not row.n:
+        return []
+    there = {c: qcol(c) for c in names}
+    found = stats.estimates(stats.distinct_sketches(df, there))
+    near = [c for c, (n, u) in found.items() if u >= (1 - stats.SKETCH_ERROR) * (row.n - 2) or (is_text(df, c) and abs(u / max(n, 1) - 0.5) < stats.SKETCH_ERROR)]
+    exact = stats.distinct_counts(df, {c: there[c] for c in near}) if near else {}
+    unique = {c: exact.get(c, u) for c, (_, u) in found.items()}
+    out, grouped = [], []
     for i, c in enumerate(names):
-        if not row.n or i not in per:
-            continue
-        distinct, values = per[i].distinct, per[i].distinct - per[i].nulls
+        values = unique[c]
+        distinct = values + (found[c][0] < row.n)  # null is one more
         if row[f"m{i}"] / row.n * 100 > MOST_MISSING_PCT or distinct >= row.n - 1 or values <= 1 or row[f"u{i}"] < 2:
             continue
         if is_text(df, c) and (row[f"l{i}"] or 0) > 40 and values / max(1, row.n - row[f"m{i}"]) > 0.5:
             continue
         kind = dtype_of(df, c)
         if is_numeric(df, c) or (is_text(df, c) and row[f"x{i}"] / max(row[f"u{i}"], 1) > 0.9):
-            found, why = "numeric", "numeric association possible"
+            what, why = "numeric", "numeric association possible"
         elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType, T.TimeType)):
-            found, why = "datetime", "temporal order may explain extremes"
+            what, why = "datetime", "temporal order may explain extremes"
         elif isinstance(kind, T.BooleanType) or values == 2:
-            found, why = "boolean", "two groups to compare"
-        elif per[i].groups:
-            found, why = "categorical", f"{per[i].groups} groups of {MIN_GROUP} rows or more"
+            what, why = "boolean", "two groups to compare"
         else:
-            continue
-        out.append({"column": c, "kind": found, "reason": why, "usable_pairs": row[f"u{i}"], "is_outcome": c == outcome})
+            what, why = "categorical", ""
+            grouped.append(c)
+        out.append({"column": c, "kind": what, "reason": why, "usable_pairs": row[f"u{i}"], "is_outcome": c == outcome})
+    if grouped:  # only these are counted by value
+        cells = F.array(*(F.struct(F.lit(c).alias("c"), qcol(c).cast("string").alias("v")) for c in grouped))
+        counts = df.select(F.explode(cells).alias("x")).select("x.*").groupBy("c", "v").agg(F.count("*").alias("n"))
+        groups = {r.c: r.groups for r in counts.where(F.col("n") >= MIN_GROUP).groupBy("c").agg(F.count("*").alias("groups")).collect()}
+        out = [x | {"reason": f"{groups[x['column']]} groups of {MIN_GROUP} rows or more"} if x["column"] in groups else x for x in out if x["column"] not in grouped or x["column"] in groups]
     return sorted(out, key=lambda e: (not e["is_outcome"], -e["usable_pairs"], e["column"]))
 
 

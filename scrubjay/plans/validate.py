@@ -1,4 +1,8 @@
-"""The result against the original: missing cells, doubles, changed cells and rows."""
+"""The result against the original: missing cells, doubles, changed cells and rows.
+
+Both sides are compared by digests of ranges of ids first; only the rows of
+ranges that differ are joined and compared cell by cell.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from pyspark.sql import functions as F
 from scrubjay.assessments.keys import key_summary
 from scrubjay.assessments.profile import data_columns
 from scrubjay.functions.columns import MISSING_MARKERS, any_of, float_text, missing_in, qcol
-from scrubjay.session import ROW_ID
+from scrubjay.session import ROW_ID, materialize
 
 
 def missing_total(df: DataFrame, markers: Iterable[str] = MISSING_MARKERS) -> int:
@@ -30,10 +34,36 @@ def _text(df: DataFrame, name: str) -> Column:
     return float_text(qcol(name)) if dict(df.dtypes)[name] in ("double", "float") else qcol(name).cast("string")
 
 
+#: Rows with neighbouring ids whose digests are taken together.
+RANGE = 4096
+
+
+def range_digests(df: DataFrame, columns: list[str], rows: int = RANGE) -> DataFrame:
+    """(range, n, d, e): for each range of ids the number of rows, and 128 bits of digest over ids and values as text.
+
+    Rows are summed before the shuffle, so a range costs some bytes for each
+    part that holds it, however wide the rows are.
+    """
+    values = [x for c in columns for x in (qcol(c).isNull(), _text(df, c))]
+    hashed = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), qcol(ROW_ID), *values))
+    return df.groupBy(F.floor(qcol(ROW_ID) / rows).alias("range")).agg(F.count("*").alias("n"), hashed(1).alias("d"), hashed(2).alias("e"))
+
+
+def differing_ranges(before: DataFrame, after: DataFrame, columns: list[str], rows: int = RANGE) -> DataFrame:
+    """(range): those in which the two differ in a row or a value; written, so that its size is known to the joins."""
+    one, two = (range_digests(df, columns, rows) for df in (before, after))
+    joined = one.alias("x").join(two.alias("y"), "range")
+    same = (F.col("x.n") == F.col("y.n")) & (F.col("x.d") == F.col("y.d")) & (F.col("x.e") == F.col("y.e"))
+    return materialize(joined.where(~same).select("range"), "ranges")
+
+
 def _side_by_side(before: DataFrame, after: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows that are in both, of the ranges that differ; all others are known to be alike."""
     shared = [c for c in data_columns(before) if c in data_columns(after)]
-    a = before.select(ROW_ID, *(_text(before, c).alias(f"a{i}") for i, c in enumerate(shared)))
-    b = after.select(qcol(ROW_ID).alias("__other"), *(_text(after, c).alias(f"b{i}") for i, c in enumerate(shared)))
+    ranges = differing_ranges(before, after, shared)
+    of = lambda df: df.join(ranges, F.floor(qcol(ROW_ID) / RANGE) == F.col("range"), "left_semi")
+    a = of(before).select(ROW_ID, *(_text(before, c).alias(f"a{i}") for i, c in enumerate(shared)))
+    b = of(after).select(qcol(ROW_ID).alias("__other"), *(_text(after, c).alias(f"b{i}") for i, c in enumerate(shared)))
     return a.join(b, F.col(ROW_ID) == F.col("__other")), shared
 
 

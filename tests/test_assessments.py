@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrubjay.assessments import keys, profile, text, typing
+from scrubjay.functions import stats
 from scrubjay.operators import execute
 from scrubjay.plans import duplicates
 from scrubjay.session import ROW_ID
@@ -203,3 +204,63 @@ def test_estimates(spark):
         duplicates.estimate(df, ["a"], [], 70)
     with pytest.raises(ValueError):
         duplicates.estimate(df, ["zz"])
+
+
+def test_format_masks_are_those_of_strptime(spark):
+    import random
+
+    from scrubjay.assessments.typing import FORMATS, _fits
+
+    rng = random.Random(8)
+    two = lambda top: rng.choice([str(rng.randrange(top)), f"{rng.randrange(top):02d}"])
+    values = ["", "x", "12", "2024-02-30", "29/02/2023", "31-04-2024", "3 Feb 2024", "March 5, 2024", "2024-01-02T03:04:05.5", "2024-01-02T03:04:05.1234567", "12:60:00", "99-01-2024"]
+    for _ in range(400):
+        a, b, y, sep = two(33), two(14), rng.choice(["2024", "1999", "24", "0007"]), rng.choice("-/.")
+        day = rng.choice([f"{y}{sep}{b}{sep}{a}", f"{a}{sep}{b}{sep}{y}", f"{b}{sep}{a}{sep}{y}", f"{a} {rng.choice(['Jan', 'Dec', 'Foo'])} {y}", f"{rng.choice(['May', 'June'])} {a}, {y}"])
+        time = rng.choice(["", "", f" {two(25)}:{two(61)}", f" {two(25)}:{two(61)}:{two(61)}", f"T{two(25)}:{two(60)}:{two(60)}", f"T{two(25)}:{two(60)}:{two(60)}.{rng.randrange(10 ** 6)}"])
+        values += [day + time, rng.choice([f"{two(25)}.{two(61)}.{two(61)}", f"{two(25)}:{two(61)}"])]
+    rows = frame(spark, "a string", values).select("a", typing.format_mask(F.col("a")).alias("m")).collect()
+    wrong = [(r.a, [FORMATS[b] for b in range(len(FORMATS)) if bool(r.m >> b & 1) != (any(c.isdigit() for c in r.a) and _fits(r.a, FORMATS[b][0]))]) for r in rows]
+    odd = [(v, x) for v, x in wrong if x and not v.startswith("0007") and "0007" not in v and ":60" not in v and ".60" not in v and not v.endswith("60")]  # strptime takes a leap second
+    assert not odd, odd[:5]
+
+
+def test_formats_by_all_values(spark):
+    """What the first 300 values don't show: most values are written month first, some not at all."""
+    values = ["03/04/2024"] * 320 + ["04/25/2024"] * 700 + ["soon", "later", None, "N/A"] * 5
+    df = frame(spark, "d string, t string", [(v, f"{i % 24}:{i % 60:02d}") for i, v in enumerate(values)])
+    found = typing.column_formats(df, ["d", "t"])
+    assert found["d"] == {"kind": "date", "format": "%m/%d/%Y", "n": 1030, "n_misfits": 10, "misfits": ["later", "soon"], "ambiguous": False}
+    assert found["t"]["format"] == "%H:%M" and found["t"]["n_misfits"] == 0
+    whole, first = (typing.infer_columns(df, ["d"], whole=w)["d"] for w in (True, False))
+    assert (whole["date_format"], whole["ambiguous_date_format"], whole["incompatible_count"]) == ("%m/%d/%Y", False, 10)
+    assert first["ambiguous_date_format"] and typing.column_formats(df, []) == {}
+
+
+def test_sketches(spark):
+    """Estimates are within the error that the decisions allow for, of parts put together too, and small columns exact."""
+    df = spark.range(300_000).selectExpr("id AS __rid", "CAST(id % 40 AS STRING) AS few", "CAST(id % 120000 AS STRING) AS many", "CASE WHEN id % 3 = 0 THEN CAST(id AS STRING) END AS some")
+    values = {c: F.col(c) for c in ("few", "many", "some")}
+    want = {"few": (300_000, 40), "many": (300_000, 120_000), "some": (100_000, 100_000)}
+    parts = [stats.distinct_sketches(df.where(f"pmod(hash(__rid), 3) = {k}"), values) for k in range(3)]
+    for found in (stats.estimates(stats.distinct_sketches(df, values)), stats.estimates(stats.merged_sketches(*parts))):
+        assert found["few"] == want["few"] and all(found[c][0] == want[c][0] and abs(found[c][1] / want[c][1] - 1) < stats.SKETCH_ERROR for c in want)
+    assert stats.distinct_counts(df, values) == {c: d for c, (_, d) in want.items()}
+    assert stats.estimates(stats.distinct_sketches(df.limit(0), values)) == dict.fromkeys(values, (0, 0))
+
+
+def test_columns_next_to_a_limit_are_counted(spark, monkeypatch):
+    counted = []
+    real = stats.distinct_counts
+    monkeypatch.setattr(stats, "distinct_counts", lambda df, values: counted.append(sorted(values)) or real(df, values))
+    df = frame(spark, "a string, b string, c string", [(f"v{i % 50}", f"w{i % 51}", f"u{i % 7}") for i in range(400)])
+    found = typing.infer_columns(df, ["a", "b", "c"])
+    assert {c: x["suggested"] for c, x in found.items()} == {"a": "categorical", "b": "string", "c": "categorical"} and counted == [["a", "b"]]
+
+
+def test_special_characters_shuffle_no_texts(spark):
+    long = "x" * 50_000
+    rows = [f"{long}{i}#" for i in range(30)] + ["a#b#", "a#b#", "c~#", None]
+    found = profile.special_chars(frame(spark, "note string", rows[::-1]), samples=2).collect()
+    got = {r.char: (r.n, r.samples) for r in found}
+    assert got == {"#": (35, ["c~#", "a#b#"]), "~": (1, ["c~#"])}

@@ -220,6 +220,20 @@ STEPS = [
 ]
 
 
+def test_only_ranges_that_differ_are_compared(spark, tmp_path):
+    n = 10 * validate.RANGE
+    spark.range(n).selectExpr("id AS __rid", "CASE WHEN id % 5 = 0 THEN NULL ELSE id END AS a", "CAST(id AS DOUBLE) AS v", "repeat('x', 50) AS b").write.parquet(str(tmp_path / "t"))
+    before = spark.read.parquet(str(tmp_path / "t"))
+    after = before.withColumn("b", F.when(F.col("__rid") == 3 * validate.RANGE + 7, "y").otherwise(F.col("b"))).where("__rid <> 8")
+    assert sorted(r.range for r in validate.differing_ranges(before, after, ["a", "v", "b"]).collect()) == [0, 3]
+    joined, _ = validate._side_by_side(before, after)
+    assert joined.count() == 2 * validate.RANGE - 1
+    assert {r.column: r.n_changed for r in validate.changed_cells(before, after).collect()} == {"a": 0, "v": 0, "b": 1} and validate.change_totals(before, after) == (1, 1)
+    assert validate.change_totals(before, before) == (0, 0) and validate.preview(before, after)["examples"][0]["after"]["b"] == "y"
+    moved = before.withColumn("a", F.when(F.col("__rid") == 1, None).when(F.col("__rid") == 5, 1).otherwise(F.col("a")))
+    assert validate.change_totals(before, moved) == (2, 2)  # a value that changes its row is seen
+
+
 def test_history(spark, tmp_path):
     past = History.start(dirty(spark), str(tmp_path / "h"), every=3)
     past.states |= {"profile": "completed", "keys": "completed"}
