@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterable
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scrubjay.assessments.profile import data_columns
-from scrubjay.functions.columns import FALSE_WORDS, MISSING_MARKERS, TRUE_WORDS, is_missing, is_numeric, is_text, missing_in, qcol, strip_ws, title_case
+from scrubjay.functions.columns import FALSE_WORDS, MISSING_MARKERS, TRUE_WORDS, is_missing, is_numeric, is_text, missing_in, number, qcol, strip_ws, title_case
 from scrubjay.operators.types import PLAIN_NUMBER, WITH_UNIT, rule_violated, unit_parts
 from scrubjay.session import ROW_ID
 
-FORMAT_SAMPLE = 500
+# Signs of currency that begin a number.
+CURRENCY_SIGNS = ("$", "€", "£", "₹")
 
 
 def normalization_counts(df: DataFrame) -> DataFrame:
@@ -53,25 +54,46 @@ def label_variants(df: DataFrame, name: str, most: int = 1000) -> DataFrame:
     return groups.join(lists, "key").select("key", "canonical", "variants", "n_variants")
 
 
-def format_candidates(df: DataFrame) -> list[dict]:
-    """Text columns that look like booleans, percentages, currency or decimal commas."""
-    out = []
-    for name in data_columns(df):
-        if not is_text(df, name):
-            continue
-        c = qcol(name)
-        there = df.where(c.isNotNull())
-        first = (there.orderBy(ROW_ID) if ROW_ID in df.columns else there).select(strip_ws(c).alias("v")).limit(FORMAT_SAMPLE)
-        v = F.col("v")
-        share = lambda test: F.avg(F.when(test, 1.0).otherwise(0.0))
-        row = first.agg(
-            share(F.lower(v).isin(*TRUE_WORDS, *FALSE_WORDS)).alias("boolean"),
-            share(v.endswith("%")).alias("percent"),
-            share(v.rlike(r"^[$€£₹]?\s?-?[\d,]+(\.\d+)?\z") & v.rlike("[$€£₹]")).alias("currency"),
-            share(v.rlike(r"^-?\d{1,3}(\.\d{3})*(,\d+)?\z") & v.contains(",")).alias("decimal_separator"),
-        ).first()
-        kinds = [k for k in ("boolean", "percent", "currency", "decimal_separator") if row[k] is not None and (row[k] >= 1.0 if k == "boolean" else row[k] > 0.8)]
-        out += [{"column": name, "kind": k, "share": row[k]} for k in kinds]
+def _grouped(c: Column, group: str, point: str) -> Column:
+    """Whether a text is a number with this mark between groups of three digits and that one before its fraction."""
+    parts = F.split(c, f"[{point}]", -1)
+    groups = F.split(F.regexp_replace(F.element_at(parts, 1), "^[+-]", ""), f"[{group}]", -1)
+    even = F.forall(F.slice(groups, F.lit(2), F.size(groups)), lambda g: F.length(g) == 3) & ((F.size(groups) == 1) | F.length(F.element_at(groups, 1)).between(1, 3))
+    plain = F.replace(F.replace(c, F.lit(group), F.lit("")), F.lit(point), F.lit("."))
+    return (F.size(parts) <= 2) & even & number(plain).isNotNull()
+
+
+#: Kinds of formats in the order in which they are asked for, and the share of a column's values that has to have one.
+FORMAT_SHARES = {"boolean": 1.0, "percent": 0.8, "currency": 0.8, "decimal_separator": 0.8}
+
+
+def format_candidates(df: DataFrame, sample: int | None = None) -> list[dict]:
+    """Text columns that look like booleans, percentages, currency or decimal commas, the first of these that fits.
+
+    All values of all columns are judged in one pass; ``sample`` takes the
+    first ones by id only.
+    """
+    names = [c for c in data_columns(df) if is_text(df, c)]
+    if not names:
+        return []
+    if sample:
+        df = (df.orderBy(ROW_ID) if ROW_ID in df.columns else df).limit(sample)
+    aggs = []
+    for i, name in enumerate(names):
+        v = strip_ws(qcol(name))
+        sign = F.substring(v, 1, 1).isin(*CURRENCY_SIGNS)
+        tests = {
+            "boolean": F.lower(v).isin(*TRUE_WORDS, *FALSE_WORDS),
+            "percent": v.endswith("%"),
+            "currency": sign & number(F.replace(strip_ws(F.substring(v, F.lit(2), F.length(v))), F.lit(","), F.lit(""))).isNotNull(),  # as the conversion reads it
+            "decimal_separator": v.contains(",") & _grouped(v, ".", ","),
+        }
+        aggs += [F.count(v).alias(f"n{i}"), *(F.count_if(test).alias(f"{kind}{i}") for kind, test in tests.items())]
+    row, out = df.agg(*aggs).first(), []
+    for i, name in enumerate(names):
+        share = {kind: row[f"{kind}{i}"] / row[f"n{i}"] if row[f"n{i}"] else 0.0 for kind in FORMAT_SHARES}
+        kind = next((k for k, least in FORMAT_SHARES.items() if (share[k] == 1 if least == 1 else share[k] > least)), None)
+        out += [{"column": name, "kind": kind, "share": share[kind]}] if kind else []
     return out
 
 

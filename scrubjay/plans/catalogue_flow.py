@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import io
 import json
-import os
 import tempfile
 import zipfile
 
@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from scrubjay.assessments import keys, profile, text, typing
 from scrubjay.functions.columns import qcol
-from scrubjay.operators import OperationSpec, execute
-from scrubjay.plans import duplicates, outliers, stages
-from scrubjay.plans.catalogue import _DUP, _KEYED, _PARTS, VIEWS, Query, _keyed, _spiked, view, view_sql
+from scrubjay.operators import OperationSpec, execute, replay
+from scrubjay.plans import duplicates, outliers, validate
+from scrubjay.plans.catalogue import _DUP, _KEYED, _LINES_PAIRS, _PARTS, VIEWS, Query, _keyed, _lines, _spiked, view, view_sql
+from scrubjay.plans.lineage import History
 from scrubjay.plans.project import Project
 from scrubjay.session import ROW_ID, scratch_path
-from scrubjay.sources import csv, excel, preview, sinks
+from scrubjay.sources import csv, excel, preview, sinks, store
 from scrubjay.streaming.ops import clean_stream
 
 QUERIES: dict[str, Query] = {}
@@ -66,6 +67,15 @@ def csv_row_ids(s: SparkSession, d: str) -> DataFrame:
     return csv.read_csv(s, _file(s, df)).select(F.col("rid").cast("long").alias("rid"), "status", qcol(ROW_ID).alias("row_index"))
 
 
+@_query("SELECT {rid} AS rid, CASE WHEN {rid} % 3 = 0 THEN status || chr(10) || 'of \"' || priority || '\",' || chr(10) || 'end' ELSE priority END AS note, units FROM {sales}")
+def csv_quoted_lines(s: SparkSession, d: str) -> DataFrame:
+    """Fields with line breaks, quotes and delimiters, written by the sink and read again in ranges."""
+    note = F.when(F.col(ROW_ID) % 3 == 0, F.concat("status", F.lit('\nof "'), "priority", F.lit('", \n'))).otherwise(F.col("priority"))
+    path = scratch_path(s, "quoted.csv")
+    sinks.write_csv(view(s, d, "sales").select(qcol(ROW_ID).alias("rid"), note.alias("note"), "units"), path)
+    return csv.read_csv(s, path, encoding="utf-8", delimiter=",").select(F.col("rid").cast("long").alias("rid"), "note", F.col("units").cast("int").alias("units"))
+
+
 @_query("SELECT * FROM (VALUES ('csv', 'csv'), ('txt', 'csv'), ('xlsx', 'xlsx'), ('xls', 'refused')) t(named, kind)")
 def file_kinds(s: SparkSession, d: str) -> DataFrame:
     """What files are by their first bytes; one that is named for something else is refused."""
@@ -111,13 +121,34 @@ def missing_rows_peek(s: SparkSession, d: str) -> DataFrame:
 # --- assessments -------------------------------------------------------------
 
 
-@_query("SELECT 'date' AS kind, '%Y-%m-%d' AS format, 1 AS n_bad, false AS ambiguous")
+@_query("WITH v AS (SELECT DISTINCT trim(joined) AS v FROM (SELECT joined FROM {people} WHERE joined IS NOT NULL ORDER BY {rid} LIMIT 300)) SELECT 'date' AS kind, '%Y-%m-%d' AS format, CAST(count(*) FILTER (WHERE try_strptime(v, '%Y-%m-%d') IS NULL) AS INT) AS n_bad, false AS ambiguous FROM v")
 def date_formats(s: SparkSession, d: str) -> DataFrame:
     values = profile.first_values(view(s, d, "people"), ["joined"])["joined"]
     kind, fmt, bad, ambiguous = typing.date_formats(values)
     return _rows(s, [(kind, fmt, len(bad), ambiguous)], "kind string, format string, n_bad int, ambiguous boolean")
 
 
+_DAYS = "(SELECT joined, CASE WHEN {rid} % 9 = 0 THEN 'soon' ELSE strftime(DATE '2020-01-01' + CAST({rid} % 700 AS INT), '%d/%m/%Y') END AS day, CASE WHEN {rid} % 4 = 0 THEN '25:10' ELSE CAST({rid} % 24 AS VARCHAR) || ':' || CAST(10 + {rid} % 50 AS VARCHAR) END AS clock FROM {people})"
+
+
+@_query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{f}' AS format, count({c}) AS n, count({c}) FILTER (WHERE try_strptime({c}, '{f}') IS NULL) AS n_misfits FROM {_DAYS}" for c, f in (("joined", "%Y-%m-%d"), ("day", "%d/%m/%Y"), ("clock", "%H:%M"))))
+def column_formats(s: SparkSession, d: str) -> DataFrame:
+    """Formats of whole columns, and how many values don't fit them."""
+    df = view(s, d, "people").selectExpr(
+        ROW_ID,
+        "joined",
+        f"CASE WHEN {ROW_ID} % 9 = 0 THEN 'soon' ELSE date_format(date_add(DATE '2020-01-01', CAST({ROW_ID} % 700 AS INT)), 'dd/MM/yyyy') END AS day",
+        f"CASE WHEN {ROW_ID} % 4 = 0 THEN '25:10' ELSE CAST({ROW_ID} % 24 AS STRING) || ':' || CAST(10 + {ROW_ID} % 50 AS STRING) END AS clock",
+    )
+    return _rows(s, [(c, x["format"], x["n"], x["n_misfits"]) for c, x in typing.column_formats(df, ["joined", "day", "clock"]).items()], "column string, format string, n long, n_misfits long")
+
+
+@_query("SELECT * FROM (SELECT 'price' AS \"column\", CASE WHEN avg(CAST(price LIKE '$%' AS INT)) > 0.8 THEN 'currency' END AS kind FROM {people} UNION ALL SELECT 'share', CASE WHEN avg(CAST(trim(share) LIKE '%!%' ESCAPE '!' AS INT)) > 0.8 THEN 'percent' END FROM {people} UNION ALL SELECT 'comma', CASE WHEN avg(CAST(TRY_CAST(replace(replace(comma, '.', ''), ',', '.') AS DOUBLE) IS NOT NULL AND comma LIKE '%,%' AS INT)) > 0.8 THEN 'decimal_separator' END FROM {people} UNION ALL SELECT 'flag', CASE WHEN avg(CAST(lower(trim(flag)) IN ('y', 'yes', 'true', 't', '1', 'n', 'no', 'false', 'f', '0') AS INT)) = 1 THEN 'boolean' END FROM {people} WHERE flag <> 'maybe' UNION ALL SELECT 'code', NULL) WHERE kind IS NOT NULL")
+def format_candidates(s: SparkSession, d: str) -> DataFrame:
+    df = view(s, d, "people").select(ROW_ID, "price", "share", "comma", "code", F.expr("CASE WHEN flag = 'maybe' THEN 'y' ELSE flag END").alias("flag"))
+    return _rows(s, [(x["column"], x["kind"]) for x in text.format_candidates(df)], "column string, kind string")
+
+
 @_query("SELECT {rid} AS rid, strftime(ts, '%H:%M:%S') AS value FROM {readings}")
 def convert_time(s: SparkSession, d: str) -> DataFrame:
     df = view(s, d, "readings").select(ROW_ID, F.date_format("ts", "HH.mm.ss").alias("value"))
@@ -174,9 +205,13 @@ def dup_prepared(s: SparkSession, d: str) -> DataFrame:
     return duplicates.prepared(view(s, d, "parts"), _DUP).select(qcol(ROW_ID).alias("rid"), "brand", "type")
 
 
-@_query("SELECT * FROM (VALUES (1, '0,100'), (2, '0,50,100'), (3, '0,33,67,100'), (5, '0,20,40,60,80,100')) t(k, attainable)")
+@_query(f"SELECT CAST(round(100 * matches / 5) AS INT) AS pct, count(*) AS n_pairs FROM ({_LINES_PAIRS}) WHERE matches >= 4 GROUP BY 1")
 def dup_attainable(s: SparkSession, d: str) -> DataFrame:
-    return _rows(s, [(k, ",".join(map(str, duplicates.attainable(k)))) for k in (1, 2, 3, 5)], "k int, attainable string")
+    """How many pairs of classes attain each percentage that five fields can have."""
+    columns = ["status", "priority", "u", "l", "m"]
+    pairs = duplicates.class_pairs(_lines(s, d), columns, ["c"], 80, guard=False)
+    pct = F.element_at(F.array(*map(F.lit, duplicates.attainable(len(columns)))), F.col("matches") + 1)
+    return pairs.groupBy(pct.alias("pct")).agg(F.count("*").alias("n_pairs"))
 
 
 # --- decisions, stages, exports ----------------------------------------------
@@ -210,14 +245,19 @@ def outlier_treatment(s: SparkSession, d: str) -> DataFrame:
     return done.select(qcol(ROW_ID).alias("rid"), "v")
 
 
-@_query("SELECT * FROM (VALUES ('patterns', 'duplicates,keys,profile,statistics,validation'), ('keys', 'profile,statistics,validation'), ('bivariate', 'profile,statistics,validation'), ('univariate', 'bivariate,statistics,validation')) t(stage, outdated)")
+@_query("SELECT stage, outdated, n FROM (VALUES ('missingness', 'duplicates,keys,profile,validation'), ('invalid_values', 'duplicates,keys,profile,validation'), ('univariate', 'validation')) t(stage, outdated), (SELECT count(*) FILTER (WHERE status IS NULL) AS a, count(*) FILTER (WHERE units > 12) AS b, count(*) FILTER (WHERE {rid} < 200) AS c FROM {sales}), LATERAL (SELECT CASE stage WHEN 'missingness' THEN a WHEN 'invalid_values' THEN b ELSE c END AS n)")
 def stage_states(s: SparkSession, d: str) -> DataFrame:
-    """Completed stages that a change of another makes outdated."""
+    """Completed stages that operations of a history make outdated, and how many cells or rows each changed."""
+    past = History.start(view(s, d, "sales"), scratch_path(s, "history"))
     out = []
-    for stage in ("patterns", "keys", "bivariate", "univariate"):
-        states = dict.fromkeys(stages.STAGES, "completed")
-        out.append((stage, ",".join(sorted(stages.demote(states, stage)))))
-    return _rows(s, out, "stage string, outdated string")
+    for op, stage, params in (("fill_null_constant", "missingness", {"column": "status", "value": "?"}), ("mask_values", "invalid_values", {"column": "units", "rule": {"type": "range", "max": 12}}), ("drop_rows", "univariate", {"row_ids": list(range(200))})):
+        for done in ("profile", "duplicates", "keys", "validation") if stage != "univariate" else ("missingness", "validation"):
+            past.mark(done, "completed")
+        before, states = past.working(), dict(past.states)
+        after = past.apply(op, params, stage)
+        changed = before.count() - after.count() or sum(r.n_changed for r in validate.changed_cells(before, after).collect())
+        out.append((stage, ",".join(sorted(k for k, v in past.states.items() if v == "outdated" and states[k] == "completed")), changed))
+    return _rows(s, out, "stage string, outdated string, n long")
 
 
 _STEPS = [
@@ -226,16 +266,16 @@ _STEPS = [
 ]
 
 
-@_query("SELECT * FROM (VALUES ('config.json'), ('report.html'), ('run.py')) t(file)")
+@_query("SELECT coalesce(status, '?') AS status, count(*) AS n, count(*) FILTER (WHERE units <= 12) AS n_units FROM {sales} GROUP BY 1")
 def bundle_manifest(s: SparkSession, d: str) -> DataFrame:
-    """Configuration, report and script in an archive with a manifest."""
-    files = {"config.json": sinks.config_json(_STEPS), "report.html": sinks.html_report("t", {"rows": 1}, _STEPS), "run.py": sinks.script(_STEPS, {})}
-    with tempfile.TemporaryDirectory() as folder:  # an archive of small texts is a file of the driver's
-        sinks.bundle(files, os.path.join(folder, "b.zip"))
-        with zipfile.ZipFile(os.path.join(folder, "b.zip")) as archive:
-            names = json.loads(archive.read("manifest.json"))
-            assert set(archive.namelist()) == {*names, "manifest.json"}
-    return _rows(s, [(n,) for n in names], "file string")
+    """Configuration, report and script of a table in an archive on the shared store, read back and replayed on the table."""
+    df, path = view(s, d, "sales"), f"{scratch_path(s, 'bundle')}.zip"
+    sinks.bundle({"config.json": sinks.config_json(_STEPS), "report.html": sinks.html_report("sales", {"rows": df.count()}, _STEPS), "run.py": sinks.script(_STEPS, {})}, path)
+    with zipfile.ZipFile(io.BytesIO(store.read_bytes(s, path))) as archive:
+        assert set(archive.namelist()) == {*json.loads(archive.read("manifest.json")), "manifest.json"}
+        steps = json.loads(archive.read("config.json"))["operations"]
+    done = replay(df, [OperationSpec.from_dict(x) for x in steps])
+    return done.groupBy("status").agg(F.count("*").alias("n"), F.count("units").alias("n_units"))
 
 
 @_query("SELECT {rid} AS rid, coalesce(status, '?') AS status, CASE WHEN units > 12 THEN NULL ELSE units END AS units FROM {sales}")
@@ -247,7 +287,7 @@ def config_replay(s: SparkSession, d: str) -> DataFrame:
     return df.select(qcol(ROW_ID).alias("rid"), "status", "units")
 
 
-@_query("SELECT * FROM (VALUES ('assessments made', 2), ('operations', 1), ('warnings', 1), ('exported', 1)) t(what, n)")
+@_query("SELECT * FROM (SELECT 'rows assessed' AS what, 2 * count(*) AS n FROM {sales} UNION ALL SELECT 'operations', 1 UNION ALL SELECT 'warnings', 1 UNION ALL SELECT 'exported rows', (SELECT count(*) FROM {sales}) UNION ALL SELECT 'report', 1)")
 def project_flow(s: SparkSession, d: str) -> DataFrame:
     """Cached assessments, an operation, a key that doesn't hold, an excluded item."""
     project = Project(s, scratch_path(s, "project"))
@@ -259,7 +299,10 @@ def project_flow(s: SparkSession, d: str) -> DataFrame:
     item.assess("profile", lambda df: made.append(df.count()))
     item.declare_key(["customer"])
     project.set_status("parts", "excluded")
-    return _rows(s, [("assessments made", len(made)), ("operations", item.history.pointer), ("warnings", len(project.warnings())), ("exported", len(project.exported()))], "what string, n int")
+    project = Project.open(s, project.folder)  # from its folder alone
+    out = project.export(["csv", "report"], acknowledged=True)
+    rows = [("rows assessed", sum(made)), ("operations", project.items["sales"].history.pointer), ("warnings", len(project.warnings())), ("exported rows", s.read.option("header", True).csv(out["sales.csv"]).count()), ("report", int("declared" in out["sales.html"] or "key" in out["sales.html"]))]
+    return _rows(s, rows, "what string, n long")
 
 
 @_query("SELECT {rid} AS rid, coalesce(status, '?') AS status, CASE WHEN units > 12 THEN NULL ELSE units END AS units FROM {sales}")

@@ -12,10 +12,11 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrubjay.functions.columns import MISSING_MARKERS
-from scrubjay.plans import duplicates, outliers, validate
+from scrubjay.functions.columns import MISSING_MARKERS, qcol
+from scrubjay.plans import duplicates, outliers, stages, validate
 from scrubjay.plans.lineage import History
 from scrubjay.plans.outliers import OutlierLog
+from scrubjay.session import ROW_ID
 from scrubjay.sources import excel, sinks
 from scrubjay.sources.csv import read_csv
 from scrubjay.sources.store import Journal
@@ -64,17 +65,30 @@ class Item:
 
     # what is read
 
-    def assess(self, stage: str, make: Callable[[DataFrame], object]) -> object:
-        """An assessment of the working frame, made once for each point of the history; the stage is then completed."""
-        at = (stage, self.history.pointer, tuple(s.op_id for s in self.history.specs[: self.history.pointer]))
+    def assess(self, stage: str, make: Callable[[DataFrame], object], columns: Iterable[str] | None = None) -> object:
+        """An assessment of the working frame, made once for each state of it; the stage is then completed.
+
+        One that reads some columns only gets those (and the row ids), and is
+        made anew only after an operation that changes one of them or drops
+        rows.
+        """
+        read = None if columns is None else tuple(columns)
+        done = self.history.specs[: self.history.pointer]
+        touching = [s.op_id for s in done if read is None or (own := stages.writes(s.op_type, s.params)) is None or own & set(read)]
+        at = (stage, read, tuple(touching))
         if at not in self._cache:
-            self._cache[at] = make(self.history.working())
+            df = self.history.working()
+            self._cache[at] = make(df if read is None else df.select(ROW_ID, *map(qcol, read)))
             while len(self._cache) > MOST_CACHED:
                 self._cache.popitem(last=False)
         self._cache.move_to_end(at)
         self.history.mark(stage, "completed")
         return self._cache[at]
 
+    def assess_columns(self, stage: str, make: Callable[[DataFrame], object], columns: Iterable[str]) -> dict[str, object]:
+        """An assessment for each column by itself; an operation on one of them leaves the others' in place."""
+        return {c: self.assess(stage, make, [c]) for c in columns}
+
     def preview(self, op_type: str, params: dict, most: int = 10) -> dict:
         """What an operation would change; nothing is recorded."""
         from scrubjay.operators import execute

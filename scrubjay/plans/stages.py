@@ -33,3 +33,19 @@ def demote(states: dict[str, str], stage: str) -> list[str]:
     for s in hit:
         states[s] = "outdated"
     return hit
+
+
+#: Operations that change which rows there are.
+ROWS = ("drop_rows", "merge_records", "resolve_duplicates")
+
+
+def writes(op_type: str, params: dict) -> set[str] | None:
+    """The columns that an operation changes, names that go and come included; None if rows go or it isn't known."""
+    if op_type in ROWS or (op_type == "treat_missing" and params.get("method") == "drop_rows"):
+        return None
+    if op_type == "rename_column":
+        return {params["from"], params["to"]}
+    if op_type == "rename_columns":
+        return {*params["mapping"], *params["mapping"].values()}
+    named = [params["column"]] if params.get("column") else list(params.get("columns") or [])
+    return set(named) or None

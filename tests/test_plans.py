@@ -19,6 +19,7 @@ from scrubjay.functions.columns import MISSING_MARKERS, is_missing, missing_in
 from scrubjay.operators import OperationSpec, replay
 from scrubjay.plans import outliers, stages, validate
 from scrubjay.plans.lineage import History
+from scrubjay.plans.project import Project
 from scrubjay.session import ROW_ID, Scratch, configure, materialize, scratch_path
 from scrubjay.sources import csv, excel, preview, sinks, store
 from scrubjay.streaming.ops import clean_stream
@@ -314,8 +315,6 @@ def test_writers_race_for_a_version(spark, tmp_path):
 
 
 def test_project(spark, tmp_path):
-    from scrubjay.plans.project import Project
-
     project = Project(spark, str(tmp_path / "p"))
     item = project.add("people", frame(spark, "k long, v double", [(1, 10.0), (1, 10.0), (2, 11.0)] + [(i, 10.0 + i % 3) for i in range(3, 20)] + [(99, 5000.0)]))
     project.add("other", frame(spark, "a string", ["x"]))
@@ -367,6 +366,34 @@ def test_project(spark, tmp_path):
         project.set_status("other", "odd")
 
 
+def test_operations_outdate_what_reads_their_columns(spark, tmp_path):
+    """Jobs are counted: a cached assessment runs none."""
+    item = Project(spark, str(tmp_path / "p")).add("t", frame(spark, "a string, b long, c long", [("x", 1, 1), (None, None, 2), ("x", 3, 3)]))
+    sc, names = spark.sparkContext, ["a", "b", "c"]
+
+    def assess():
+        sc.setJobGroup(f"assess-{item.history.pointer}-{random.random()}", "")
+        group = sc.getLocalProperty("spark.jobGroup.id")
+        found = item.assess_columns("missingness", lambda df: df.agg(F.count_if(F.col(df.columns[1]).isNull())).first()[0], names)
+        jobs = len(sc.statusTracker().getJobIdsForGroup(group))
+        sc.setJobGroup("rest", "")
+        return found, jobs
+
+    found, all_three = assess()
+    assert found == {"a": 1, "b": 1, "c": 0} and all_three >= 3 and assess() == (found, 0)
+    item.apply("fill_null_constant", {"column": "a", "value": "y"})
+    found, one = assess()
+    assert found == {"a": 0, "b": 1, "c": 0} and one * 3 == all_three
+    item.history.undo()
+    assert assess() == ({"a": 1, "b": 1, "c": 0}, 0)  # as it was before
+    item.history.redo()
+    item.apply("drop_rows", {"row_ids": [1]})
+    assert assess() == ({"a": 0, "b": 0, "c": 0}, all_three)
+    item.apply("rename_columns", {"mapping": {"b": "c", "c": "b"}})
+    assert assess()[1] == one * 2
+    assert stages.writes("normalize", {"columns": ["a", "b"]}) == {"a", "b"} and stages.writes("treat_missing", {"column": "a", "method": "drop_rows"}) is None and stages.writes("odd", {}) is None
+
+
 def test_stages():
     states = dict.fromkeys(stages.STAGES, "completed")
     assert "validation" in stages.demote(states, "types") and states["missingness"] == "completed"
