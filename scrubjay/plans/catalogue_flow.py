@@ -70,7 +70,7 @@ def csv_row_ids(s: SparkSession, d: str) -> DataFrame:
 @_query("SELECT {rid} AS rid, CASE WHEN {rid} % 3 = 0 THEN status || chr(10) || 'of \"' || priority || '\",' || chr(10) || 'end' ELSE priority END AS note, units FROM {sales}")
 def csv_quoted_lines(s: SparkSession, d: str) -> DataFrame:
     """Fields with line breaks, quotes and delimiters, written by the sink and read again in ranges."""
-    note = F.when(F.col(ROW_ID) % 3 == 0, F.concat("status", F.lit('\nof "'), "priority", F.lit('", \n'))).otherwise(F.col("priority"))
+    note = F.when(F.col(ROW_ID) % 3 == 0, F.concat("status", F.lit('\nof "'), "priority", F.lit('",\nend'))).otherwise(F.col("priority"))
     path = scratch_path(s, "quoted.csv")
     sinks.write_csv(view(s, d, "sales").select(qcol(ROW_ID).alias("rid"), note.alias("note"), "units"), path)
     return csv.read_csv(s, path, encoding="utf-8", delimiter=",").select(F.col("rid").cast("long").alias("rid"), "note", F.col("units").cast("int").alias("units"))
