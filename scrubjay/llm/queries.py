@@ -44,6 +44,7 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("clusters_cued="), matroska.clusters_cued(F.col("file"))),
             F.concat(F.lit("packet_table="), matroska.packet_digest(F.col("file"))),
         ).alias("feature"),
+        F.col("file.error").alias("error"),
     )
 
 

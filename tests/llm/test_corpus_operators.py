@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -406,6 +407,33 @@ def margin_of(machine, terms):
     return machine.bias + machine.weights[found].sum() + sum(float(v[i] @ v[j]) for i in range(len(found)) for j in range(i))
 
 
+def test_toxicity_step_by_hand():
+    """One step of fit over all rows is the gradient of the loss, worked out term by term."""
+    rng = random.Random(5)
+    terms = [11, 12, 13, 14]
+    texts = [np.array(rng.choices([*terms, 99], k=rng.randrange(1, 6)), np.int64) for _ in range(6)]
+    labels, odds = np.array([1, 0, 0, 1, 0, 0], float), {11: 0.5, 12: -0.2, 13: 0.0, 14: 1.0}
+    factors, rate, decay, n = 3, 0.1, 1e-3, len(labels)
+    got = toxicity.fit(texts, labels, odds, factors=factors, steps=1, batch=n, rate=rate, decay=decay, seed=7)
+    start = np.random.default_rng(7).normal(0, 0.01, (4, factors))
+    w, v, bias = {t: odds[t] for t in terms}, {t: start[i].tolist() for i, t in enumerate(terms)}, math.log((2 / 6) / (4 / 6))
+    db, dw, dv = 0.0, {t: decay * w[t] / n for t in terms}, {t: [decay * x / n for x in v[t]] for t in terms}
+    for text, label in zip(texts, labels, strict=True):
+        own = [t for t in text.tolist() if t in w]
+        margin = bias + sum(w[t] for t in own)
+        margin += sum(sum(a * b for a, b in zip(v[own[i]], v[own[j]], strict=True)) for i in range(len(own)) for j in range(i + 1, len(own)))
+        error = (1 / (1 + math.exp(-margin)) - label) / n
+        db += error
+        for i, t in enumerate(own):
+            dw[t] += error
+            for k in range(factors):
+                dv[t][k] += error * sum(v[u][k] for j, u in enumerate(own) if j != i)
+    step = lambda x, d: x - rate * d / math.sqrt(1e-8 + d * d)  # noqa: E731  Adagrad's first step
+    assert abs(got.bias - step(bias, db)) < 1e-9
+    for i, t in enumerate(terms):
+        assert abs(got.weights[i] - step(w[t], dw[t])) < 1e-9 and np.allclose(got.vectors[i], [step(a, d) for a, d in zip(v[t], dv[t], strict=True)], atol=1e-9)
+
+
 def test_toxicity_learns_pairs(spark):
     """A label that only a pair of words tells, with the query's own settings."""
     rng = random.Random(1)

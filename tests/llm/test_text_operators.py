@@ -80,6 +80,7 @@ def test_packet_table_and_query(spark, tmp_path):
     import zlib
 
     got = {r.doc_id: r for r in queries.op1_matroska(spark, str(tmp_path)).collect()}
+    assert {r.error for r in got.values()} == {None}
     assert len(got) == 2 * len(ODD)
     for i, text in enumerate([*ODD, *ODD]):
         data = (text or "").encode()
