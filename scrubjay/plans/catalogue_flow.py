@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import tempfile
 import zipfile
 
@@ -305,6 +306,37 @@ def project_flow(s: SparkSession, d: str) -> DataFrame:
     return _rows(s, rows, "what string, n long")
 
 
+@_query("SELECT {rid} AS rid, customer, units FROM {sales}")
+def csv_reread(s: SparkSession, d: str) -> DataFrame:
+    """A file read with a wrong delimiter, and read again with the right one as long as nothing is recorded."""
+    path = scratch_path(s, "again.csv")
+    view(s, d, "sales").select(qcol(ROW_ID).alias("rid"), "customer", "units").write.options(header=True, sep=";").csv(path)
+    item = Project(s, scratch_path(s, "project")).add("sales", csv.read_csv(s, path, "utf-8", ","))
+    assert len(item.history.working().columns) == 2
+    item.reread(s, path, "utf-8", ";")
+    return item.history.working().select(F.col("rid").cast("long").alias("rid"), F.col("customer").cast("long").alias("customer"), F.col("units").cast("int").alias("units"))
+
+
+@_query("SELECT * FROM (SELECT 'rows_before' AS what, count(*) AS n FROM {sales} UNION ALL SELECT 'rows_removed', count(*) FILTER (WHERE {rid} < 50) FROM {sales} UNION ALL SELECT 'cells_changed', count(*) FILTER (WHERE status IS NULL AND {rid} >= 50) FROM {sales} UNION ALL SELECT 'operations_applied', 2)")
+def export_report(s: SparkSession, d: str) -> DataFrame:
+    """Figures that an exported report shows, read from its HTML."""
+    project = Project(s, scratch_path(s, "project"))
+    item = project.add("sales", view(s, d, "sales"))
+    item.apply("fill_null_constant", {"column": "status", "value": "?"}, "missingness")
+    item.apply("drop_rows", {"row_ids": list(range(50))}, "duplicates")
+    text = project.export(["report"], acknowledged=True)["sales.html"]
+    names = ("rows_before", "rows_removed", "cells_changed", "operations_applied")
+    return _rows(s, [(n, int(re.search(f"<th>{n}</th><td>([0-9]+)</td>", text).group(1))) for n in names], "what string, n long")
+
+
+@_query("SELECT {rid} AS rid, status AS before, '?' AS after FROM {sales} WHERE status IS NULL ORDER BY {rid} LIMIT 10")
+def preview_examples(s: SparkSession, d: str) -> DataFrame:
+    """The first rows by id that an operation would change."""
+    df = view(s, d, "sales").select(ROW_ID, "status")
+    found = validate.preview(df, execute(df, "fill_null_constant", {"column": "status", "value": "?"}))
+    return _rows(s, [(x["row_id"], x["before"]["status"], x["after"]["status"]) for x in found["examples"]], "rid long, before string, after string")
+
+
 @_query("SELECT {rid} AS rid, coalesce(status, '?') AS status, CASE WHEN units > 12 THEN NULL ELSE units END AS units FROM {sales}")
 def stream_clean(s: SparkSession, d: str) -> DataFrame:
     """The same operations on a stream that takes all there is and stops."""
