@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scrubjay.assessments.profile import data_columns
+from scrubjay.functions import stats
 from scrubjay.functions.columns import FALSE_WORDS, MISSING_MARKERS, TRUE_WORDS, is_missing, is_numeric, is_text, missing_in, number, qcol, strip_ws, title_case
 from scrubjay.operators.types import PLAIN_NUMBER, WITH_UNIT, rule_violated, unit_parts
 from scrubjay.session import ROW_ID
@@ -204,9 +205,8 @@ def units(df: DataFrame, name: str, markers: Iterable[str] = MISSING_MARKERS, sa
     rows = unit_groups(df, name, markers).collect()
     named = [r for r in rows if r.unit]
     unit, value = unit_parts(qcol(name))
-    seen = df.where(~missing_in(df, name, markers) & value.isNotNull()).select(unit.alias("unit"), qcol(name).alias("v")).distinct()
-    first = Window.partitionBy("unit").orderBy("v")
-    some = seen.where(F.col("unit") != "").withColumn("k", F.row_number().over(first)).where(F.col("k") <= samples).collect()
+    seen = df.where(~missing_in(df, name, markers) & value.isNotNull() & (unit != "")).select(unit.alias("unit"), qcol(name).alias("v"))
+    some = stats.smallest(seen, "unit", "v", samples).collect() if named else []
     shown_of = {u: sorted(r.v for r in some if r.unit == u) for u in {r.unit for r in some}}
     groups = [r.asDict() | {"factors": FACTORS.get(r.unit, {}), "samples": shown_of.get(r.unit, [])} for r in sorted(named, key=lambda r: (-r.n, r.unit))]
     unmatched = next((r.n for r in rows if r.unit is None), 0)

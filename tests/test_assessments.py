@@ -264,3 +264,9 @@ def test_special_characters_shuffle_no_texts(spark):
     found = profile.special_chars(frame(spark, "note string", rows[::-1]), samples=2).collect()
     got = {r.char: (r.n, r.samples) for r in found}
     assert got == {"#": (35, ["c~#", "a#b#"]), "~": (1, ["c~#"])}
+
+
+def test_smallest_values_of_each_key(spark):
+    rows = [("a", v) for v in "dbbcaacd"] + [("b", "x")] * 5 + [(None, "q"), (None, None), ("c", None)]
+    got = stats.smallest(frame(spark, "u string, v string", rows), "u", "v", 3).collect()
+    assert sorted(((r.u or "-", r.v) for r in got)) == [("-", "q"), ("a", "a"), ("a", "b"), ("a", "c"), ("b", "x")]
