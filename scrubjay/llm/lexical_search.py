@@ -215,13 +215,14 @@ def candidates(index: Index, own: DataFrame, least: DataFrame, k: int, prunable:
     bounded = own.join(least, "item").withColumn("rest", F.sum("most").over(falling))
     bounded = materialize(bounded.select("item", "term", "w", "most", "least", (F.col("rest") >= F.col("least") * F.lit(prunable)).alias("needed")), "bounds")
     rest = F.coalesce(F.sum(F.when(~F.col("needed"), F.col("most"))), F.lit(0))
-    pruned = bounded.groupBy("item").agg(F.first("least").alias("least"), rest.alias("rest"), (F.sum("most") / GRAIN + 1).cast("long").alias("width"))
+    # a row for each item, written so that its size is known: an item's documents needn't meet for the joins
+    pruned = materialize(bounded.groupBy("item").agg(F.first("least").alias("least"), rest.alias("rest"), (F.sum("most") / GRAIN + 1).cast("long").alias("width")), "pruned")
     found = materialize(sums(index, bounded.where("needed")), "sums")
     # the k-th sum, rounded down: a thousand steps an item
     steps = found.join(pruned, "item").groupBy("item", "width", F.floor(F.col("part") / F.col("width")).alias("step")).agg(F.count("*").alias("n"))
     upto = steps.withColumn("upto", F.sum("n").over(Window.partitionBy("item").orderBy(F.desc("step"))))
     kth = upto.where(F.col("upto") >= k).groupBy("item").agg(F.max(F.col("step") * F.col("width")).alias("kth"))
-    bounds = pruned.join(kth, "item", "left").select("item", "rest", F.greatest("least", F.coalesce("kth", F.lit(0))).alias("least"))
+    bounds = materialize(pruned.join(kth, "item", "left").select("item", "rest", F.greatest("least", F.coalesce("kth", F.lit(0))).alias("least")), "thresholds")
     return found.join(bounds, "item").where(F.col("part") + F.col("rest") >= F.col("least")).select("item", "row")
 
 
