@@ -88,6 +88,8 @@ def signed(rows: DataFrame, groups: list[list[str]], g: int, blocks: list[str])
 
 def joined_pairs(df: DataFrame, columns: list[str], blocking: list[str], need: int) -> int:
     """Pairs of rows that near_pairs compares, from the signatures' counts."""
+    if need == len(columns):  # one signature, of all fields
+        return _pairs_in(df, [*blocking, *columns])
     groups, g = groups_of(df, columns, need)
     return _pairs_in(signed(df, groups, g, blocking).select("s", "h"), ["s", "h"])
 
@@ -103,7 +105,7 @@ def estimate(df: DataFrame, columns: list[str], blocking: list[str] = (), thresh
     need = need_of(threshold, len(columns))
     joined = joined_pairs(rows, columns, blocking, need)
     if threshold == 100:
-        pairs = _pairs_in(rows, [*blocking, *columns])
+        pairs = joined
     elif blocking:
         pairs = _pairs_in(rows, blocking)
     else:
