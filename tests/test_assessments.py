@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from scrubjay.assessments import keys, profile, text, typing
 from scrubjay.functions import stats
 from scrubjay.operators import execute
-from scrubjay.plans import duplicates
+from scrubjay.plans import catalogue, duplicates
 from scrubjay.session import ROW_ID
 from tests.helpers import frame
 
@@ -188,6 +188,41 @@ def test_a_constant_column_costs_nothing(spark, threshold):
         assert duplicates.near_pairs(rows, ["b"], ["a"], threshold).count() == copies
 
 
+@pytest.mark.parametrize("threshold", [80, 100])
+def test_clusters_by_lists(spark, monkeypatch, threshold):
+    """Lists of two rows: a group runs over several of them, and over several tasks."""
+    import random
+
+    monkeypatch.setattr(duplicates, "MOST_LISTED", 2)
+    rng = random.Random(3)
+    rows = [tuple(rng.choice(["p", "q", None, "N/A"]) if rng.random() < 0.3 else "p" for _ in range(5)) for _ in range(60)]
+    df = frame(spark, "c1 string, c2 string, c3 string, c4 string, c5 string", rows, 4)
+    columns = [f"c{i}" for i in range(1, 6)]
+    need = duplicates.need_of(threshold, 5)
+    pairs = duplicates.near_pairs(df, columns, [], threshold)
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted(brute_pairs(rows, need))
+    key = lambda r: (r.representative, r.member, r.score_pct, tuple(r.matching), tuple(r.differing))
+    found = duplicates.cluster_members(duplicates.cluster_lists(df, columns, [], threshold))
+    assert sorted(map(key, found.collect())) == sorted(map(key, duplicates.clusters(df, pairs, columns).collect()))
+    shown = duplicates.cluster_members(duplicates.cluster_lists(df, columns[:3], ["c5"], 100, ["c4"])).collect()
+    assert {(r.representative, r.member) for r in shown} == {p for a, b, _ in brute_pairs([(*r[:3], r[4]) for r in rows], 4) for p in ((a, b), (b, a))}
+    assert {(len(r.matching), len(r.differing)) for r in shown} == {(1, 0), (0, 1)}
+
+
+def parts_of_a_kind(spark, path, n):
+    """``n`` parts alike but for their ids; two of three are without a type."""
+    spark.range(n).selectExpr("id AS p_partkey", "'b' AS p_brand", "'t' AS p_type", "1 AS p_size", "CAST(id AS STRING) AS p_name").write.parquet(f"{path}/part.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["dup_cluster_columns"])
+def test_pairs_are_joined_with_nothing(spark, tmp_path, name):
+    found = catalogue.queries()[name](spark, parts_of_a_kind(spark, tmp_path, 900))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert found.count() == sum(n * (n - 1) for n in (300, 600))
+
+
 def test_guard_goes_by_the_join(spark):
     rows = spark.range(9000).selectExpr("id AS __rid", "'x' AS a", "'y' AS b")
     with pytest.raises(ValueError):
