@@ -189,7 +189,7 @@ _BLOCKED = f"SELECT x.rid AS a, y.rid AS b FROM {_PARTS} x JOIN {_PARTS} y ON x.
 
 @_query(f"SELECT representative, count(*) AS n_members FROM (SELECT a AS representative FROM ({_BLOCKED}) UNION ALL SELECT b FROM ({_BLOCKED})) GROUP BY 1")
 def dup_cluster_sizes(s: SparkSession, d: str) -> DataFrame:
-    return duplicates.cluster_sizes(duplicates.near_pairs(view(s, d, "parts").drop("name"), _DUP, ["brand"], 100))
+    return duplicates.linked(view(s, d, "parts").drop("name"), _DUP, ["brand"], 100)
 
 
 @_query(f"SELECT a, b, CASE WHEN size_a = size_b THEN 'brand,type,size' ELSE 'brand,type' END AS matching, CASE WHEN size_a = size_b THEN '' ELSE 'size' END AS differing FROM (SELECT x.rid AS a, y.rid AS b, x.size AS size_a, y.size AS size_b FROM {_PARTS} x JOIN {_PARTS} y ON x.brand = y.brand AND x.rid <> y.rid AND x.type IS NOT DISTINCT FROM y.type)")

@@ -209,6 +209,19 @@ def test_clusters_by_lists(spark, monkeypatch, threshold):
     assert {(len(r.matching), len(r.differing)) for r in shown} == {(1, 0), (0, 1)}
 
 
+@pytest.mark.parametrize("threshold", [80, 100])
+def test_links_are_counted_without_pairs(spark, threshold):
+    import random
+
+    rng = random.Random(4)
+    rows = [tuple(rng.choice(["p", "q", None, "N/A"]) if rng.random() < 0.4 else "p" for _ in range(5)) for _ in range(60)]
+    df = frame(spark, "c1 string, c2 string, c3 string, c4 string, c5 string", rows)
+    columns = [f"c{i}" for i in range(1, 6)]
+    for own, blocking in ((columns, []), (columns, ["c1"])):
+        expected = duplicates.cluster_sizes(duplicates.near_pairs(df, own, blocking, threshold)).collect()
+        assert expected and duplicates.linked(df, own, blocking, threshold).collect() == expected
+
+
 def parts_of_a_kind(spark, path, n):
     """``n`` parts alike but for their ids; two of three are without a type."""
     spark.range(n).selectExpr("id AS p_partkey", "'b' AS p_brand", "'t' AS p_type", "1 AS p_size", "CAST(id AS STRING) AS p_name").write.parquet(f"{path}/part.parquet")
@@ -223,6 +236,12 @@ def test_pairs_are_joined_with_nothing(spark, tmp_path, name):
     assert found.count() == sum(n * (n - 1) for n in (300, 600))
 
 
+def test_sizes_beyond_the_guard(spark, tmp_path):
+    """40 million pairs."""
+    sizes = catalogue.queries()["dup_cluster_sizes"](spark, parts_of_a_kind(spark, tmp_path, 12_000))
+    assert {tuple(r) for r in sizes.groupBy("n_members").count().collect()} == {(n - 1, n) for n in (4000, 8000)}
+
+
 def test_guard_goes_by_the_join(spark):
     rows = spark.range(9000).selectExpr("id AS __rid", "'x' AS a", "'y' AS b")
     with pytest.raises(ValueError):
