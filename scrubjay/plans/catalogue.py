@@ -280,7 +280,7 @@ def _lines(s: SparkSession, d: str) -> DataFrame:
 
 _add("dup_class_pairs", lambda s, d: duplicates.class_pairs(_lines(s, d), ["status", "priority", "u", "l", "m"], ["c"], 80, guard=False), f"SELECT * FROM ({_LINES_PAIRS}) WHERE matches >= 4")
 _add("dup_class_members", lambda s, d: duplicates.class_members(view(s, d, "parts"), ["brand", "type"]).toDF("rid", "class_id"), f"SELECT rid, min(rid) OVER (PARTITION BY brand, type) AS class_id FROM {_PARTS}")
-_add("dup_clusters", lambda s, d: duplicates.clusters(view(s, d, "parts"), duplicates.near_pairs(view(s, d, "parts"), _DUP, [], 80, guard=False), _DUP).select("representative", "member", F.col("score_pct").cast("long").alias("score_pct")), f"SELECT a AS representative, b AS member, CAST(100 AS BIGINT) AS score_pct FROM ({_PAIRS}) WHERE matches = 3 UNION ALL SELECT b, a, CAST(100 AS BIGINT) FROM ({_PAIRS}) WHERE matches = 3")
+_add("dup_clusters", lambda s, d: duplicates.cluster_members(duplicates.cluster_lists(view(s, d, "parts"), _DUP, [], 80)).select("representative", "member", F.col("score_pct").cast("long").alias("score_pct")), f"SELECT a AS representative, b AS member, CAST(100 AS BIGINT) AS score_pct FROM ({_PAIRS}) WHERE matches = 3 UNION ALL SELECT b, a, CAST(100 AS BIGINT) FROM ({_PAIRS}) WHERE matches = 3")
 for _how, _pick in (("keep_first", "rid"), ("keep_last", "rid DESC"), ("keep_most_complete", "CAST(known AS INT) DESC, rid")):
     _add(f"dup_{_how}", (lambda how: lambda s, d: duplicates.resolve(view(s, d, "parts"), ["brand", "size"], how).select(qcol(ROW_ID).alias("rid")))(_how), f"SELECT rid FROM (SELECT rid, row_number() OVER (PARTITION BY brand, size ORDER BY {_pick}) AS r FROM (SELECT *, type IS NOT NULL AS known FROM {_PARTS})) WHERE r = 1")
 

@@ -228,7 +228,7 @@ def parts_of_a_kind(spark, path, n):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["dup_cluster_columns"])
+@pytest.mark.parametrize("name", ["dup_cluster_columns", "dup_clusters"])
 def test_pairs_are_joined_with_nothing(spark, tmp_path, name):
     found = catalogue.queries()[name](spark, parts_of_a_kind(spark, tmp_path, 900))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
