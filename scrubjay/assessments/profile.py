@@ -252,10 +252,11 @@ def missingness(df: DataFrame, markers: Iterable[str] = MISSING_MARKERS) -> list
     return out
 
 
-def unimputable_groups(df: DataFrame, name: str, group_by: list[str], markers: Iterable[str] = MISSING_MARKERS, most: int = 50) -> DataFrame:
-    """Groups in which a column has no value at all (a report of ``most`` groups)."""
+def unimputable_groups(df: DataFrame, name: str, group_by: list[str], markers: Iterable[str] = MISSING_MARKERS, most: int | None = None) -> DataFrame:
+    """Groups in which a column has no value at all, in order; ``most`` makes it a report of the first ones."""
     there = F.count_if(~missing_in(df, name, markers)).alias("n_observed")
-    return df.groupBy(*(qcol(k) for k in group_by)).agg(F.count("*").alias("n_rows"), there).where("n_observed = 0").orderBy(*(qcol(k) for k in group_by)).limit(most)
+    found = df.groupBy(*(qcol(k) for k in group_by)).agg(F.count("*").alias("n_rows"), there).where("n_observed = 0").orderBy(*(qcol(k) for k in group_by))
+    return found if most is None else found.limit(most)
 
 
 def numeric_view(df: DataFrame, name: str, markers: Iterable[str] = MISSING_MARKERS) -> Column:

@@ -117,6 +117,14 @@ def test_exact_duplicates(spark):
     assert [r[0] for r in duplicates.resolve(full, ["k"], "keep_most_complete").select(ROW_ID).collect()] == [2]
 
 
+def test_all_unimputable_groups(spark, tmp_path):
+    """More groups than a report of 10,000 had."""
+    spark.range(80_000).selectExpr("id AS o_orderkey", "id AS o_custkey", "'F' AS o_orderstatus", "1.5D AS o_totalprice", "DATE '2024-01-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    found = catalogue.queries()["unimputable_groups"](spark, str(tmp_path))
+    expected = [i for i in range(80_000) if i % 7 == 0 or i % 10 == 3]
+    assert [(r.customer, r.n_rows, r.n_observed) for r in found.collect()] == [(i, 1, 0) for i in expected]
+
+
 def brute_pairs(rows, need, block=()):
     norm = lambda v: None if v is None or (isinstance(v, str) and v.strip().lower() in ("n/a", "")) else v
     out = set()
