@@ -82,16 +82,18 @@ def format_mask(c: Column) -> Column:
 def column_formats(df: DataFrame, names: Iterable[str], markers: Iterable[str] = MISSING_MARKERS) -> dict[str, dict]:
     """Date formats of text columns by all their values: kind, format, how many values fit it and how many don't, examples of those.
 
-    One aggregate counts the masks of all columns, a few hundred at most; the
-    formats that fit the most frequent masks together are left, the first of
-    them is the column's.
+    Values are counted first, so formats are tried once for each distinct one.
+    One aggregate then counts the masks of all columns, a few hundred at most;
+    the formats that fit the most frequent masks together are left, the first
+    of them is the column's.
     """
     names, markers = list(names), list(markers)
     if not names:
         return {}
-    cells = F.array(*(F.when(~is_missing(qcol(c), markers), F.struct(F.lit(i).alias("i"), format_mask(qcol(c)).alias("mask"), qcol(c).cast("string").alias("v"))) for i, c in enumerate(names)))
-    each = df.select(F.explode(F.array_compact(cells)).alias("c")).select("c.*")
-    rows = each.groupBy("i", "mask").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("greatest")).collect()
+    cells = F.array(*(F.when(qcol(c).isNotNull(), F.struct(F.lit(i).alias("i"), qcol(c).cast("string").alias("v"))) for i, c in enumerate(names)))
+    each = df.select(F.explode(F.array_compact(cells)).alias("c")).groupBy("c.i", "c.v").agg(F.count("*").alias("n"))
+    there = each.where(~is_missing(F.col("v"), markers)).select("i", "v", "n", format_mask(F.col("v")).alias("mask"))
+    rows = there.groupBy("i", "mask").agg(F.sum("n").alias("n"), F.min("v").alias("least"), F.max("v").alias("greatest")).collect()
     out = {}
     for i, name in enumerate(names):
         masks = sorted(((r.n, r.mask, [r.least, r.greatest]) for r in rows if r.i == i), key=lambda x: (-x[0], x[1]))

@@ -117,6 +117,20 @@ def test_exact_duplicates(spark):
     assert [r[0] for r in duplicates.resolve(full, ["k"], "keep_most_complete").select(ROW_ID).collect()] == [2]
 
 
+def test_formats_are_tried_once_a_value(spark, monkeypatch):
+    tried = spark.sparkContext.accumulator(0)
+
+    def count(v):
+        tried.add(1)
+        return 1
+
+    df = spark.range(2000, numPartitions=2).selectExpr("id AS __rid", "'2024-01-0' || (1 + id % 5) AS a", "CASE WHEN id % 2 = 0 THEN 'N/A' ELSE '0' || (id % 3) || '.01.2024' END AS b")
+    assert {c: (x["format"], x["n"], x["n_misfits"]) for c, x in typing.column_formats(df, ["a", "b"]).items()} == {"a": ("%Y-%m-%d", 2000, 0), "b": ("%d.%m.%Y", 1000, 333)}
+    monkeypatch.setattr(typing, "format_mask", lambda c: F.udf(count, "long")(c))
+    assert typing.column_formats(df, ["a", "b"])["a"]["n"] == 2000
+    assert 0 < tried.value <= 9
+
+
 def test_all_unimputable_groups(spark, tmp_path):
     """More groups than a report of 10,000 had."""
     spark.range(80_000).selectExpr("id AS o_orderkey", "id AS o_custkey", "'F' AS o_orderstatus", "1.5D AS o_totalprice", "DATE '2024-01-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
