@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Callable, Iterable
+import copy
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,16 +76,32 @@ class Item:
         read = None if columns is None else tuple(columns)
         done = self.history.specs[: self.history.pointer]
         touching = [s.op_id for s in done if read is None or (own := stages.writes(s.op_type, s.params)) is None or own & set(read)]
-        at = (stage, read, tuple(touching))
-        if at not in self._cache:
+        def made() -> object:
             df = self.history.working()
-            self._cache[at] = make(df if read is None else df.select(ROW_ID, *map(qcol, read)))
+            return make(df if read is None else df.select(ROW_ID, *map(qcol, read)))
+
+        found = self._kept((stage, read, tuple(touching)), made)
+        self.history.mark(stage, "completed")
+        return found
+
+    def _kept(self, at: tuple, make: Callable[[], object]) -> object:
+        """What is kept for a state, made if it isn't there."""
+        if at not in self._cache:
+            self._cache[at] = make()
             while len(self._cache) > MOST_CACHED:
                 self._cache.popitem(last=False)
         self._cache.move_to_end(at)
-        self.history.mark(stage, "completed")
         return self._cache[at]
 
+    def _figures(self, what: str, make: Callable[[], dict], *of) -> dict:
+        """Figures of the working frame that hold until an operation is applied or undone; a copy, as they are handed out."""
+        done = tuple(s.op_id for s in self.history.specs[: self.history.pointer])
+        return copy.deepcopy(self._kept(("figures", what, done, *of), make))
+
+    def _key_figures(self, markers: Iterable[str]) -> dict:
+        key, markers = list(self.key), tuple(markers)
+        return self._figures("key", lambda: validate.key_figures(self.history.working(), key, markers), tuple(key), markers)
+
     def assess_columns(self, stage: str, make: Callable[[DataFrame], object], columns: Iterable[str]) -> dict[str, object]:
         """An assessment for each column by itself; an operation on one of them leaves the others' in place."""
         return {c: self.assess(stage, make, [c]) for c in columns}
@@ -114,11 +131,9 @@ class Item:
 
     def declare_key(self, columns: list[str]) -> dict:
         """Remember the key; validation checks it again."""
-        from scrubjay.assessments.keys import key_summary
-
         self.key = columns
         self.save()
-        return key_summary(self.history.working(), columns).first().asDict()
+        return self._key_figures(MISSING_MARKERS)
 
     def screen_outliers(self, name: str, method: str = "iqr", params: dict | None = None) -> dict:
         """Screen a column and keep its flagged rows as a table."""
@@ -184,8 +199,11 @@ class Item:
     # what leaves
 
     def validate(self, markers: Iterable[str] = MISSING_MARKERS) -> dict:
-        h = self.history
-        out = validate.validate(h.original(), h.working(), self.key, self.outliers.unresolved(spark=h.spark), h.states, h.pointer, len(h.specs) - h.pointer, markers)
+        """The summary of the item; the tables are read once for each state of it."""
+        h, markers = self.history, tuple(markers)
+        measured = self._figures("tables", lambda: validate.figures(h.original(), h.working(), markers), markers)
+        key_found = self._key_figures(markers) if self.key else None
+        out = validate.summary(measured, self.key, key_found, self.outliers.unresolved(spark=h.spark), h.states, h.pointer, len(h.specs) - h.pointer)
         h.mark("validation", "completed")
         return out
 

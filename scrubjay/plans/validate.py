@@ -17,12 +17,6 @@ from scrubjay.functions.columns import MISSING_MARKERS, any_of, float_text, miss
 from scrubjay.session import ROW_ID, materialize
 
 
-def missing_total(df: DataFrame, markers: Iterable[str] = MISSING_MARKERS) -> int:
-    names = data_columns(df)
-    row = df.agg(*(F.count_if(missing_in(df, c, markers)).alias(f"m{i}") for i, c in enumerate(names))).first()
-    return sum(row)
-
-
 def duplicate_rows(df: DataFrame) -> int:
     """Rows beyond the first of each group alike in all columns."""
     names = data_columns(df)
@@ -106,23 +100,46 @@ def preview(before: DataFrame, after: DataFrame, most: int = 10) -> dict:
     }
 
 
-def validate(original: DataFrame, working: DataFrame, key: list[str] | None = None, unresolved_outliers: int = 0, states: dict | None = None, applied: int = 0, undone: int = 0, markers: Iterable[str] = MISSING_MARKERS) -> dict:
-    """The summary that goes with a result, and what to be warned of."""
+def _sizes(df: DataFrame, markers: Iterable[str]) -> tuple[int, int]:
+    """Rows and missing cells, in one pass."""
+    gone = sum((missing_in(df, c, markers).cast("long") for c in data_columns(df)), F.lit(0).cast("long"))
+    n, missing = df.agg(F.count("*"), F.coalesce(F.sum(gone), F.lit(0))).first()
+    return n, missing
+
+
+def figures(original: DataFrame, working: DataFrame, markers: Iterable[str] = MISSING_MARKERS) -> dict:
+    """What both frames have to be read for; it stays as long as the operations do."""
+    markers = list(markers)
     cells, rows = change_totals(original, working)
-    n0, n1 = original.count(), working.count()
+    (n0, missing0), (n1, missing1) = _sizes(original, markers), _sizes(working, markers)
     names0, names1 = data_columns(original), data_columns(working)
-    out = {
+    return {
         "rows_before": n0,
         "rows_after": n1,
         "rows_removed": n0 - n1,
         "columns_removed": [c for c in names0 if c not in names1],
         "columns_added": [c for c in names1 if c not in names0],
-        "missing_before": missing_total(original, markers),
-        "missing_after": missing_total(working, markers),
+        "missing_before": missing0,
+        "missing_after": missing1,
         "duplicates_before": duplicate_rows(original),
         "duplicates_after": duplicate_rows(working),
         "cells_changed": cells,
         "rows_changed": rows,
+    }
+
+
+def key_figures(working: DataFrame, key: list[str], markers: Iterable[str] = MISSING_MARKERS) -> dict:
+    return key_summary(working, key, markers).first().asDict()
+
+
+def validate(original: DataFrame, working: DataFrame, key: list[str] | None = None, unresolved_outliers: int = 0, states: dict | None = None, applied: int = 0, undone: int = 0, markers: Iterable[str] = MISSING_MARKERS) -> dict:
+    """The summary that goes with a result, and what to be warned of."""
+    return summary(figures(original, working, markers), key, key_figures(working, key, markers) if key else None, unresolved_outliers, states, applied, undone)
+
+
+def summary(measured: dict, key: list[str] | None = None, key_found: dict | None = None, unresolved_outliers: int = 0, states: dict | None = None, applied: int = 0, undone: int = 0) -> dict:
+    """validate's result from figures and key_figures."""
+    out = measured | {
         "outliers_unresolved": unresolved_outliers,
         "operations_applied": applied,
         "operations_undone": undone,
@@ -130,8 +147,7 @@ def validate(original: DataFrame, working: DataFrame, key: list[str] | None = No
     }
     warnings = []
     if key:
-        found = key_summary(working, key, markers).first().asDict()
-        out["key"] = {"columns": key, **found, "holds": found["missing_rows"] == found["identical_groups"] == found["conflicting_groups"] == 0}
+        out["key"] = {"columns": key, **key_found, "holds": key_found["missing_rows"] == key_found["identical_groups"] == key_found["conflicting_groups"] == 0}
         if not out["key"]["holds"]:
             warnings.append("the declared key doesn't hold")
     if unresolved_outliers:

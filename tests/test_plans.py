@@ -629,3 +629,25 @@ def test_script_replays(spark, tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, str(tmp_path / "run.py"), str(tmp_path / "a.csv"), str(tmp_path / "out")], check=True, timeout=180, env=os.environ | {"PYTHONPATH": root}, capture_output=True)
     assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "out")).collect()] == [("x", "1")]
+
+
+def test_an_export_reads_its_tables_once(spark, tmp_path, monkeypatch):
+    """Gate, report and warnings go by the same figures until an operation is applied."""
+    from scrubjay.assessments import keys
+
+    read = []
+    totals, summary = validate.change_totals, keys.key_summary
+    monkeypatch.setattr(validate, "change_totals", lambda a, b: read.append("totals") or totals(a, b))
+    for module in (keys, validate):
+        monkeypatch.setattr(module, "key_summary", lambda *x: read.append("key") or summary(*x))
+    project = Project(spark, str(tmp_path / "p"))
+    item = project.add("t", frame(spark, "a string, b long", [("x", 1), (None, 2), ("x", 3)]))
+    item.declare_key(["a"])
+    project.export(["report"], acknowledged=True)
+    assert project.warnings() and sorted(read) == ["key", "totals"]
+    item.validate()["key"]["holds"] = None  # what is handed out is a copy
+    assert item.validate()["key"]["holds"] is False
+    item.apply("fill_null_constant", {"column": "a", "value": "y"}, "missingness")
+    assert (item.validate()["cells_changed"], item.validate()["missing_after"], sorted(read)) == (1, 0, ["key", "key", "totals", "totals"])
+    item.history.undo()
+    assert (item.validate()["cells_changed"], item.validate()["missing_after"], len(read)) == (0, 1, 4)
