@@ -651,3 +651,20 @@ def test_an_export_reads_its_tables_once(spark, tmp_path, monkeypatch):
     assert (item.validate()["cells_changed"], item.validate()["missing_after"], sorted(read)) == (1, 0, ["key", "key", "totals", "totals"])
     item.history.undo()
     assert (item.validate()["cells_changed"], item.validate()["missing_after"], len(read)) == (0, 1, 4)
+
+
+@pytest.mark.parametrize("piece", [1, 2, 8])
+def test_ranges_are_cut_into_pieces(spark, tmp_path, monkeypatch, piece):
+    """Records over several pieces of a range; no task is dealt more pieces as the file grows."""
+    lines_of = csv.csv_lines
+    monkeypatch.setattr(lines_of, "PIECE_LINES", piece)
+    monkeypatch.setattr(lines_of, "TASK_LINES", 4 * piece)
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", 'say "b"', "x\ny", '"\n\n",\n"', "p\nq\nr\ns\nt", ""])) for i in range(60)]
+    path = tmp_path / "a.csv"
+    path.write_text("n,t\n" + "".join(f'{i},"{t.replace(chr(34), chr(34) * 2)}"\n' if t else f"{i},\n" for i, t in rows))
+    lines = lines_of.lines_of(spark, str(path), "utf-8")
+    quotes = lines_of.quotes_of(lines, ",")
+    assert quotes.any and quotes.pieces.agg(F.max("lines")).first()[0] <= piece and quotes.tasks == 1 + lines.count() // (4 * piece)
+    found = csv.read_csv(spark, str(path), "utf-8", ",").orderBy(ROW_ID).collect()
+    assert [(r[ROW_ID], r.n, r.t or "") for r in found] == [(k, i, t) for k, (i, t) in enumerate(rows)]
