@@ -1,5 +1,8 @@
 """Assessments, keys and duplicates on literal frames."""
 
+from collections import Counter
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,6 +261,39 @@ def test_pairs_are_joined_with_nothing(spark, tmp_path, name):
     assert found.count() == sum(n * (n - 1) for n in (300, 600))
 
 
+@pytest.mark.parametrize("name", ["dup_cluster_columns", "dup_clusters", "dup_near_blocked"])
+def test_pairs_are_made_where_lists_meet(spark, tmp_path, name):
+    """Behind the join nothing is shuffled, and before it lists are dealt out once, by their cells."""
+    found = catalogue.queries()[name](spark, parts_of_a_kind(spark, tmp_path, 90))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    join = re.search(r"SortMergeJoin \[x_s#\w+, x_h#\w+, x_row#\w+, x_column#\w+\]", plan)
+    assert join and "Exchange" not in plan[: join.start()]
+    assert plan.count("REPARTITION_BY_NUM") == 2 and plan.count("Exchange") == plan.count("Exchange hashpartitioning(s#") + plan.count("Exchange hashpartitioning(c0#") + plan.count("Exchange rangepartitioning(")
+
+
+@pytest.mark.parametrize("threshold", [80, 100])
+def test_a_large_group_is_cut_into_cells(spark, monkeypatch, threshold):
+    """Any two lists of a group meet in one of its cells; a group of few rows is one cell."""
+    monkeypatch.setattr(duplicates, "MOST_LISTED", 2)
+    monkeypatch.setattr(duplicates, "CELL_ROWS", 8)
+    rows = [("p", "q", "r", "s", str(i % 2) if i < 50 else "u") for i in range(70)] + [(None, "N/A", "r", "s", "t")] * 3
+    df = frame(spark, "c1 string, c2 string, c3 string, c4 string, c5 string", rows, 4)
+    columns = [f"c{i}" for i in range(1, 6)]
+    lists = duplicates.listed(duplicates.prepared(df, columns), columns, [])
+    x, y = (side.collect() for side in duplicates.celled(duplicates.signed(lists, [[c] for c in ("c0", "c1", "c2", "c3")], 4, [])))
+    assert sorted(Counter(i for r in x for i in r.ids).items()) == [(i, 9 if i < 70 else 1) for i in range(73)]  # 70 rows of a kind: 9 cells a side
+    cells = {}
+    for r in y:
+        cells.setdefault((r.h, r.row, r.column), []).extend(r.ids)
+    assert max(map(len, cells.values())) < 35
+    meet = Counter((a, b) for r in x for a in r.ids for b in cells.get((r.h, r.row, r.column), []))
+    assert set(meet.values()) == {1} and len(meet) == 70 * 70 + 3 * 3
+    pairs = sorted(brute_pairs(rows, duplicates.need_of(threshold, 5)))
+    assert sorted(tuple(r) for r in duplicates.near_pairs(df, columns, [], threshold).collect()) == pairs
+    members = duplicates.cluster_members(duplicates.cluster_lists(df, columns, [], threshold)).collect()
+    assert sorted((r.representative, r.member, len(r.matching)) for r in members) == sorted(p for a, b, m in pairs for p in ((a, b, m), (b, a, m)))
+
+
 def test_sizes_beyond_the_guard(spark, tmp_path):
     """40 million pairs."""
     sizes = catalogue.queries()["dup_cluster_sizes"](spark, parts_of_a_kind(spark, tmp_path, 12_000))
